@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrack.llm import chat_format, decontaminate, quality_rules, simhash, suffix_dedup
+from kinetrack.llm import chat_format, decontaminate, language_id, lm_trie, quality_rules, simhash, suffix_dedup, warc
 from kinetrack.llm.storage import table
 
 
@@ -20,6 +20,25 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    languages, p = language_id.train(docs.where(~held))
+    return language_id.identify(docs, languages, p).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.read_records(warc.archive(table(spark, sf_dir, "pages")), with_payload=False))
+
+
+def op5_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    trie = lm_trie.train(docs.where(~held))
+    found = lm_trie.score(docs, trie)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.sql(
@@ -41,6 +60,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_language_id": op3_language_id,
+        "op4_warc": op4_warc,
+        "op5_lm_trie": op5_lm_trie,
         "op8_chat_format": op8_chat_format,
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash": op10_simhash,
