@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrack.llm import chat_format, decontaminate, language_id, lm_trie, quality_rules, simhash, suffix_dedup, toxicity, warc
+from kinetrack.llm import chat_format, decontaminate, language_id, lm_trie, mixing, quality_rules, simhash, suffix_dedup, toxicity, warc
 from kinetrack.llm.storage import table
 
 
@@ -39,6 +39,10 @@ def op5_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_warc": op4_warc,
         "op5_lm_trie": op5_lm_trie,
+        "op6_mixing": op6_mixing,
         "op7_toxicity": op7_toxicity,
         "op8_chat_format": op8_chat_format,
         "op9_decontaminate": op9_decontaminate,
