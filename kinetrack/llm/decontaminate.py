@@ -28,7 +28,7 @@ _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 #: A-Z are letters here too: the original text is matched before lower-casing.
 _ORIGINAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
+FOUND = "struct<n_words:bigint,n_hit:bigint,item_ids:array<string>,spans:array<struct<start:int,end:int>>>"
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -77,33 +77,36 @@ def scan(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[int
     return len(words), int(hit.sum()), sorted({x for _, _, items in found for x in items}), spans
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (as strings, sorted), spans (characters of the original).
+def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
+    """``docs`` with a struct ``contamination``: n_words, n_hit, item_ids (as strings, sorted), spans (characters of the original).
 
-    The automaton is broadcast as the benchmark's texts, whose size is measured first: a benchmark
-    of more than ``block_bytes`` is refused, as it would have to be scanned for in blocks of items.
+    A column of that name in ``docs`` is replaced.  The automaton is broadcast as the benchmark's texts,
+    whose size is measured first: a larger benchmark has to be given in blocks of items.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > block_bytes:
         raise ValueError(f"benchmark texts have {size} bytes; call once for each block of at most {block_bytes}")
     shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()])
+    docs = docs.drop("contamination")
+    names = docs.columns
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = automaton_of(windows_of(shared.value, window))
         for batch in batches:
-            rows = [scan(t.as_py(), automaton) for t in batch.column("text")]
-            n, hit, items, spans = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()),
-                    pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                ],
-                ["doc_id", "n_words", "n_hit", "item_ids", "spans"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+            found = [scan(t.as_py(), automaton) for t in batch.column("text")]
+            rows = [{"n_words": n, "n_hit": hit, "item_ids": sorted(map(str, items)), "spans": [{"start": a, "end": b} for a, b in spans]} for n, hit, items, spans in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*names, "contamination"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{shape}, contamination {FOUND}")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """doc_id and the fields of ``contamination``."""
+    found = with_contamination(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)
+    return found.select("doc_id", "contamination.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

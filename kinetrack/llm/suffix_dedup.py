@@ -108,9 +108,10 @@ _NO_ID = -(1 << 63)
 RUNS = "doc_id long, place long, name long, whole long, start int, starts int"
 
 
-def _with_place(docs: DataFrame) -> DataFrame:
+def _with_place(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Rows with a ``place``: a hash of the text, so that rows with equal doc_id stay apart.  No key is null."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("place"), "text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id")
+    return docs.select(key, F.xxhash64("text").alias("place"), "text", *([F.struct(*carry).alias("carried")] if carry else []))
 
 
 def runs(docs: DataFrame, size: int) -> DataFrame:
@@ -180,14 +181,28 @@ def merged(start: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(lo[new].tolist(), hi[last].tolist(), strict=True))
 
 
-RESULT = "n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
-
-
-def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
-    """doc_id, n_bytes, ``spans`` (maximal repeated byte runs) and ``kept`` (the other bytes, in order)."""
+def trimmed(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The bytes outside the spans, after these have drawn back to whole characters."""
+    inner = lambda i: 0 < i < len(text) and text[i] & 0xC0 == 0x80
+    out, last = [], 0
+    for a, b in spans:
+        while inner(a):
+            a += 1
+        while b > a and inner(b):
+            b -= 1
+        out.append(text[last:a])
+        last = max(last, b)
+    return b"".join([*out, text[last:]])
+
+
+def repeated_spans(docs: DataFrame, size: int = 400, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, ``spans`` (maximal repeated byte runs), ``kept`` (the other bytes, in order), and ``text``
+    (the same, but with spans drawn back to whole characters); columns named by ``carry`` are in a struct ``carried``."""
+    carry = carry or []
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = _with_place(docs).repartition(partitions, "doc_id", "place")
-    first = written(runs(_with_place(docs), size), "suffix-first")
+    placed = _with_place(docs, carry)
+    texts = placed.repartition(partitions, "doc_id", "place")
+    first = written(runs(placed, size), "suffix-first")
     same = first.join(_repeated(first, "name"), "name", "left_semi")
     settled = _repeated(first, "whole").withColumn("settled", F.lit(True))
     marked = written(same.join(settled, "whole", "left"), "suffix-second")
@@ -196,7 +211,7 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
     kinds = marked.where("settled").groupBy("whole").agg(F.min(F.struct("name", "doc_id", "place", "start", "starts")).alias("one")).select("one.*")
     kinds = kinds.join(left.select("name").distinct(), "name", "left_semi")
     columns = ["doc_id", "place", "start", "starts"]
-    pairs = written(_pairs(texts, left.select(columns).unionByName(kinds.select(columns)), size), "suffix-pairs")
+    pairs = _pairs(texts, left.select(columns).unionByName(kinds.select(columns)), size)
     late = pairs.join(_repeated(pairs, "pair"), "pair", "left_semi").select("doc_id", "place", "start", F.lit(1).alias("starts"))
     early = marked.where("settled").select(columns)
     by_doc = early.unionByName(late).groupBy("doc_id", "place").agg(F.collect_list(F.struct("start", "starts")).alias("runs"))
@@ -205,9 +220,9 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             at, raw = utf8_columns(batch.column("text"))
-            n, spans, kept = [], [], []
+            n, spans, kept, whole = [], [], [], []
             for k in range(batch.num_rows):
-                text = raw[at[k] : at[k + 1]]
+                text = raw[at[k] : at[k + 1]].tobytes()
                 own = batch.column("runs")[k].values
                 found = []
                 if own is not None and len(own):
@@ -216,12 +231,20 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
                 n.append(len(text))
                 spans.append([{"start": a, "end": b} for a, b in found])
                 edge = [0, *(x for s in found for x in s), len(text)]
-                kept.append(b"".join(text[a:b].tobytes() for a, b in zip(edge[::2], edge[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
-
-    return texts.join(by_doc, ["doc_id", "place"], "left").select("doc_id", "text", "runs").mapInArrow(run, f"doc_id long, {RESULT}").withColumn(
-        "doc_id", F.nullif(F.col("doc_id"), F.lit(_NO_ID))
-    )
+                kept.append(b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
+                whole.append(trimmed(text, found).decode() if carry else None)
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(whole, pa.string())]
+            names = ["doc_id", "n_bytes", "spans", "kept", "text"]
+            if carry:
+                columns.append(batch.column("carried"))
+                names.append("carried")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    shape = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, text string"
+    if carry:
+        shape += f", carried {placed.schema['carried'].dataType.simpleString()}"
+    rows = texts.join(by_doc, ["doc_id", "place"], "left").drop("place")
+    return rows.mapInArrow(run, shape).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NO_ID)))
 
 
 def digest(found: DataFrame) -> DataFrame:
