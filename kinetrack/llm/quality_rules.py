@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kinetrack.llm.exprs import SPACE, SYMBOLS, let, words
 from kinetrack.llm.storage import written
 
-_FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_short")
+_FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_short", "n_marks", "n_alpha")
 
 
 def _dup_lines(text: Column) -> Column:
@@ -63,6 +63,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             F.size(w).alias("n_words"),
             _repeat_words(w).alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: F.length(x) <= 3)).alias("n_short"),
+            F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).alias("n_alpha"),
         )
 
     parts = docs.withColumn("q_words", let(words(F.col("text")), of_words)).withColumn("q_lines", _dup_lines(text))
@@ -76,6 +77,8 @@ def with_features(docs: DataFrame) -> DataFrame:
         "n_upper": F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", "")),
         "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}]", "")),
         "n_short": F.col("q_words.n_short"),
+        "n_alpha": F.col("q_words.n_alpha"),
+        "n_marks": F.length(text) - F.length(F.translate(text, "!?", "")),
     }
     return parts.withColumn("q_features", F.struct(*[values[k].cast("long").alias(k) for k in _FEATURES])).drop("q_words", "q_lines")
 
@@ -95,13 +98,15 @@ def default_rules() -> dict[str, Column]:
     mean = f["word_chars"] / words_
     return {
         "length": _vote(f["n_words"] >= 80, f["n_words"] < 50),
-        "word_length": _vote(mean.between(3.0, 10.0), (mean < 2.0) | (mean > 14.0)),
-        "symbols": _vote(f["n_symbols"] <= 0.01 * chars, f["n_symbols"] > 0.05 * chars),
+        "word_length": _vote(mean.between(3.5, 8.0), (mean < 2.5) | (mean > 14.0)),
+        "symbols": _vote(f["n_symbols"] <= 0.01 * chars, f["n_symbols"] > 0.04 * chars),
+        "marks": _vote(f["n_marks"] <= 0.01 * chars, f["n_marks"] > 0.05 * chars),
         "dup_lines": _vote(f["n_dup_lines"] <= 0.1 * F.greatest(f["n_lines"], F.lit(1)), f["n_dup_lines"] > 0.3 * f["n_lines"]),
-        "repeats": _vote(f["n_repeat_words"] <= 0.2 * words_, f["n_repeat_words"] > 0.5 * words_),
-        "upper": _vote(f["n_upper"] <= 0.2 * chars, f["n_upper"] > 0.5 * chars),
-        "letters": _vote(f["n_letters"] >= 0.75 * chars, f["n_letters"] < 0.6 * chars),
-        "short_words": _vote(f["n_short"] >= 0.08 * words_, f["n_short"] < 0.01 * words_),
+        "repeats": _vote(f["n_repeat_words"] <= 0.15 * words_, f["n_repeat_words"] > 0.4 * words_),
+        "upper": _vote(f["n_upper"] <= 0.1 * chars, f["n_upper"] > 0.3 * chars),
+        "letters": _vote(f["n_letters"] >= 0.85 * chars, f["n_letters"] < 0.65 * chars),
+        "alpha_words": _vote(f["n_alpha"] >= 0.9 * words_, f["n_alpha"] < 0.8 * words_),
+        "short_words": _vote(f["n_short"] >= 0.1 * words_, f["n_short"] < 0.02 * words_),
     }
 
 
@@ -126,10 +131,11 @@ class LabelModel:
 def fit_label_model(patterns: DataFrame, rules: list[str], rounds: int = 15, prior: float = 0.8, smoothing: float = 10.0) -> LabelModel:
     """EM over ``patterns`` (a vote column for each rule, and ``n``).
 
-    Accuracies start at 0.8 and stay in [0.55, 0.99], so a rule cannot turn round and the two
-    classes cannot change places.
+    Good documents pass nearly every rule, while each kind of bad one fails a few: rules start with
+    0.95 right votes on good and 0.4 on bad documents, and the two must sum to more than one, so a
+    rule cannot turn round and the two classes cannot change places.
     """
-    model = LabelModel(prior, {k: (0.8, 0.8) for k in rules})
+    model = LabelModel(prior, {k: (0.95, 0.4) for k in rules})
     for _ in range(rounds):
         p = F.col("p") * F.col("n")
         q = (1 - F.col("p")) * F.col("n")
@@ -144,11 +150,12 @@ def fit_label_model(patterns: DataFrame, rules: list[str], rounds: int = 15, pri
         if not s["all"]:
             return model
         clip = lambda x, lo, hi: min(hi, max(lo, x))
-        rate = lambda a, b: clip((s[a] + 0.8 * smoothing) / (s[b] + smoothing), 0.55, 0.99)
-        model = LabelModel(
-            clip(s["good"] / s["all"], 0.05, 0.99),
-            {k: (rate(f"{k}_gg", f"{k}_g"), rate(f"{k}_bb", f"{k}_b")) for k in rules},
-        )
+        accuracies = {}
+        for k in rules:
+            good = clip((s[f"{k}_gg"] + 0.95 * smoothing) / (s[f"{k}_g"] + smoothing), 0.6, 0.9995)
+            bad = clip((s[f"{k}_bb"] + 0.4 * smoothing) / (s[f"{k}_b"] + smoothing), 0.05, 0.99)
+            accuracies[k] = (good, max(bad, 1.02 - good))
+        model = LabelModel(clip(s["good"] / s["all"], 0.05, 0.99), accuracies)
     return model
 
 
