@@ -132,10 +132,10 @@ def fit_label_model(patterns: DataFrame, rules: list[str], rounds: int = 15, pri
     """EM over ``patterns`` (a vote column for each rule, and ``n``).
 
     Good documents pass nearly every rule, while each kind of bad one fails a few: rules start with
-    0.95 right votes on good and 0.4 on bad documents, and the two must sum to more than one, so a
+    0.99 right votes on good and 0.3 on bad documents, and the two must sum to more than one, so a
     rule cannot turn round and the two classes cannot change places.
     """
-    model = LabelModel(prior, {k: (0.95, 0.4) for k in rules})
+    model = LabelModel(prior, {k: (0.99, 0.3) for k in rules})
     for _ in range(rounds):
         p = F.col("p") * F.col("n")
         q = (1 - F.col("p")) * F.col("n")
@@ -152,8 +152,8 @@ def fit_label_model(patterns: DataFrame, rules: list[str], rounds: int = 15, pri
         clip = lambda x, lo, hi: min(hi, max(lo, x))
         accuracies = {}
         for k in rules:
-            good = clip((s[f"{k}_gg"] + 0.95 * smoothing) / (s[f"{k}_g"] + smoothing), 0.6, 0.9995)
-            bad = clip((s[f"{k}_bb"] + 0.4 * smoothing) / (s[f"{k}_b"] + smoothing), 0.05, 0.99)
+            good = clip((s[f"{k}_gg"] + 0.99 * smoothing) / (s[f"{k}_g"] + smoothing), 0.6, 0.9995)
+            bad = clip((s[f"{k}_bb"] + 0.3 * smoothing) / (s[f"{k}_b"] + smoothing), 0.05, 0.99)
             accuracies[k] = (good, max(bad, 1.02 - good))
         model = LabelModel(clip(s["good"] / s["all"], 0.05, 0.99), accuracies)
     return model
