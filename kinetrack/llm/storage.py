@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder; also makes sure that ``DataFrame.checkpoint`` works."""
+    bounded_batches(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
@@ -27,6 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of an Arrow batch that a task holds; texts are long, so Spark's default is lowered to this.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES from here on, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(spark.conf.get(key).rstrip("bB"))
+    except ValueError:
+        return  # set by the user with a unit of its own
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -46,4 +62,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
