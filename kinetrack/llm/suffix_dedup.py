@@ -196,15 +196,19 @@ def trimmed(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def repeated_spans(docs: DataFrame, size: int = 400, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, ``spans`` (maximal repeated byte runs), ``kept`` (the other bytes, in order), and ``text``
-    (the same, but with spans drawn back to whole characters); columns named by ``carry`` are in a struct ``carried``."""
+    """doc_id, n_bytes, ``spans`` (maximal repeated byte runs) and ``kept`` (the other bytes, in order).
+
+    With ``carry`` (names of columns) there is a ``text`` instead of ``kept`` - the same, but with spans drawn back
+    to whole characters - and a struct ``carried`` of these columns.
+    """
     carry = carry or []
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = _with_place(docs, carry)
     texts = placed.repartition(partitions, "doc_id", "place")
     first = written(runs(placed, size), "suffix-first")
-    same = first.join(_repeated(first, "name"), "name", "left_semi")
-    settled = _repeated(first, "whole").withColumn("settled", F.lit(True))
+    # tables of their own, so that a join with a very frequent name can be split
+    same = first.join(written(_repeated(first, "name"), "suffix-names"), "name", "left_semi")
+    settled = written(_repeated(first, "whole").withColumn("settled", F.lit(True)), "suffix-settled")
     marked = written(same.join(settled, "whole", "left"), "suffix-second")
     # what is left meets one of each kind of settled run of the same name too
     left = marked.where("settled IS NULL")
@@ -231,7 +235,7 @@ def repeated_spans(docs: DataFrame, size: int = 400, carry: list[str] | None = N
                 n.append(len(text))
                 spans.append([{"start": a, "end": b} for a, b in found])
                 edge = [0, *(x for s in found for x in s), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
+                kept.append(None if carry else b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
                 whole.append(trimmed(text, found).decode() if carry else None)
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(whole, pa.string())]
             names = ["doc_id", "n_bytes", "spans", "kept", "text"]
