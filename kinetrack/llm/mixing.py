@@ -7,7 +7,9 @@ keep soft posteriors).  Nonnegative rates r then minimise
 
     sum_k (sum_i r_i t_i p_ik - target_k B)^2 / (2 s_k B^2) + ridge / 2 * sum_i t_i (r_i - 1)^2 / B
 
-by projected gradient: t_i are the tokens, s_k the domain's share before mixing, B the token budget.
+by projected gradient: t_i are the tokens, s_k the larger of the domain's share before mixing and its target
+(so that steps stay stable where a domain is nearly absent), B the token budget, which is such that
+the first domain, ``clean``, need not lose documents (see ``HEADROOM``).
 A round is one aggregate of one number for each domain; rates are recomputed from the residuals of
 all rounds so far in a fold over that short list, so no state is kept for documents.  ``copies`` are
 the rates rounded by a hash of the doc_id.
@@ -32,6 +34,10 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.9, "low": 0.06, "toxic": 0.04}
 #: Parameters: hash buckets of words, labelled texts of the sample, log odds that count, bound of a text's log odds.
 BUCKETS, SAMPLE, LEAST, BOUND = 1 << 15, 6000, 0.7, 8.0
+#: Pseudo-count of a domain's words, and occurrences from which a bucket's odds count.
+STRENGTH, SEEN = 200.0, 5
+#: The budget is this many times what makes the clean domain's mean rate 1.
+HEADROOM = 1.03
 
 
 def _bucket(word: Column) -> Column:
@@ -53,17 +59,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     own = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(worst.alias("domain")).where("domain IS NOT NULL")
     share = int(1_000_000 * min(1.0, sample / max(1, own.count())))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    texts = docs.select("doc_id", "text").join(own, "doc_id").dropDuplicates(["text"])
+    texts = written(docs.select("doc_id", "text").join(own, "doc_id").dropDuplicates(["text"]), "mixing-sample")
     each = _exploded(texts, "domain").where("word IS NOT NULL").withColumn("bucket", _bucket(F.col("word")))
     counts = each.groupBy("bucket").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{d}") for d in DOMAINS])
     counts = written(counts, "mixing-buckets")
     total = counts.agg(*[F.coalesce(F.sum(f"n_{d}"), F.lit(0)).alias(d) for d in DOMAINS]).first()
-    everything, strength = sum(total) or 1, 200.0
-    prior = sum((F.col(f"n_{d}") for d in DOMAINS), F.lit(0)) / everything
-    smooth = {d: (F.col(f"n_{d}") + strength * prior) / (total[d] + strength) for d in DOMAINS}
-    odds = {d: F.log(smooth[d] / smooth["clean"]) for d in DOMAINS[1:]}
-    table = counts.select("bucket", *[F.when(F.abs(x) >= LEAST, x).otherwise(0.0).alias(d) for d, x in odds.items()])
-    number = {r[0]: r[1] for r in own.groupBy("domain").count().collect()}
+    # shrunk towards the clean domain, so that a domain without words has no odds; few words are no evidence
+    base = (F.col(f"n_{DOMAINS[0]}") + 1) / (total[DOMAINS[0]] + BUCKETS)
+    odds = {d: F.log((F.col(f"n_{d}") + STRENGTH * base) / (total[d] + STRENGTH) / base) for d in DOMAINS[1:]}
+    seen = {d: F.when(x > 0, F.col(f"n_{d}")).otherwise(F.col(f"n_{DOMAINS[0]}")) >= SEEN for d, x in odds.items()}
+    table = counts.select("bucket", *[F.when((F.abs(x) >= LEAST) & seen[d], x).otherwise(0.0).alias(d) for d, x in odds.items()])
+    number = {r[0]: r[1] for r in texts.groupBy("domain").count().collect()}
     return table, [math.log((number.get(d, 0) + 1) / (number.get("clean", 0) + 1)) for d in DOMAINS[1:]]
 
 
@@ -97,10 +103,12 @@ def fit_rates(table: DataFrame, targets: dict[str, float], rounds: int = 25, rid
     weight = sum(targets.values())
     sums = lambda r: [F.sum(r * F.col("n_tokens") * F.get("p", k)).alias(d) for k, d in enumerate(DOMAINS)]
     start = table.agg(*sums(F.lit(1.0))).first()
-    budget = sum(x or 0.0 for x in start)
-    if not budget:
+    tokens = sum(x or 0.0 for x in start)
+    if not tokens:
         return []
-    shares = [max(x / budget, 1e-6) for x in start]
+    first = targets.get(DOMAINS[0], 0.0) / weight
+    budget = HEADROOM * start[0] / first if first > 0 and start[0] else tokens
+    shares = [max(x / budget, targets.get(d, 0.0) / weight, 1e-3) for x, d in zip(start, DOMAINS, strict=True)]
     residuals: list[list[float]] = []
     for _ in range(rounds):
         now = table.agg(*sums(rate(F.col("p"), residuals, ridge))).first() if residuals else start
