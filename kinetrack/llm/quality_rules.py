@@ -159,32 +159,37 @@ def fit_label_model(patterns: DataFrame, rules: list[str], rounds: int = 15, pri
     return model
 
 
-def judged(docs: DataFrame, columns: list[str], rules: dict[str, Column] | None = None, threshold: float = 0.5, rounds: int = 15) -> DataFrame:
-    """The named columns of ``docs``, and a struct ``q_rules`` of features, votes, ``quality`` (posterior),
-    ``base_failed`` and ``kept``.
-
-    Rows with their features are written once to the shared folder, as the label model needs a pass
-    before the documents can be judged.
-    """
-    rules = rules or default_rules()
-    rows = with_features(docs).select(*columns, "q_features").withColumns({f"q_vote_{k}": v for k, v in rules.items()})
-    rows = written(rows, "quality")
-    votes = {k: F.col(f"q_vote_{k}") for k in rules}
-    patterns = written(rows.groupBy(*[v.alias(k) for k, v in votes.items()]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
-    model = fit_label_model(patterns, list(rules), rounds)
+def _found(model: LabelModel, votes: dict[str, Column], threshold: float) -> Column:
     f, quality = F.col("q_features"), model.posterior(votes)
-    found = F.struct(
+    return F.struct(
         *[f[k].alias(k) for k in _FEATURES], base_failed(f).alias("base_failed"), (~base_failed(f) & (quality >= threshold)).alias("kept"),
         quality.alias("quality"), *[v.alias(f"vote_{k}") for k, v in votes.items()],
     )
-    return rows.select(*columns, found.alias("q_rules"))
+
+
+def _patterns(rows: DataFrame, votes: dict[str, Column]) -> DataFrame:
+    return written(rows.groupBy(*[v.alias(k) for k, v in votes.items()]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
 
 
 def quality_rules(docs: DataFrame, rules: dict[str, Column] | None = None, threshold: float = 0.5, rounds: int = 15) -> DataFrame:
-    """doc_id with the fields of ``judged``, a row for each row of ``docs``."""
-    return judged(docs, ["doc_id"], rules, threshold, rounds).select("doc_id", "q_rules.*")
+    """doc_id, features, ``base_failed``, ``kept``, ``quality`` (posterior) and votes, a row for each row of ``docs``.
+
+    Features are written once to the shared folder (a narrow table, without texts), as the label
+    model needs a pass before the documents can be judged.
+    """
+    rules = rules or default_rules()
+    rows = with_features(docs).select("doc_id", "q_features").withColumns({f"q_vote_{k}": v for k, v in rules.items()})
+    rows = written(rows, "quality")
+    votes = {k: F.col(f"q_vote_{k}") for k in rules}
+    model = fit_label_model(_patterns(rows, votes), list(rules), rounds)
+    return rows.select("doc_id", _found(model, votes, threshold).alias("q_rules")).select("doc_id", "q_rules.*")
 
 
-def keep_good(docs: DataFrame, rules: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    return judged(docs, docs.columns, rules, threshold).where("q_rules.kept").select(*docs.columns)
+def keep_good(docs: DataFrame, rules: dict[str, Column] | None = None, threshold: float = 0.5, rounds: int = 15) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    Features are computed again for the second pass: that takes no shuffle and no copy of the texts.
+    """
+    rules = rules or default_rules()
+    model = fit_label_model(_patterns(with_features(docs), rules), list(rules), rounds)
+    return with_features(docs).where(_found(model, rules, threshold)["kept"]).select(*docs.columns)

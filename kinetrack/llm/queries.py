@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrack.llm import chat_format, decontaminate, language_id, lm_trie, mixing, quality_rules, simhash, suffix_dedup, toxicity, warc
+from kinetrack.llm.oracles import ORACLES
 from kinetrack.llm.storage import table
 
 
@@ -91,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
