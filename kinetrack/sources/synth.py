@@ -186,7 +186,7 @@ def camera_header(o: SynthOptions) -> dict:
         x, y, z, w = c["quat"]
         # the mirrored form is what a conversion without its conjugate gives
         extrinsics[c["cam"]] = {"pos": c["pos"], "quat": [-x, y, z, w] if o.legacy_mirrored else c["quat"]}
-        raw[c["cam"]] = {"lens_pose_translation": c["pos"], "lens_pose_rotation": [-w, z, -y, -x]}
+        raw[c["cam"]] = {"lens_pose_translation": c["pos"], "lens_pose_rotation": [-w, -z, y, -x]}
     return {
         "intrinsics": intrinsics, "extrinsics_head_to_camera": extrinsics, "extrinsics_android_raw": raw, "axes": "openxr", "timestamp_source": "REALTIME", "t_device_ns_domain": "device",
     }
