@@ -9,6 +9,7 @@ A struct-valued helper mentions its inputs several times; bind intermediate resu
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -30,6 +31,25 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _plain(c: Column) -> bool:
+    """A column, a field of one or a lambda's variable: no computation to repeat."""
+    return "(" not in str(c)
+
+
+def once(f: Callable[..., Column]) -> Callable[..., Column]:
+    """Binds computed arguments, so that nesting helpers does not multiply their expressions."""
+
+    @functools.wraps(f)
+    def bind(*args: Number, **more: Number) -> Column:
+        deep = [i for i, a in enumerate(args) if isinstance(a, Column) and not _plain(a)]
+        if not deep:
+            return f(*args, **more)
+        held = F.struct(*[args[i].alias(f"a{i}") for i in deep])
+        return bound(held, lambda s: f(*[s[f"a{i}"] if i in deep else a for i, a in enumerate(args)], **more))
+
+    return bind
+
+
 # -- vectors ---------------------------------------------------------------------------------
 
 
@@ -37,40 +57,49 @@ def vec3(x: Number, y: Number, z: Number) -> Column:
     return F.struct(_c(x).alias("x"), _c(y).alias("y"), _c(z).alias("z"))
 
 
+@once
 def add(a: Column, b: Column) -> Column:
     return vec3(a["x"] + b["x"], a["y"] + b["y"], a["z"] + b["z"])
 
 
+@once
 def sub(a: Column, b: Column) -> Column:
     return vec3(a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"])
 
 
+@once
 def scale(a: Column, k: Number) -> Column:
     k = _c(k)
     return vec3(a["x"] * k, a["y"] * k, a["z"] * k)
 
 
+@once
 def neg(a: Column) -> Column:
     return vec3(-a["x"], -a["y"], -a["z"])
 
 
+@once
 def dot(a: Column, b: Column) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
 
+@once
 def cross(a: Column, b: Column) -> Column:
     return vec3(a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"])
 
 
+@once
 def length(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+@once
 def normalize(a: Column) -> Column:
     """Unit vector; forward (0, 0, -1) for the zero vector."""
     return bound(length(a), lambda n: F.when(n > 0, vec3(a["x"] / n, a["y"] / n, a["z"] / n)).otherwise(vec3(0, 0, -1)))
 
 
+@once
 def finite(a: Column) -> Column:
     ok = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     return ok(a["x"]) & ok(a["y"]) & ok(a["z"])
@@ -88,18 +117,22 @@ IDENTITY = (0.0, 0.0, 0.0, 1.0)
 HALF_TURN_X = (1.0, 0.0, 0.0, 0.0)
 
 
+@once
 def qdot(a: Column, b: Column) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"] + a["w"] * b["w"]
 
 
+@once
 def qnorm(q: Column) -> Column:
     return F.sqrt(qdot(q, q))
 
 
+@once
 def qnormalize(q: Column) -> Column:
     return bound(qnorm(q), lambda n: F.when(n > 0, quat(q["x"] / n, q["y"] / n, q["z"] / n, q["w"] / n)).otherwise(quat(*IDENTITY)))
 
 
+@once
 def conjugate(q: Column) -> Column:
     return quat(-q["x"], -q["y"], -q["z"], q["w"])
 
@@ -107,6 +140,7 @@ def conjugate(q: Column) -> Column:
 inverse = conjugate
 
 
+@once
 def qmul(a: Column, b: Column) -> Column:
     """Hamilton product: first ``b``, then ``a``."""
     return quat(
@@ -117,6 +151,7 @@ def qmul(a: Column, b: Column) -> Column:
     )
 
 
+@once
 def rotate(q: Column, v: Column) -> Column:
     """The vector turned by the (unit) quaternion, through its rotation matrix."""
     m = matrix_rows(q)
@@ -132,15 +167,18 @@ def matrix_rows(q: Column) -> list[list[Column]]:
     ]
 
 
+@once
 def matrix_column_major(q: Column) -> Column:
     m = matrix_rows(q)
     return F.array(*[m[r][c] for c in range(3) for r in range(3)])
 
 
+@once
 def from_axis_angle(axis: Column, angle: Column) -> Column:
     return bound(normalize(axis), lambda u: quat(u["x"] * F.sin(angle / 2), u["y"] * F.sin(angle / 2), u["z"] * F.sin(angle / 2), F.cos(angle / 2)))
 
 
+@once
 def from_yaw_pitch_roll(yaw: Column, pitch: Column, roll: Column) -> Column:
     """Yaw about +Y, then pitch about the turned +X, then roll about the turned -Z."""
     half = lambda a: a / 2
@@ -150,6 +188,7 @@ def from_yaw_pitch_roll(yaw: Column, pitch: Column, roll: Column) -> Column:
     return bound(qmul(qmul(y, p), r), qnormalize)
 
 
+@once
 def qlog(q: Column) -> Column:
     """Rotation vector of the shorter way round."""
 
@@ -166,6 +205,7 @@ def qlog(q: Column) -> Column:
     return bound(qnormalize(q), of)
 
 
+@once
 def qexp(v: Column) -> Column:
     def of(n: Column) -> Column:
         k = F.sin(n / 2) / n
@@ -174,6 +214,7 @@ def qexp(v: Column) -> Column:
     return bound(length(v), of)
 
 
+@once
 def slerp(a: Column, b: Column, t: Column) -> Column:
     """Shortest-arc interpolation of rotations."""
 
@@ -189,6 +230,7 @@ def slerp(a: Column, b: Column, t: Column) -> Column:
     return bound(F.struct(qnormalize(a).alias("a"), qnormalize(b).alias("b")), both)
 
 
+@once
 def twist_about(q: Column, axis: Column) -> Column:
     """The part of ``q`` that turns about ``axis`` (swing and twist), with w >= 0."""
 
@@ -205,24 +247,29 @@ def twist_about(q: Column, axis: Column) -> Column:
     return bound(normalize(axis), of)
 
 
+@once
 def angle_between_degrees(a: Column, b: Column) -> Column:
     return F.degrees(2 * F.acos(F.least(F.lit(1.0), F.abs(qdot(a, b)))))
 
 
+@once
 def optical_axis_pitch_degrees(q: Column) -> Column:
     y = rotate(q, vec3(0, 0, -1))["y"]
     return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y))))
 
 
+@once
 def head_to_camera_from_raw(raw: Column) -> Column:
     """Sensor-to-camera rotation as phones store it -> head-to-camera."""
     return bound(qmul(conjugate(raw), quat(*HALF_TURN_X)), qnormalize)
 
 
+@once
 def raw_from_head_to_camera(q: Column) -> Column:
     return bound(conjugate(qmul(q, quat(*HALF_TURN_X))), qnormalize)
 
 
+@once
 def repair_mirrored(stored: Column) -> Column:
     """A head-to-camera rotation that was stored mirrored."""
     turn = quat(*HALF_TURN_X)
@@ -236,36 +283,44 @@ def pose(pos: Column, rot: Column) -> Column:
     return F.struct(pos.alias("pos"), rot.alias("rot"))
 
 
+@once
 def point_to_world(p: Column, v: Column) -> Column:
     return add(rotate(p["rot"], v), p["pos"])
 
 
+@once
 def point_to_local(p: Column, v: Column) -> Column:
     return rotate(conjugate(p["rot"]), sub(v, p["pos"]))
 
 
+@once
 def dir_to_world(p: Column, v: Column) -> Column:
     return rotate(p["rot"], v)
 
 
+@once
 def dir_to_local(p: Column, v: Column) -> Column:
     return rotate(conjugate(p["rot"]), v)
 
 
+@once
 def compose(a: Column, b: Column) -> Column:
     """The pose of ``b``, which is given in the space of ``a``."""
     return pose(point_to_world(a, b["pos"]), qmul(a["rot"], b["rot"]))
 
 
+@once
 def pose_inverse(p: Column) -> Column:
     return pose(neg(rotate(conjugate(p["rot"]), p["pos"])), conjugate(p["rot"]))
 
 
+@once
 def interpolate(a: Column, b: Column, t: Column) -> Column:
     """Linear in position, slerp in rotation."""
     return pose(add(a["pos"], scale(sub(b["pos"], a["pos"]), t)), slerp(a["rot"], b["rot"], t))
 
 
+@once
 def head_pose(head: Column, eyes: Column) -> Column:
     """The head where it is recorded; else the middle of the first two eyes, one eye, or the identity."""
     first, second = F.get(eyes, 0)["pose"], F.get(eyes, 1)["pose"]
@@ -278,9 +333,11 @@ def aligned_extrinsic(extrinsic: Column, recorded: bool) -> Column:
     return extrinsic if recorded else pose(extrinsic["pos"], twist_about(extrinsic["rot"], vec3(0, 0, 1)))
 
 
+@once
 def vec3_text(v: Column) -> Column:
     return F.format_string("(%.6f, %.6f, %.6f)", v["x"], v["y"], v["z"])
 
 
+@once
 def quat_text(q: Column) -> Column:
     return F.format_string("(%.6f, %.6f, %.6f, %.6f)", q["x"], q["y"], q["z"], q["w"])

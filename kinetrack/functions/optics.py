@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinetrack.functions.geom import _c, add, bound, dir_to_local, normalize, point_to_local, scale, vec3
+from kinetrack.functions.geom import _c, add, bound, dir_to_local, normalize, once, point_to_local, scale, vec3
 
 #: A half-angle from here on counts as degenerate.
 ANGLE_LIMIT = 1.55
@@ -20,10 +20,12 @@ def fov(l: Column, r: Column, u: Column, d: Column) -> Column:  # noqa: E741
     return F.struct(_c(l).alias("l"), _c(r).alias("r"), _c(u).alias("u"), _c(d).alias("d"))
 
 
+@once
 def from_tangents(l: Column, r: Column, u: Column, d: Column) -> Column:  # noqa: E741
     return fov(F.atan(l), F.atan(r), F.atan(u), F.atan(d))
 
 
+@once
 def sane(f: Column) -> Column:
     ok = F.lit(True)
     for k in "lrud":
@@ -31,35 +33,43 @@ def sane(f: Column) -> Column:
     return F.coalesce(ok & (f["r"] > f["l"]) & (f["u"] > f["d"]), F.lit(False))
 
 
+@once
 def tangents(f: Column) -> Column:
     return F.struct(*[F.tan(f[k]).alias(k) for k in "lrud"])
 
 
+@once
 def tan_width(f: Column) -> Column:
     return F.tan(f["r"]) - F.tan(f["l"])
 
 
+@once
 def tan_height(f: Column) -> Column:
     return F.tan(f["u"]) - F.tan(f["d"])
 
 
+@once
 def angular_aspect(f: Column) -> Column:
     return tan_width(f) / tan_height(f)
 
 
+@once
 def optical_centre_u(f: Column) -> Column:
     return -F.tan(f["l"]) / tan_width(f)
 
 
+@once
 def optical_centre_v(f: Column) -> Column:
     return F.tan(f["u"]) / tan_height(f)
 
 
+@once
 def angular_pixel(f: Column, width: Column, height: Column) -> Column:
     """Tangent units of a pixel when the whole frustum has to fit the pane."""
     return F.when((width > 0) & (height > 0), F.greatest(tan_width(f) / width, tan_height(f) / height)).otherwise(0.0)
 
 
+@once
 def fit_to_pane(f: Column, width: Column, height: Column, pixel: Column | None = None) -> Column:
     """Pads the frustum, the same on both sides, to the pane's aspect; crops nothing."""
     pixel = angular_pixel(f, width, height) if pixel is None else F.when(pixel > 0, pixel).otherwise(angular_pixel(f, width, height))
@@ -74,6 +84,7 @@ def fit_to_pane(f: Column, width: Column, height: Column, pixel: Column | None =
     return bound(F.struct(pixel.alias("p")), padded)
 
 
+@once
 def symmetrize(f: Column) -> Column:
     """The largest frustum inside, symmetric about forward."""
     x = F.least(F.abs(F.tan(f["l"])), F.abs(F.tan(f["r"])))
@@ -81,6 +92,7 @@ def symmetrize(f: Column) -> Column:
     return from_tangents(-x, x, y, -y)
 
 
+@once
 def intersect(a: Column, b: Column) -> Column:
     return fov(F.greatest(a["l"], b["l"]), F.least(a["r"], b["r"]), F.least(a["u"], b["u"]), F.greatest(a["d"], b["d"]))
 
@@ -89,6 +101,7 @@ def _crop_pixel(f: Column, width: Column, height: Column) -> Column:
     return F.least(tan_width(f) / width, tan_height(f) / height)
 
 
+@once
 def crop_to_pane(f: Column, width: Column, height: Column) -> Column:
     """Crops to the pane's aspect, symmetric about forward."""
     p = _crop_pixel(f, width, height)
@@ -96,6 +109,7 @@ def crop_to_pane(f: Column, width: Column, height: Column) -> Column:
     return F.when((width <= 0) | (height <= 0) | ~(p > 0), f).otherwise(from_tangents(-x, x, y, -y))
 
 
+@once
 def crop_to_pane_asymmetric(f: Column, width: Column, height: Column) -> Column:
     """Crops to the pane's aspect, the same on both sides."""
     p = _crop_pixel(f, width, height)
@@ -103,12 +117,14 @@ def crop_to_pane_asymmetric(f: Column, width: Column, height: Column) -> Column:
     return F.when((width <= 0) | (height <= 0) | ~(p > 0), f).otherwise(from_tangents(t["l"] + x, t["r"] - x, t["u"] - y, t["d"] + y))
 
 
+@once
 def fov_ray(f: Column, px: Column, py: Column, width: Column, height: Column) -> Column:
     """Direction of the centre of a pixel (px, py count from the first pixel's centre)."""
     t = tangents(f)
     return vec3(t["l"] + (px + 0.5) / width * (t["r"] - t["l"]), t["u"] + (py + 0.5) / height * (t["d"] - t["u"]), -1.0)
 
 
+@once
 def fov_project(f: Column, direction: Column, width: Column, height: Column) -> Column:
     """struct (px, py) of a direction, null behind the eye."""
     t = tangents(f)
@@ -125,6 +141,7 @@ def distortion5(k: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.coalesce(F.get(k, i), F.lit(0.0)))
 
 
+@once
 def distort(k: Column, xn: Column, yn: Column) -> Column:
     """Brown-Conrady: k1, k2, p1, p2, k3 on normalised image coordinates."""
     k1, k2, p1, p2, k3 = (F.get(k, i) for i in range(5))
@@ -133,6 +150,7 @@ def distort(k: Column, xn: Column, yn: Column) -> Column:
     return F.struct((xn * radial + 2 * p1 * xn * yn + p2 * (r2 + 2 * xn * xn)).alias("x"), (yn * radial + p1 * (r2 + 2 * yn * yn) + 2 * p2 * xn * yn).alias("y"))
 
 
+@once
 def project_pinhole(intrinsics: Column, direction: Column) -> Column:
     """struct (px, py), null at or behind the lens plane."""
     z = -direction["z"]
@@ -143,6 +161,7 @@ def project_pinhole(intrinsics: Column, direction: Column) -> Column:
     return F.when(z > Z_EPS, bound(distort(distortion5(intrinsics["distortion"]), direction["x"] / z, -direction["y"] / z), at))
 
 
+@once
 def unproject_pinhole(intrinsics: Column, px: Column, py: Column, rounds: int = 20) -> Column:
     """Ray of a pixel: fixed-point inverse of the distortion, in a fold."""
     start = F.struct(((px - intrinsics["cx"]) / intrinsics["fx"]).alias("x"), ((py - intrinsics["cy"]) / intrinsics["fy"]).alias("y"))
@@ -156,6 +175,7 @@ def unproject_pinhole(intrinsics: Column, px: Column, py: Column, rounds: int =
     return bound(F.struct(start.alias("s"), distortion5(intrinsics["distortion"]).alias("k")), solve)
 
 
+@once
 def rebase_to_image(intrinsics: Column, width: Column, height: Column) -> Column:
     """Intrinsics of the sensor's active array -> of its centre crop scaled to the image; unchanged where these agree."""
     a = intrinsics["active_array"]
@@ -174,6 +194,7 @@ def rebase_to_image(intrinsics: Column, width: Column, height: Column) -> Column
     return F.when(F.coalesce(usable, F.lit(False)), moved).otherwise(kept)
 
 
+@once
 def hfov_degrees(fx: Column, width: Column) -> Column:
     return F.when(fx > 0, F.degrees(2 * F.atan(0.5 * width / fx))).otherwise(0.0)
 
@@ -185,16 +206,19 @@ def depth_is_infinite(depth: Column) -> Column:
     return ~(depth > 0) | (depth == float("inf")) | F.isnan(depth)
 
 
+@once
 def local_direction(output: Column, direction: Column, depth: Column, source: Column) -> Column:
     """What an output ray looks at, on the sphere of the assumed depth about the output camera, in the source's space."""
     point = point_to_local(source, add(output["pos"], scale(normalize(direction), depth)))
     return F.when(depth_is_infinite(depth), dir_to_local(source, direction)).otherwise(point)
 
 
+@once
 def reproject_to_camera(output: Column, direction: Column, depth: Column, source: Column, intrinsics: Column) -> Column:
     return bound(local_direction(output, direction, depth, source), lambda v: project_pinhole(intrinsics, v))
 
 
+@once
 def reproject_to_fov(output: Column, direction: Column, depth: Column, source: Column, f: Column, width: Column, height: Column) -> Column:
     return bound(local_direction(output, direction, depth, source), lambda v: fov_project(f, v, width, height))
 
@@ -202,10 +226,12 @@ def reproject_to_fov(output: Column, direction: Column, depth: Column, source: C
 # -- colour ----------------------------------------------------------------------------------
 
 
+@once
 def srgb_to_linear(v: Column) -> Column:
     return F.when(v <= 0, 0.0).when(v >= 1, 1.0).when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
 
 
+@once
 def linear_to_srgb(v: Column) -> Column:
     return F.when(v <= 0, 0.0).when(v >= 1, 1.0).when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
 
