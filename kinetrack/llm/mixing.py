@@ -65,7 +65,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     counts = written(counts, "mixing-buckets")
     total = counts.agg(*[F.coalesce(F.sum(f"n_{d}"), F.lit(0)).alias(d) for d in DOMAINS]).first()
     # shrunk towards the clean domain, so that a domain without words has no odds; few words are no evidence
-    base = (F.col(f"n_{DOMAINS[0]}") + 1) / (total[DOMAINS[0]] + BUCKETS)
+    overall = sum((F.col(f"n_{d}") for d in DOMAINS), F.lit(0)) / max(1, sum(total))
+    base = (F.col(f"n_{DOMAINS[0]}") + STRENGTH * overall) / (total[DOMAINS[0]] + STRENGTH)
     odds = {d: F.log((F.col(f"n_{d}") + STRENGTH * base) / (total[d] + STRENGTH) / base) for d in DOMAINS[1:]}
     seen = {d: F.when(x > 0, F.col(f"n_{d}")).otherwise(F.col(f"n_{DOMAINS[0]}")) >= SEEN for d, x in odds.items()}
     table = counts.select("bucket", *[F.when((F.abs(x) >= LEAST) & seen[d], x).otherwise(0.0).alias(d) for d, x in odds.items()])

@@ -171,25 +171,31 @@ def _patterns(rows: DataFrame, votes: dict[str, Column]) -> DataFrame:
     return written(rows.groupBy(*[v.alias(k) for k, v in votes.items()]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
 
 
-def quality_rules(docs: DataFrame, rules: dict[str, Column] | None = None, threshold: float = 0.5, rounds: int = 15) -> DataFrame:
-    """doc_id, features, ``base_failed``, ``kept``, ``quality`` (posterior) and votes, a row for each row of ``docs``.
+def _judged(docs: DataFrame, keys: list[str], rules: dict[str, Column] | None, threshold: float, rounds: int) -> DataFrame:
+    """``keys`` of each row with a struct ``q_rules``.
 
     Features are written once to the shared folder (a narrow table, without texts), as the label
     model needs a pass before the documents can be judged.
     """
     rules = rules or default_rules()
-    rows = with_features(docs).select("doc_id", "q_features").withColumns({f"q_vote_{k}": v for k, v in rules.items()})
+    rows = with_features(docs).select(*keys, "q_features").withColumns({f"q_vote_{k}": v for k, v in rules.items()})
     rows = written(rows, "quality")
     votes = {k: F.col(f"q_vote_{k}") for k in rules}
     model = fit_label_model(_patterns(rows, votes), list(rules), rounds)
-    return rows.select("doc_id", _found(model, votes, threshold).alias("q_rules")).select("doc_id", "q_rules.*")
+    return rows.select(*keys, _found(model, votes, threshold).alias("q_rules"))
+
+
+def quality_rules(docs: DataFrame, rules: dict[str, Column] | None = None, threshold: float = 0.5, rounds: int = 15) -> DataFrame:
+    """doc_id, features, ``base_failed``, ``kept``, ``quality`` (posterior) and votes, a row for each row of ``docs``."""
+    return _judged(docs, ["doc_id"], rules, threshold, rounds).select("doc_id", "q_rules.*")
 
 
 def keep_good(docs: DataFrame, rules: dict[str, Column] | None = None, threshold: float = 0.5, rounds: int = 15) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    Features are computed again for the second pass: that takes no shuffle and no copy of the texts.
+    Rows meet their verdict by doc_id and a hash of the text, so that rows with equal doc_id stay apart.
     """
-    rules = rules or default_rules()
-    model = fit_label_model(_patterns(with_features(docs), rules), list(rules), rounds)
-    return with_features(docs).where(_found(model, rules, threshold)["kept"]).select(*docs.columns)
+    keys = {"q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "q_text": F.xxhash64("text")}
+    judged = _judged(docs.select("doc_id", "text").withColumns(keys), list(keys), rules, threshold, rounds)
+    kept = judged.where("q_rules.kept").select(*keys).distinct()
+    return docs.withColumns(keys).join(kept, list(keys), "left_semi").drop(*keys)

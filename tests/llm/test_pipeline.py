@@ -1,0 +1,51 @@
+"""The registered queries and the corpus pipeline on the small tables."""
+
+from __future__ import annotations
+
+import duckdb
+import pandas as pd
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from kinetrack.llm.queries import oracle_sql, queries
+from kinetrack.llm.storage import table, written
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs, seen = table(spark, DATA, "documents"), []
+    before = {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, DATA), name.replace(" ", "-"))
+        now = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert now <= before and (name == "mixing" or docs.columns == corpus_pipeline.COLUMNS)
+        seen.append(len(now))
+        before = now
+    assert seen[0] > 0 and seen == sorted(seen, reverse=True)
+    assert docs.where("copies < 1 OR rate < 0").count() == 0
+
+
+def test_all_queries_are_registered():
+    names = set(__spark_entry__.queries())
+    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got = queries()[name](spark, DATA).toArrow().to_pandas(integer_object_nulls=True)
+    want = c.sql(oracle_sql()[name]).to_arrow_table().to_pandas(integer_object_nulls=True)
+    key = lambda df: sorted(tuple("" if x is None or x is pd.NA else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert key(got) == key(want)
+
+
+def test_held_out_scores(spark):
+    found = queries()["op5_lm_trie"](spark, DATA).where("held_out").toPandas()
+    assert found.score.sum() > found.base_score.sum()
+    langs = {r["doc_id"]: r["lang"] for r in table(spark, DATA, "documents").collect()}
+    held = queries()["op3_language_id"](spark, DATA).where("held_out").collect()
+    assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) >= 0.95 * len(held)
