@@ -99,8 +99,8 @@ def rate(p: Column, residuals: list[list[float]], ridge: float) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - step * (dot(e) + ridge * (r - 1))))
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], rounds: int = 25, ridge: float = 1e-3, tolerance: float = 1e-5) -> list[list[float]]:
-    """Residuals of each round, which give every document's rate."""
+def fit_rates(table: DataFrame, targets: dict[str, float], rounds: int = 25, ridge: float = 1e-3, tolerance: float = 1e-4) -> list[list[float]]:
+    """Residuals of each round, which give every document's rate.  Ends where shares are met or move no more."""
     weight = sum(targets.values())
     sums = lambda r: [F.sum(r * F.col("n_tokens") * F.get("p", k)).alias(d) for k, d in enumerate(DOMAINS)]
     start = table.agg(*sums(F.lit(1.0))).first()
@@ -114,7 +114,8 @@ def fit_rates(table: DataFrame, targets: dict[str, float], rounds: int = 25, rid
     for _ in range(rounds):
         now = table.agg(*sums(rate(F.col("p"), residuals, ridge))).first() if residuals else start
         error = [x / budget - targets.get(d, 0.0) / weight for x, d in zip(now, DOMAINS, strict=True)]
-        if max(map(abs, error)) < tolerance:
+        still = residuals and max(abs(e / s - r) * s for e, s, r in zip(error, shares, residuals[-1], strict=True)) < tolerance / 10
+        if max(map(abs, error)) < tolerance or still:
             break
         residuals.append([e / s for e, s in zip(error, shares, strict=True)])
     return residuals

@@ -155,7 +155,12 @@ def fit_label_model(patterns: DataFrame, rules: list[str], rounds: int = 15, pri
             good = clip((s[f"{k}_gg"] + 0.99 * smoothing) / (s[f"{k}_g"] + smoothing), 0.6, 0.9995)
             bad = clip((s[f"{k}_bb"] + 0.3 * smoothing) / (s[f"{k}_b"] + smoothing), 0.05, 0.99)
             accuracies[k] = (good, max(bad, 1.02 - good))
-        model = LabelModel(clip(s["good"] / s["all"], 0.05, 0.99), accuracies)
+        new = LabelModel(clip(s["good"] / s["all"], 0.05, 0.99), accuracies)
+        moved = max(abs(a - b) for k in rules for a, b in zip(new.accuracies[k], model.accuracies[k], strict=True))
+        settled = max(moved, abs(new.prior - model.prior)) < 1e-4
+        model = new
+        if settled:
+            break
     return model
 
 

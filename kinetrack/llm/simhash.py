@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kinetrack.llm.components import connected_components
 from kinetrack.llm.storage import written
-from kinetrack.llm.textbytes import lower_ascii
+from kinetrack.llm.textbytes import lean, lower_ascii
 
 SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
@@ -81,6 +82,7 @@ def _probes(distinct: DataFrame, distance: int) -> DataFrame:
     balls = _balls(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in range(0, batch.num_rows, 4096):
                 fp = batch.column("fp").to_numpy(zero_copy_only=False)[part : part + 4096].astype(np.int64)
@@ -153,6 +155,7 @@ def links(distinct: DataFrame, distance: int = 4, forest_from: int | None = 64)
     many rows give a spanning forest of their links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
 
         def give(bucket: np.ndarray, fp: np.ndarray, here: np.ndarray) -> pa.RecordBatch:
             u, v = _links_of(bucket, fp.view(np.uint64), here, distance, forest_from)

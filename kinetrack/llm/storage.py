@@ -29,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch that a task holds; texts are long, so Spark's default is lowered to this.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrack.llm.storage import written
-from kinetrack.llm.textbytes import SLICE_BYTES, slices, utf8_columns
+from kinetrack.llm.textbytes import SLICE_BYTES, lean, slices, utf8_columns
 
 #: Parameters of the names: an odd multiplier, a scrambler, and the seed of the byte table.
 _BASE = 0x9E3779B97F4A7C15
@@ -118,6 +118,7 @@ def runs(docs: DataFrame, size: int) -> DataFrame:
     """The first shuffled round's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             doc, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "place"))
             for lo, hi, at, raw in slices(batch.column("text")):
@@ -150,6 +151,7 @@ def _pairs(texts: DataFrame, left: DataFrame, size: int) -> DataFrame:
     by_doc = left.groupBy("doc_id", "place").agg(F.collect_list(F.struct("start", "starts")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for k in range(batch.num_rows):
                 raw = np.frombuffer((batch.column("text")[k].as_py() or "").encode(), np.uint8)
@@ -221,6 +223,7 @@ def repeated_spans(docs: DataFrame, size: int = 400, carry: list[str] | None = N
     by_doc = early.unionByName(late).groupBy("doc_id", "place").agg(F.collect_list(F.struct("start", "starts")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             at, raw = utf8_columns(batch.column("text"))

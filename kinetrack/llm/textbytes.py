@@ -10,6 +10,16 @@ import pyarrow as pa
 #: Bytes of text that a task holds as NumPy arrays at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 19
 
+
+def lean() -> None:
+    """For tasks: Arrow memory comes from the system's allocator, which gives freed batches back at once.
+
+    Spark keeps idle Python workers, and what a pool of theirs retains counts against the executor.
+    """
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
