@@ -120,10 +120,30 @@ def _options(c: str, n: int) -> list[tuple[str, float]]:
     return [(" ", 0.0)]
 
 
+_TOP = 0x20AD
+_IS = {k: np.zeros(_TOP + 1, bool) for k in ("look", "gap", "space")}
+for _k, _chars in (("look", LOOKALIKES), ("gap", ".-_*~"), ("space", [c for c in map(chr, range(_TOP)) if c.isspace()])):
+    _IS[_k][[ord(c) for c in _chars]] = True
+
+
+def hinted(text: str) -> bool:
+    """Whether a text may hold a suspicious stretch: coarse tests on its characters first, as most texts have none."""
+    if len(text) >= 32:
+        a = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        low = np.minimum(a, _TOP)
+        look, gap, space = (_IS[k][low] for k in ("look", "gap", "space"))
+        letter = a > 64
+        thrice = (a[:-2] == a[1:-1]) & (a[1:-1] == a[2:]) & letter[2:]
+        alone = np.concatenate([[space[1]], space[:-2] & space[2:], [space[-2]]]) & ~space
+        if not (thrice.any() or (look[:-1] & letter[1:]).any() or (gap[:-2] & gap[2:]).any() or (alone[:-2] & alone[2:]).any()):
+            return False
+    return bool(_HINT.search(text))
+
+
 def words_of(text: str | None, model: CharacterModel | None, cache: dict[str, str]) -> Counter:
     """Words of the restored text, lower-case."""
     text = text or ""
-    if model is None or not _HINT.search(text):
+    if model is None or not hinted(text):
         return Counter(_WORD.findall(text.lower()))
     plain, hidden = [], []
     run: list[str] = []
