@@ -41,4 +41,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES = {"op4_warc": OP4, "op8_chat_format": OP8, "op9_decontaminate": OP9}
+_RULES = {
+    "length": ("n_words >= 80", "n_words < 50"),
+    "word_length": ("m BETWEEN 3.5 AND 8.0", "m < 2.5 OR m > 14.0"),
+    "symbols": ("n_symbols <= 0.01 * c", "n_symbols > 0.04 * c"),
+    "marks": ("n_marks <= 0.01 * c", "n_marks > 0.05 * c"),
+    "dup_lines": ("n_dup_lines <= 0.1 * greatest(n_lines, 1)", "n_dup_lines > 0.3 * n_lines"),
+    "repeats": ("n_repeat_words <= 0.15 * w", "n_repeat_words > 0.4 * w"),
+    "upper": ("n_upper <= 0.1 * c", "n_upper > 0.3 * c"),
+    "letters": ("n_letters >= 0.85 * c", "n_letters < 0.65 * c"),
+    "alpha_words": ("n_alpha >= 0.9 * w", "n_alpha < 0.8 * w"),
+    "short_words": ("n_short >= 0.1 * w", "n_short < 0.02 * w"),
+}
+
+
+def _quality(rounds: int = 15) -> str:
+    """Features, votes and expectation-maximisation over vote patterns, a round a pair of CTEs."""
+    votes = ", ".join(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 ELSE -1 END AS v_{k}" for k, (good, bad) in _RULES.items())
+    logit = "ln(prior / (1 - prior)) + " + " + ".join(f"CASE v_{k} WHEN 1 THEN ln(g_{k} / (1 - b_{k})) WHEN 0 THEN ln((1 - g_{k}) / b_{k}) ELSE 0 END" for k in _RULES)
+    first = ", ".join(f"0.99::DOUBLE AS g_{k}, 0.3::DOUBLE AS b_{k}" for k in _RULES)
+    good = {k: f"least(0.9995, greatest(0.6, (sum(CASE WHEN v_{k} = 1 THEN p * n ELSE 0 END) + 9.9) / (sum(CASE WHEN v_{k} >= 0 THEN p * n ELSE 0 END) + 10)))" for k in _RULES}
+    bad = {k: f"least(0.99, greatest(0.05, (sum(CASE WHEN v_{k} = 0 THEN (1 - p) * n ELSE 0 END) + 3.0) / (sum(CASE WHEN v_{k} >= 0 THEN (1 - p) * n ELSE 0 END) + 10)))" for k in _RULES}
+    means = ", ".join(f"{good[k]} AS g_{k}, greatest({bad[k]}, 1.02 - {good[k]}) AS b_{k}" for k in _RULES)
+    em = ", ".join(
+        f"e{i} AS MATERIALIZED (SELECT pat.*, 1 / (1 + exp(-({logit}))) AS p FROM pat, p{i - 1}), p{i} AS MATERIALIZED (SELECT least(0.99, greatest(0.05, sum(p * n) / sum(n))) AS prior, {means} FROM e{i})" for i in range(1, rounds + 1)
+    )
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  len(l) AS n_lines, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters,
+  len(list_filter(ws, lambda x: length(x) <= 3)) AS n_short, length(t) - length(translate(t, '!?', '')) AS n_marks, len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha
+  FROM w LEFT JOIN cov USING (doc_id)),
+v AS (SELECT *, {votes} FROM (SELECT *, greatest(n_words, 1) AS w, greatest(word_chars, 1) AS c, word_chars::DOUBLE / greatest(n_words, 1) AS m FROM f)),
+pat AS MATERIALIZED (SELECT {", ".join(f"v_{k}" for k in _RULES)}, count(*) AS n FROM v GROUP BY ALL),
+p0 AS MATERIALIZED (SELECT 0.8::DOUBLE AS prior, {first}), {em}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({logit}))) >= 0.5 AS kept
+FROM v, p{rounds}
+"""
+
+
+ORACLES = {"op1_quality_rules": _quality(), "op4_warc": OP4, "op8_chat_format": OP8, "op9_decontaminate": OP9}
