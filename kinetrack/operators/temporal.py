@@ -127,10 +127,14 @@ def offset_in(clock: Column, host: Column) -> Column:
 
 
 def host_from_device(device: Column, clock: Column, rounds: int = 32) -> Column:
-    """Inverse of ``t + offset(t)``: fixed-point rounds in a fold (a fixed point stays one)."""
-    return F.when(F.size(clock) == 0, device).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), device - offset_in(clock, device), lambda h, _: device - offset_in(clock, h))
-    )
+    """Inverse of ``t + offset(t)``: fixed-point rounds in a fold, which computes no more once a round changes nothing."""
+    start = F.struct((device - offset_in(clock, device)).alias("h"), F.lit(False).alias("done"))
+
+    def step(a: Column, _: Column) -> Column:
+        new = F.get(F.transform(F.array(device - offset_in(clock, a["h"])), lambda n: F.struct(n.alias("h"), (n == a["h"]).alias("done"))), F.lit(0))
+        return F.when(a["done"], a).otherwise(new)
+
+    return F.when(F.size(clock) == 0, device).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda a: a["h"]))
 
 
 def capture_ns(t_xr: Column, t_device: Column, exposure: Column) -> Column:
