@@ -1,19 +1,22 @@
 """N-gram language model in an Elias-Fano trie that tasks memory-map.
 
-Training counts words and word pairs over all training texts.  The trie has three levels, each cut
-into pieces of bounded size that are files of the shared folder:
+Training counts words, word pairs and (``order`` 3) triples over all training texts.  The trie has a level
+for each order and one for the contexts of each order, cut into pieces of bounded size that are files of the shared folder:
 
 * words: their 64-bit hashes in ascending order (Elias-Fano) and their counts; a word's id is its rank;
 * contexts: ids of words that something kept follows, with the quantised back-off weight;
 * children: for each piece, the contexts in it, monotone pointers to their first child, and the
-  children's ids relative to their context, all Elias-Fano, with quantised log10 probabilities.
+  children's ids relative to their context, all Elias-Fano, with quantised log10 probabilities;
+* the same two levels once more for triples, whose contexts are pairs: a pair's id is its rank among the
+  children.  Values of triples are the discounted shares alone; scoring adds the weighted pair's probability.
 
 A query finds its context in a piece, reads two pointers, and searches the child's successor between
 them.  Pieces are cut by range over (context, child), so a frequent context is spread over many.
 
 Probabilities: interpolated absolute discounting,
     P(w | u) = max(n(u, w) - D, 0) / n(u) + backoff(u) * P(w),   P(w) = (n(w) + 1) / (N + V + 1),
-with pairs seen fewer than ``min_count`` times pruned (their mass goes to the back-off weight, so that
+    P(w | t, u) = max(n(t, u, w) - D, 0) / n(t, u) + backoff(t, u) * P(w | u),
+with pairs and triples seen fewer than ``min_count`` times pruned (their mass goes to the back-off weight, so that
 each context's probabilities still sum to one over the words and one unknown word).
 
 Edge cases: null and empty texts are one end token; a null doc_id is a training row; without any
@@ -153,9 +156,12 @@ class Pieces:
 
 
 class Trie:
-    def __init__(self, words: list, contexts: list, children: list, tokens: int, texts: int):
+    def __init__(self, words: list, contexts: list, children: list, tokens: int, texts: int, pair_contexts: list | None = None, triples: list | None = None):
         self.words, self.contexts, self.children = Pieces(words), Pieces(contexts), Pieces(children)
+        self.pair_contexts, self.triples = Pieces(pair_contexts or []), Pieces(triples or [])
         self.tokens, self.texts, self.types = tokens, texts, int(self.words.base[-1])
+        #: Bits of a word's id in the key of a triple.
+        self.bits = max(1, self.types.bit_length())
 
     def ids(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of words."""
@@ -168,23 +174,23 @@ class Trie:
             count[rows[ok]] = arrays["count"][i[ok]]
         return out, count
 
-    def backoff(self, context: np.ndarray) -> np.ndarray:
+    def backoff(self, context: np.ndarray, level: Pieces | None = None) -> np.ndarray:
         """log10 of the back-off weight of contexts; 0 where no child was kept."""
-        out = np.zeros(len(context))
-        for p, rows in self.contexts.of(np.maximum(context, 0).astype(np.uint64)):
-            arrays = mapped(self.contexts.files[p])
+        level, out = level or self.contexts, np.zeros(len(context))
+        for p, rows in level.of(np.maximum(context, 0).astype(np.uint64)):
+            arrays = mapped(level.files[p])
             i = _ef(arrays, "id").find(np.maximum(context[rows], 0).astype(np.uint64))
             ok = (i >= 0) & (context[rows] >= 0)
             out[rows[ok]] = -STEP * arrays["backoff"][i[ok]]
         return out
 
-    def child(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 P(word | context) of kept pairs, NaN for others."""
-        out = np.full(len(context), np.nan)
+    def found(self, level: Pieces, bits: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and log10 values of a level's entries, -1 and NaN for what is not kept."""
+        ids, out = np.full(len(context), -1, np.int64), np.full(len(context), np.nan)
         known = np.flatnonzero((context >= 0) & (word >= 0))
-        key = (context[known].astype(np.uint64) << np.uint64(32)) | word[known].astype(np.uint64)
-        for p, rows in self.children.of(key):
-            arrays = mapped(self.children.files[p])
+        key = (context[known].astype(np.uint64) << np.uint64(bits)) | word[known].astype(np.uint64)
+        for p, rows in level.of(key):
+            arrays = mapped(level.files[p])
             own, c, w = known[rows], context[known[rows]].astype(np.uint64), word[known[rows]].astype(np.uint64)
             place, distinct = pd.factorize(c)
             at = _ef(arrays, "context").find(distinct)
@@ -197,7 +203,24 @@ class Trie:
             wide = np.uint64(arrays["wide"][0])
             j = _ef(arrays, "child").find(i.astype(np.uint64) * wide + w, first, last)
             ok = j >= 0
+            ids[own[ok]] = j[ok] + level.base[p]
             out[own[ok]] = -STEP * arrays["log10"][j[ok]]
+        return ids, out
+
+    def child(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and log10 P(word | context) of kept pairs, -1 and NaN for others."""
+        return self.found(self.children, 32, context, word)
+
+    def third(self, pair: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 P(word | pair), where ``lower`` is without the pair's first word; ``lower`` where the pair (id) is -1."""
+        out = lower.copy()
+        rows = np.flatnonzero(pair >= 0)
+        pair, word = pair[rows], word[rows]
+        back, key = pd.factorize((pair.astype(np.uint64) << np.uint64(self.bits + 1)) | (word + 1).astype(np.uint64))
+        own = self.found(self.triples, self.bits, (key >> np.uint64(self.bits + 1)).astype(np.int64), (key & np.uint64((2 << self.bits) - 1)).astype(np.int64) - 1)[1]
+        share = np.where(np.isnan(own), 0.0, 10.0**own)[back]
+        back, distinct = pd.factorize(pair)
+        out[rows] = np.log10(share + 10.0 ** (self.backoff(distinct, self.pair_contexts)[back] + lower[rows]))
         return out
 
     def begin(self) -> int:
@@ -233,8 +256,22 @@ def _piece(folder: str, kind: str, first: int, n: int, arrays: dict[str, np.ndar
     return pa.RecordBatch.from_arrays([pa.array([np.uint64(first).view(np.int64)]), pa.array([n], pa.int64()), pa.array([described])], ["first", "entries", "file"])
 
 
-def train(texts: DataFrame, min_count: int = 2, piece: int = PIECE) -> Trie:
-    """The trie of all rows' ``text``.  What reaches the driver is the list of pieces and two totals."""
+def _nodes(own: np.ndarray, place: np.ndarray, size: np.ndarray, word: np.ndarray, types: int) -> dict[str, np.ndarray]:
+    """Arrays of a piece of children: contexts, pointers to their first child, children within their context."""
+    out = {"wide": np.array([types], np.int64)} | _ef_arrays("context", EliasFano.of(own.astype(np.uint64)))
+    out |= _ef_arrays("pointer", EliasFano.of(np.concatenate([[0], np.cumsum(size)]).astype(np.uint64)))
+    return out | _ef_arrays("child", EliasFano.of(place.astype(np.uint64) * np.uint64(types) + word.astype(np.uint64)))
+
+
+def _before(x: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
+    """Each token's predecessor's value, ``start`` for the first of each text (n: tokens of texts)."""
+    out = np.concatenate([[start], x[:-1]]) if len(x) else x.copy()
+    out[np.cumsum(n) - n] = start
+    return out
+
+
+def train(texts: DataFrame, min_count: int = 2, piece: int = PIECE, order: int = 2) -> Trie:
+    """The trie of all rows' ``text``, of order 2 or 3.  What reaches the driver is the list of pieces and two totals."""
     spark = texts.sparkSession
     folder = fresh_path(spark, "lm")
     texts = texts.select("text")
@@ -268,8 +305,7 @@ def train(texts: DataFrame, min_count: int = 2, piece: int = PIECE) -> Trie:
             word, n = _tokens(batch.column("text"))
             inverse, key = pd.factorize(word)
             ids = trie.ids(key)[0][inverse]
-            before = np.concatenate([[0], ids[:-1]])
-            before[np.cumsum(n) - n] = trie.begin()
+            before = _before(ids, n, trie.begin())
             pair, n = np.unique((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], ["pair", "n"])
 
@@ -296,23 +332,64 @@ def train(texts: DataFrame, min_count: int = 2, piece: int = PIECE) -> Trie:
             context, word = pair >> 32, pair & 0xFFFFFFFF
             own, place, size = np.unique(context, return_inverse=True, return_counts=True)
             total = _totals(trie, own)[place]
-            low = 10.0 ** (trie.backoff(own)[place] + trie.log10_unigram(_counts(trie, word)))
-            arrays = {"log10": quantised(np.log10((n - DISCOUNT) / total + low)), "wide": np.array([trie.types], np.int64)}
-            arrays |= _ef_arrays("context", EliasFano.of(own.astype(np.uint64))) | _ef_arrays("pointer", EliasFano.of(np.concatenate([[0], np.cumsum(size)]).astype(np.uint64)))
-            arrays |= _ef_arrays("child", EliasFano.of(place.astype(np.uint64) * np.uint64(trie.types) + word.astype(np.uint64)))
+            low = 10.0 ** (trie.backoff(own)[place] + trie.log10_unigram(_counts(trie.words, word)))
+            arrays = {"log10": quantised(np.log10((n - DISCOUNT) / total + low))} | ({"count": n.astype(np.int64)} if order > 2 else {})
+            arrays |= _nodes(own, place, size, word, trie.types)
             yield _piece(folder, "children", int(pair[0]), len(pair), arrays)
 
     children = _pieces_written(pairs.repartitionByRange(partitions, "pair").sortWithinPartitions("pair"), write_children, "lm-child-pieces")
-    return Trie(found, contexts, children, tokens, number)
-
-
-def _counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
-    """Counts of words by id."""
+    if order < 3:
+        return Trie(found, contexts, children, tokens, number)
+    two = Trie(found, contexts, children, tokens, number)
+    if int(two.children.base[-1]) >= 1 << (62 - two.bits):
+        raise ValueError("ids of a pair and a word do not fit a triple's key")
+    third = spark.sparkContext.broadcast(two)
+    bits = two.bits
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        trie = third.value
+        for batch in _parts(batches, COUNT_BYTES):
+            word, n = _tokens(batch.column("text"))
+            inverse, key = pd.factorize(word)
+            ids = trie.ids(key)[0][inverse]
+            back, pair = pd.factorize((_before(ids, n, trie.begin()).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
+            rank = trie.child((pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))[0][back]
+            context = _before(rank, n, -1)
+            ok = context >= 0
+            triple, n = np.unique((context[ok] << bits) | ids[ok], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(triple), pa.array(n)], ["triple", "n"])
+
+    triples = texts.mapInArrow(count_triples, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    triples = written(triples, "lm-triples")
+    sums = triples.groupBy(F.shiftright("triple", bits).alias("pair")).agg(F.sum(F.col("n") - DISCOUNT).alias("kept"))
+
+    def write_pair_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, kept in _chunks(batches, piece):
+            weight = np.log10(np.maximum(1.0 - kept / _counts(third.value.children, pair), 1e-15))
+            key = pair.astype(np.uint64)
+            yield _piece(folder, "pairs", int(key[0]), len(key), {"backoff": quantised(weight)} | _ef_arrays("id", EliasFano.of(key)))
+
+    def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = third.value
+        for triple, n in _chunks(batches, piece):
+            pair, word = triple >> bits, triple & ((1 << bits) - 1)
+            own, place, size = np.unique(pair, return_inverse=True, return_counts=True)
+            arrays = {"log10": quantised(np.log10((n - DISCOUNT) / _counts(trie.children, own)[place]))}
+            yield _piece(folder, "triples", int(triple[0]), len(triple), arrays | _nodes(own, place, size, word, trie.types))
+
+    pair_contexts = _pieces_written(sums.repartitionByRange(partitions, "pair").sortWithinPartitions("pair"), write_pair_contexts, "lm-pair-pieces")
+    last = _pieces_written(triples.repartitionByRange(partitions, "triple").sortWithinPartitions("triple"), write_triples, "lm-triple-pieces")
+    return Trie(found, contexts, children, tokens, number, pair_contexts, last)
+
+
+def _counts(level: Pieces, ids: np.ndarray) -> np.ndarray:
+    """Counts of a level's entries by id."""
     out = np.zeros(len(ids), np.int64)
-    piece = np.searchsorted(trie.words.base, ids, side="right") - 1
+    piece = np.searchsorted(level.base, ids, side="right") - 1
     for p in np.unique(piece).tolist():
         rows = np.flatnonzero(piece == p)
-        out[rows] = mapped(trie.words.files[p])["count"][ids[rows] - trie.words.base[p]]
+        out[rows] = mapped(level.files[p])["count"][ids[rows] - level.base[p]]
     return out
 
 
@@ -320,7 +397,7 @@ def _totals(trie: Trie, context: np.ndarray) -> np.ndarray:
     """How often contexts were followed by anything."""
     out = np.full(len(context), float(trie.texts))
     inner = context != trie.begin()
-    out[inner] = _counts(trie, context[inner])
+    out[inner] = _counts(trie.words, context[inner])
     return out
 
 
@@ -340,14 +417,14 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
             known, count = model.ids(key)
             single, ids = model.log10_unigram(count)[inverse], known[inverse]
             base = np.log10((count + 1.0) / (model.tokens + model.types + 1.0))[inverse]
-            before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-            first = np.cumsum(n) - n
-            before[first] = model.begin()
+            before, first = _before(ids, n, model.begin()), np.cumsum(n) - n
             back, pair = pd.factorize(((before + 1).astype(np.uint64) << np.uint64(32)) | (ids + 1).astype(np.uint64))
             c, w = (pair >> np.uint64(32)).astype(np.int64) - 1, (pair & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
-            best = model.child(c, w)[back]
+            rank, best = (x[back] for x in model.child(c, w))
             place, distinct = pd.factorize(c)
             value = np.where(np.isnan(best), single + model.backoff(distinct)[place][back], best)
+            if model.triples.files:
+                value = model.third(_before(rank, n, -1), ids, value)
             add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, x.dtype)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(add((ids >= 0).astype(np.int64))), pa.array(add(base)), pa.array(add(value))],

@@ -35,7 +35,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    trie = lm_trie.train(docs.where(~held))
+    trie = lm_trie.train(docs.where(~held), min_count=1, order=3)
     found = lm_trie.score(docs, trie)
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kinetrack.llm import chat_format, components, decontaminate, language_id, lm_trie, mixing, quality_rules, simhash, suffix_dedup, toxicity, warc
 from kinetrack.llm.elias_fano import EliasFano
+from kinetrack.llm.queries import queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
@@ -190,6 +191,29 @@ def test_lm_trie(docs, none):
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in empty)
 
 
+def test_lm_trie_query_keeps_single_pairs_and_triples(spark, tmp_path):
+    rng = random.Random(7)
+    texts = [(i, prose(60, rng)) for i in range(60)] + [(60, None), (61, ""), (None, "one two three one two four")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    split = lambda t: [*WORD.findall((t or "").translate(LOWER)), None]
+    tokens = [split(t) for i, t in texts if not held(i)]
+    one, d = Counter(w for t in tokens for w in t), lm_trie.DISCOUNT
+    two, three = (Counter(g for t in tokens for g in zip(*(["<s>", *t][k:] for k in range(n)))) for n in (2, 3))
+    follows = {n: Counter(g[:-1] for g in c) for n, c in ((2, two), (3, three))}
+    total = Counter({("<s>",): len(tokens)}) + Counter({(w,): n for w, n in one.items()})
+    p1 = lambda w: (one[w] + 1) / (sum(one.values()) + len(one) + 1)
+    more = lambda n, c, g, size, low: low if not follows[n][g[:-1]] else (max(c[g] - d, 0) + d * follows[n][g[:-1]] * low) / size[g[:-1]]
+    got = {r["doc_id"]: r for r in queries()["op5_lm_trie"](spark, str(tmp_path)).collect()}
+    assert any(held(i) for i, _ in texts) and min(two.values()) == 1
+    for i, text in texts:
+        t, full = ["<s>", *split(text)], 0.0
+        for k in range(1, len(t)):
+            low = more(2, two, (t[k - 1], t[k]), total, p1(t[k]))
+            full += np.log10(more(3, three, (t[k - 2], t[k - 1], t[k]), two, low) if k > 1 else low)
+        assert got[i]["held_out"] == held(i) and abs(got[i]["score"] - full) <= 4e-4 * len(t)
+
+
 def test_mixing(spark):
     rows, labels = [], []
     for i in range(240):
