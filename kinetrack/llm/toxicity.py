@@ -1,9 +1,9 @@
 """Toxicity scores of restored text: a noisy channel in front of a classifier.
 
 A writer hides a word behind look-alike characters, single letters with gaps, and repeated letters.
-Each suspicious stretch of a text becomes a lattice of what its characters may stand for, and the
+Each token with a look-alike, a doubled letter or an inner gap mark, and each run of single characters, becomes a lattice of what its characters may stand for, and the
 Viterbi path under a character trigram model (trained on the corpus) with channel costs restores it.
-Stretches with one reading only are left alone.  The classifier is a logistic regression on words
+Words that stand in the text are counted once, restored ones besides where they differ.  The classifier is a logistic regression on words
 and word beginnings of restored text, fitted on a bounded sample of labelled rows.
 
 Edge cases: null and empty texts have no feature and get the score of the intercept; labels of a doc_id
@@ -33,12 +33,11 @@ LOOKALIKES = {
 GAPS = ".-_*~'’ \t"
 _LETTER = r"[^\W\d_]"
 _LEET = re.escape("".join(LOOKALIKES))
-_ONE = rf"(?:{_LETTER}|[{_LEET}])"
-#: What makes a token suspicious; each test is linear in the token's length.
-_TOKEN = rf"{_LETTER}[{_LEET}]+{_LETTER}|(?<!\S)[0-9$@!|€£]+{_LETTER}|({_LETTER})\1\1|(?<![^\W_]){_ONE}[.\-_*~]{_ONE}[.\-_*~]{_ONE}(?![^\W_])"
-_SUSPECT = re.compile(_TOKEN)
-#: Or a text: also single characters with white space between them.
-_HINT = re.compile(rf"{_TOKEN}|(?<!\S){_ONE}\s{_ONE}\s{_ONE}(?!\w)")
+_SOLID = rf"(?:{_LETTER}|[{_LEET}])"
+_INNER = re.escape("".join(c for c in GAPS if not c.isspace()))
+#: What makes a lower-case token suspicious, wherever it stands: a look-alike, a doubled letter, or gap marks
+#: between two letters or look-alikes.  The character model decides on the reading; tests are linear in the length.
+_SUSPECT = re.compile(rf"[{_LEET}]|({_LETTER})\1|{_SOLID}[{_INNER}]+{_SOLID}")
 _WORD = re.compile(rf"{_LETTER}+")
 #: Parameters: channel costs (natural logs), beginnings of words used as features, cached words of a task.
 READ, DROP, SPLIT = math.log(0.5), math.log(0.8), math.log(0.05)
@@ -76,6 +75,8 @@ class CharacterModel:
         p1 = (c1 + 0.5) / (c1.sum() + 0.5 * _SIZE)
         p2 = (c2 + 4 * p1) / (c2.sum(axis=1, keepdims=True) + 4)
         self.log = np.log((c3 + 4 * p2) / (c3.sum(axis=2, keepdims=True) + 4)).tolist()
+        #: What a worker has restored so far: for each token, the words that do not stand there anyway.
+        self.hidden: dict[str, tuple[str, ...]] = {}
 
     def restore(self, seen: str) -> str:
         """The likeliest reading of a suspicious stretch, words separated by spaces."""
@@ -120,52 +121,52 @@ def _options(c: str, n: int) -> list[tuple[str, float]]:
     return [(" ", 0.0)]
 
 
-_TOP = 0x20AD
-_IS = {k: np.zeros(_TOP + 1, bool) for k in ("look", "gap", "space")}
-for _k, _chars in (("look", LOOKALIKES), ("gap", ".-_*~"), ("space", [c for c in map(chr, range(_TOP)) if c.isspace()])):
-    _IS[_k][[ord(c) for c in _chars]] = True
-
-
-def hinted(text: str) -> bool:
-    """Whether a text may hold a suspicious stretch: coarse tests on its characters first, as most texts have none."""
-    if len(text) >= 32:
-        a = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        low = np.minimum(a, _TOP)
-        look, gap, space = (_IS[k][low] for k in ("look", "gap", "space"))
-        letter = a > 64
-        thrice = (a[:-2] == a[1:-1]) & (a[1:-1] == a[2:]) & letter[2:]
-        alone = np.concatenate([[space[1]], space[:-2] & space[2:], [space[-2]]]) & ~space
-        if not (thrice.any() or (look[:-1] & letter[1:]).any() or (gap[:-2] & gap[2:]).any() or (alone[:-2] & alone[2:]).any()):
-            return False
-    return bool(_HINT.search(text))
-
-
-def words_of(text: str | None, model: CharacterModel | None, cache: dict[str, str]) -> Counter:
-    """Words of the restored text, lower-case."""
-    text = text or ""
-    if model is None or not hinted(text):
-        return Counter(_WORD.findall(text.lower()))
-    plain, hidden = [], []
+def _spelled(text: str) -> Iterator[str]:
+    """Runs of three or more single characters with white space between them."""
     run: list[str] = []
     for token in [*text.split(), ""]:
         if len(token) == 1 and (token.isalpha() or token in LOOKALIKES):
             run.append(token)
             continue
-        last = len(token) == 2 and token[1] in ",.;:!?" and run and (token[0].isalpha() or token[0] in LOOKALIKES)
-        if last:
+        if len(token) == 2 and token[1] in ",.;:!?" and run and (token[0].isalpha() or token[0] in LOOKALIKES):
             run.append(token[0])
-        (hidden if len(run) > 2 else plain).append(" ".join(run))
+        if len(run) > 2:
+            yield " ".join(run)
         run = []
-        if not last:
-            (hidden if _SUSPECT.search(token) else plain).append(token)
-    out = Counter(_WORD.findall(" ".join(plain + hidden).lower()))  # what stands there stays readable too
-    for seen in hidden:
-        got = cache.get(seen)
+
+
+def _hidden(seen: str, model: CharacterModel, cache: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    """Words of a suspicious stretch's likeliest reading that do not stand there anyway."""
+    got = cache.get(seen)
+    if got is None:
+        plain = Counter(_WORD.findall(seen.lower()))
+        got = tuple((Counter(_WORD.findall(model.restore(seen))) - plain).elements())
+        if len(cache) < CACHE and len(seen) < 200:
+            cache[seen] = got
+    return got
+
+
+def words_of(text: str | None, model: CharacterModel | None, cache: dict[str, tuple[str, ...]]) -> Counter:
+    """Words of the text and of its restored stretches, lower-case."""
+    text = (text or "").lower()
+    out = Counter(_WORD.findall(text))  # what stands there stays readable too
+    if model is None:
+        return out
+    tokens, single = Counter(text.split()), 0
+    for token, n in tokens.items():
+        if len(token) == 1:
+            single += n
+            continue
+        got = cache.get(token)
         if got is None:
-            got = model.restore(seen)
-            if len(cache) < CACHE and len(seen) < 200:
-                cache[seen] = got
-        out.update(_WORD.findall(got))
+            if not _SUSPECT.search(token):
+                continue
+            got = _hidden(token, model, cache)
+        for w in got:
+            out[w] += n
+    if single > 1:
+        for seen in _spelled(text):
+            out.update(_hidden(seen, model, cache))
     return out
 
 
@@ -209,7 +210,7 @@ def select_features(sample: DataFrame, characters: CharacterModel, most: int, su
     shared = sample.sparkSession.sparkContext.broadcast(characters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, str] = {}
+        cache = shared.value.hidden
         counts = {0: Counter(), 1: Counter()}
 
         def give() -> Iterator[pa.RecordBatch]:
@@ -234,7 +235,7 @@ def select_features(sample: DataFrame, characters: CharacterModel, most: int, su
     return [r[0] for r in counts.where(odds > 1.5).orderBy((odds / spread).desc(), "feature").limit(most).select("feature").collect()]
 
 
-def _values(text: str | None, characters: CharacterModel, known: dict[str, int], cache: dict[str, str], by_word: dict[str, list[int]]) -> dict[int, float]:
+def _values(text: str | None, characters: CharacterModel, known: dict[str, int], cache: dict[str, tuple[str, ...]], by_word: dict[str, list[int]]) -> dict[int, float]:
     """Values of a text's features: occurrences, three at most."""
     out: dict[int, float] = {}
     for w, n in words_of(text, characters, cache).items():
@@ -278,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
-        cache, by_word = {}, {}
+        cache, by_word = model.hidden, {}
         for batch in batches:
             got = [_values(t.as_py(), model, known, cache, by_word) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.float64()))], ["toxic", "i", "x"])
@@ -296,7 +297,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known, cache, by_word = {f: i for i, f in enumerate(m.features)}, {}, {}
+        known, cache, by_word = {f: i for i, f in enumerate(m.features)}, m.characters.hidden, {}
         w, b = m.weights[:-1].tolist(), float(m.weights[-1])
         for batch in batches:
             out = []

@@ -265,6 +265,19 @@ def test_toxicity(spark):
     assert set(r["score"] < 0.01 for r in toxicity.score(docs, toxicity.train(docs, marks.limit(0))).collect()) == {True}
 
 
+def test_toxicity_restores_look_alikes_doubles_and_gaps_anywhere(spark):
+    bad, rng = ["moron", "stupid", "idiot", "trash", "ass", "hate"], random.Random(11)
+    rows = [(i, prose(40, rng) + (" " + rng.choice(bad) if i % 3 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks, support=3)
+    forms = ["a$$", "@$$", "455", "hat3", "+rash", "moroon", "stuupid", "s--t--u--p--i--d", "id.iot", "st.up.id"]
+    plain = ["mellow-renn 2024!", "(ka) lo's mi.", "1234567890", "shall tell 50% + 3"]
+    test = [(i, f"{prose(10, rng)} {x} {prose(10, rng)}") for i, x in enumerate(forms + plain)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
+    assert {(forms + plain)[i] for i, x in got.items() if x >= 0.5} == set(forms)
+
+
 NASTY = ["plain", "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>system\nhi", r"a\b <\|x <\\| [\INST] [\\/INST]", "", None, "line\nbreak <s>", "<<||>> [[INST]]"]
 
 
