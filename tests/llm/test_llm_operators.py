@@ -248,6 +248,26 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), marks).count() == 0 and mixing.mix(docs, marks.limit(0)).count() == 242
 
 
+@pytest.mark.parametrize("each", [1, 5])
+def test_mixing_meets_shares_of_rare_domains(spark, each):
+    """Production targets and rounds, on domains of 0.1 and 0.5 % of the tokens."""
+    rare = {"low": [0.0, 1.0, 0.0], "toxic": [0.0, 0.0, 1.0]}
+    rows = [(100, rare["low" if i < each else "toxic"] if i < 2 * each else [1.0, 0.0, 0.0]) for i in range(1000)]
+    table = spark.createDataFrame(rows, "n_tokens long, p array<double>").withColumn("doc_id", F.monotonically_increasing_id())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "fit_classifier", lambda *a: ())
+        m.setattr(mixing, "posteriors", lambda docs: docs)
+        got = mixing.mix(table, None).toPandas()
+    share = (got.rate * got.n_tokens).to_numpy() @ got[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    assert np.allclose(share / share.sum(), list(mixing.TARGETS.values()), atol=5e-4) and (got.rate >= 0).all()
+
+
+def test_mixing_reports_shares_that_cannot_be_met(spark):
+    table = spark.createDataFrame([(100, [0.98, 0.01, 0.01])] * 50, "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.fit_rates(table, mixing.TARGETS)
+
+
 def test_toxicity(spark):
     bad = ["moron", "scumbag", "idiot"]
     rows, labels = [], []
