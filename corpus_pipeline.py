@@ -21,10 +21,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    """One row of each group of near-duplicates: the smallest doc_id, then the smallest hash of the text.
+
+    Rows go by doc_id and a hash of the text, so rows that repeat a doc_id stay apart.  A null doc_id comes
+    after all others: such a row stays where its group has no other.  Of equal rows one stays.
+    """
+    keys = {"q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "q_text": F.xxhash64("text")}
+    rows = docs.select(*COLUMNS).withColumns(keys)
+    # equal texts have equal fingerprints, so groups of texts are groups of rows
+    found = simhash.near_duplicates(rows.select(F.col("q_text").alias("doc_id"), "text"))
+    groups = found.groupBy(F.col("doc_id").alias("q_text")).agg(F.min("component_id").alias("component"))
+    first = rows.groupBy("q_text").agg(F.min("q_id").alias("q_id")).join(groups, "q_text")
+    first = first.groupBy("component").agg(F.min(F.struct("q_id", "q_text")).alias("first")).select("first.*")
+    return rows.join(first, list(keys), "left_semi").dropDuplicates(list(keys)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

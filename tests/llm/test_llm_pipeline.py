@@ -27,6 +27,19 @@ def test_stages(spark):
     assert docs.where("copies < 1 OR rate < 0").count() == 0
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    words = [[f"{k}w{i}" for i in range(60)] for k in "abcd"]
+    a, b, c, d = (" ".join(x) for x in words)
+    # a: repeated rows; b: with a null id besides; c: null ids only; d: its first id is also that of a row of a's group
+    rows = [(5, a), (5, a), (2, a), (2, a), (None, b), (7, b), (None, c), (None, c), (2, d), (9, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()]
+    assert sorted(got, key=str) == sorted([(2, a), (7, b), (None, c), (2, d)], key=str)
+    repeated = [(5, a), (5, b), (1, b)]  # 5 is the first of a's group, not of b's
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in repeated], docs.schema)
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()) == [(1, b), (5, a)]
+
+
 def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
