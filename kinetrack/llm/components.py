@@ -29,7 +29,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(u long, v long) pairs -> (node, component = smallest node reachable), for nodes with an edge.
+    """(u, v) pairs of one ordered type -> (node, component = smallest node reachable), for nodes with an edge.
 
     An empty edge list has no components; self-loops are ignored (a node that has nothing else
     has no row); pairs may repeat and have any order.

@@ -1,10 +1,18 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has 64 bits from the XXH64 hashes of word shingles.  Fingerprints within
-``distance`` bits are linked: 64 bits are cut into three segments (21, 21 and 22 bits); of two
-linked fingerprints one segment differs in at most distance // 3 bits.  Each *distinct*
-fingerprint is put into the table under its exact segments and asks for the small Hamming ball
-round each of them; a bucket compares what asks with what is there by complete distances.
+A fingerprint has 64 bits from the XXH64 hashes of word shingles; fingerprints within ``distance``
+(4 at most) bits are linked.  64 bits are cut into four segments of 16, and each pair of segments has a
+table with keys of 32 bits.  Of two linked fingerprints either some pair of segments differs in one
+bit at most, or each segment differs in exactly one: if no pair does with one bit, no segment is equal
+(the three others would differ in two bits or more each), so all four have a bit and none has two.
+
+* Tables of all pairs but the first: a *distinct* fingerprint is put in under its exact key, and asks for
+  the Hamming ball of one bit round it (33 keys).
+* Table of the first pair: it is put in under the ball of one bit round its first segment (17 keys), and
+  asks for the ball of one bit round its second one (17): together each of the two may differ in a bit.
+
+So a fingerprint has 198 rows, a bucket is met by chance once in 2 ** 32, and what asks is compared
+with what is there by complete distances.
 
 A bucket does not give all its pairs: with thousands of near copies these are millions.  It gives
 a spanning forest of its own links (at most one pair per fingerprint), which has the same
@@ -12,7 +20,9 @@ components; ``all_links`` gives every pair where these are wanted.
 
 Edge cases: a text without words (or null) has fingerprint zero and is linked like any other;
 fewer words than a shingle give one shingle; equal fingerprints always share a component;
-repeated doc_ids are separate rows with the same component.
+repeated doc_ids are separate rows with the same component; a row with a null doc_id takes part, and
+its component_id is null only where no row of the component has a doc_id; an empty table gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +41,13 @@ from kinetrack.llm.storage import written
 from kinetrack.llm.textbytes import lean, lower_ascii
 
 SEED = 42
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Bits of a segment, and the pairs of segments that have a table; the first is the one with two balls.
+SEGMENT = 16
+TABLES = tuple(combinations(range(4), 2))
+#: What a row is in its bucket: put in, asking, or both.
+IN, ASKS = 1, 2
+#: Stands for the smallest doc_id of a fingerprint that has none.
+_NO_ID = (1 << 63) - 1
 #: Pairs compared at once in a task.
 _BLOCK = 1 << 20
 
@@ -67,35 +83,33 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _balls(distance: int) -> list[tuple[int, int, np.ndarray]]:
-    """For each segment its shift, its mask and the flips of its Hamming ball; the flip 0 comes first."""
-    radius = distance // len(SEGMENTS)
+def _balls() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table the flips of a key's bits, the flip 0 first, and what the row with that flip is."""
+    first, second = [1 << b for b in range(SEGMENT)], [1 << b for b in range(SEGMENT, 2 * SEGMENT)]
     out = []
-    for shift, bits in SEGMENTS:
-        flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
-        out.append((shift, (1 << bits) - 1, np.array(flips, np.int64)))
+    for k in range(len(TABLES)):
+        what = [IN | ASKS, *([IN if k == 0 else ASKS] * SEGMENT), *([ASKS] * SEGMENT)]
+        out.append((np.array([0, *first, *second], np.int64), np.array(what, np.int8)))
     return out
 
 
-def _probes(distinct: DataFrame, distance: int) -> DataFrame:
-    """bucket, fp, here: a row in the table for the exact segments, and one for each other value asked for."""
-    balls = _balls(distance)
+def _probes(distinct: DataFrame) -> DataFrame:
+    """bucket, fp, what: a row for each key under which a fingerprint is put in or asks."""
+    balls = _balls()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
             for part in range(0, batch.num_rows, 4096):
                 fp = batch.column("fp").to_numpy(zero_copy_only=False)[part : part + 4096].astype(np.int64)
-                for k, (shift, mask, flips) in enumerate(balls):
-                    value = ((fp.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & mask)[:, None] ^ flips[None, :]
-                    here = np.zeros(value.shape, bool)
-                    here[:, 0] = True
+                segment = lambda i: (fp.view(np.uint64) >> np.uint64(SEGMENT * i)).astype(np.int64) & 0xFFFF  # noqa: B023, E731
+                for k, ((i, j), (flips, what)) in enumerate(zip(TABLES, balls, strict=True)):
+                    value = (segment(i) | segment(j) << SEGMENT)[:, None] ^ flips[None, :]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((value | (k << 24)).ravel().astype(np.int32)), pa.array(np.repeat(fp, len(flips))), pa.array(here.ravel())],
-                        ["bucket", "fp", "here"],
+                        [pa.array((value | (k << 32)).ravel()), pa.array(np.repeat(fp, len(flips))), pa.array(np.tile(what, len(fp)))], ["bucket", "fp", "what"]
                     )
 
-    return distinct.mapInArrow(run, "bucket int, fp long, here boolean")
+    return distinct.mapInArrow(run, "bucket long, fp long, what tinyint")
 
 
 def _forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -116,12 +130,12 @@ def _forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _links_of(bucket: np.ndarray, fp: np.ndarray, here: np.ndarray, distance: int, forest_from: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _links_of(bucket: np.ndarray, fp: np.ndarray, what: np.ndarray, distance: int, forest_from: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Links in a run of whole buckets, sorted by bucket.  Small buckets give their pairs, others a forest."""
     cut = np.flatnonzero(np.diff(bucket)) + 1
     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
-    some = np.add.reduceat(here.astype(np.int64), lo)
-    keep = (some > 0) & (hi - lo > 1)
+    here, asks = (what & IN) > 0, (what & ASKS) > 0
+    keep = np.logical_or.reduceat(here, lo) & np.logical_or.reduceat(asks, lo) & (hi - lo > 1)
     lo, hi = lo[keep], hi[keep]
     size = hi - lo
     left, right = [], []
@@ -142,7 +156,7 @@ def _links_of(bucket: np.ndarray, fp: np.ndarray, here: np.ndarray, distance: in
         n = more[at:to]
         i = np.repeat(row[at:to], n)
         j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        ok = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (here[i] | here[j])
+        ok = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (here[i] & asks[j] | asks[i] & here[j])
         left.append(fp[i[ok]])
         right.append(fp[j[ok]])
         at = to
@@ -153,12 +167,14 @@ def _links_of(bucket: np.ndarray, fp: np.ndarray, here: np.ndarray, distance: in
 def links(distinct: DataFrame, distance: int = 4, forest_from: int | None = 64) -> DataFrame:
     """Pairs (u, v) of linked fingerprints; with ``forest_from`` None every pair, else buckets of that
     many rows give a spanning forest of their links."""
+    if distance > 4:
+        raise ValueError("the tables find all links of 4 bits or fewer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
 
-        def give(bucket: np.ndarray, fp: np.ndarray, here: np.ndarray) -> pa.RecordBatch:
-            u, v = _links_of(bucket, fp.view(np.uint64), here, distance, forest_from)
+        def give(bucket: np.ndarray, fp: np.ndarray, what: np.ndarray) -> pa.RecordBatch:
+            u, v = _links_of(bucket, fp.view(np.uint64), what, distance, forest_from)
             a, b = u.view(np.int64), v.view(np.int64)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
@@ -167,7 +183,7 @@ def links(distinct: DataFrame, distance: int = 4, forest_from: int | None = 64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp", "here")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp", "what")]
             if new[0][0] == new[0][-1] and (not held or held[-1][0][-1] == new[0][0]):
                 held.append(new)
                 continue
@@ -178,7 +194,7 @@ def links(distinct: DataFrame, distance: int = 4, forest_from: int | None = 64)
         if held:
             yield give(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return _probes(distinct, distance).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return _probes(distinct).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
 def all_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
@@ -189,14 +205,17 @@ def all_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included)."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = connected_components(links(nodes.select("fp"), distance))
-    labelled = nodes.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
-    lowest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = labelled.join(lowest, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    # a node is a fingerprint behind its smallest doc_id (or the largest number), so that the smallest node of a
+    # component names its smallest doc_id, and no group-by on components is needed
+    node = F.struct(F.coalesce("first", F.lit(_NO_ID)).alias("first"), "fp")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", node.alias("node")), "fingerprint-nodes")
+    ends = links(nodes.select("fp"), distance)
+    for k in "uv":
+        ends = ends.join(nodes.select(F.col("fp").alias(k), F.col("node").alias(f"node_{k}")), k)
+    groups = connected_components(ends.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
+    groups = groups.select(F.col("node.fp").alias("fp"), F.col("component.first").alias("lowest"))
+    labelled = nodes.join(groups, "fp", "left").select("fp", F.nullif(F.coalesce("lowest", "node.first"), F.lit(_NO_ID)).alias("component_id"))
+    return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
