@@ -1,16 +1,16 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 The pieces are those of a fixed public vocabulary (a SentencePiece model file; its path is a
-parameter) that consist of letters, with or without the mark of a word's start, and a fallback for
-any single character.  For each language, piece probabilities come from expectation-maximisation
+parameter) that consist of letters, with or without the mark of a word's start, whatever their length,
+and a fallback for any single character.  For each language, piece probabilities come from expectation-maximisation
 over all segmentations (forward and backward sums) of the training documents' words, weighted by
 their counts.  A word's probability is the forward sum over its segmentations; a text's score is
 the posterior of its best language, from the log probabilities of all its words.
 
-Words are runs of letters, lower-cased; words over ``PIECES_OF`` characters are scored in pieces of that
-length.  Edge cases: null texts and texts without a letter are ``und`` with score 0; null langs are not
+Words are runs of letters, lower-cased, and are summed over whole, whatever their length: what a task
+holds at once is bounded by characters.  EM ends when a round gains little likelihood.  Edge cases: null texts and texts without a letter are ``und`` with score 0; null langs are not
 learned from; without any training document everything is ``und``; languages are ordered by name
-where posteriors tie; repeated rows are separate rows.
+where posteriors tie; repeated rows are separate rows; no other column is read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,15 +27,17 @@ from pyspark.sql import functions as F
 from kinetrack.llm.storage import written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-PIECES_OF = 24
-#: Characters of the longest piece that is used, with the start mark.
-LONGEST = 12
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 #: Probability of a character that no piece covers, and the count added to each piece and language.
 FLOOR, ADDED = 1e-7, 0.01
-#: Words whose scores a task keeps.
-CACHE = 1 << 19
+#: EM ends when the log likelihood gains less than this part of itself, or after so many rounds.
+GAIN, ROUNDS = 0.02, 6
+#: Words whose scores a task keeps; characters of the words that it sums over at once.
+CACHE, BLOCK = 1 << 19, 1 << 17
+#: Languages that a training table may have (each is a column of the piece probabilities).
+MOST_LANGUAGES = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,11 +49,6 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def parts_of(word: str) -> list[str]:
-    """The word with its start mark, cut every PIECES_OF characters."""
-    marked = _START + word
-    return [marked[i : i + PIECES_OF] for i in range(0, len(marked), PIECES_OF)]
-
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
     """Usable pieces, in the vocabulary's order."""
@@ -61,7 +58,7 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
     seen: dict[str, None] = {}
     for i in range(model.get_piece_size()):
         x = model.id_to_piece(i).lower()
-        if 0 < len(x) <= LONGEST and not model.is_byte(i) and not model.is_control(i) and _LETTERS.fullmatch(x.removeprefix(_START) or "a"):
+        if x and not model.is_byte(i) and not model.is_control(i) and _LETTERS.fullmatch(x.removeprefix(_START) or "a"):
             seen.setdefault(x)
     return list(seen)
 
@@ -72,8 +69,28 @@ class Lattice:
     def __init__(self, pieces: list[str], probability: np.ndarray):
         """probability: pieces x languages."""
         key = np.array([self._name(np.array([[ord(c) for c in p]], np.uint64))[0] for p in pieces], np.uint64)
-        order = np.argsort(key)
-        self.key, self.id, self.p = key[order], order, np.vstack([probability, np.full(probability.shape[1], FLOOR)])
+        self.key, self.p = key, np.vstack([probability, np.full(probability.shape[1], FLOOR)])
+        self.longest = max(map(len, pieces), default=1)
+        # open addressing: pieces by the top bits of their names, -1 where nothing is
+        self.shift = np.uint64(64 - max(1, (8 * len(key)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        for i, at in enumerate((key >> self.shift).tolist()):
+            while self.slots[at] >= 0:
+                at = (at + 1) % len(self.slots)
+            self.slots[at] = i
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces of names, -1 where there is none."""
+        if not len(self.key):
+            return np.full(len(h), -1, np.int64)
+        at = (h >> self.shift).astype(np.int64)
+        got = self.slots[at].astype(np.int64)
+        wrong = np.flatnonzero((got >= 0) & (self.key[got] != h))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) % len(self.slots)
+            got[wrong] = self.slots[at[wrong]]
+            wrong = wrong[(got[wrong] >= 0) & (self.key[got[wrong]] != h[wrong])]
+        return got
 
     @staticmethod
     def _name(codes: np.ndarray) -> np.ndarray:
@@ -90,11 +107,12 @@ class Lattice:
         ends: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             h = np.zeros(len(words), np.uint64)
-            for j in range(i, min(n, i + LONGEST)):
+            for j in range(i, min(n, i + self.longest)):
                 h = (h ^ codes[:, j]) * _MIX
                 h ^= h >> np.uint64(29)
-                at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
-                got = np.where(self.key[at] == h, self.id[at], len(self.key) if j == i else -1)
+                got = self._find(h)
+                if j == i:
+                    got[got < 0] = len(self.key)
                 if j == i or (got >= 0).any():
                     ends[j + 1].append((j + 1 - i, got))
         return n, ends
@@ -112,48 +130,47 @@ class Lattice:
             sums.append(np.ones_like(total))
         return sums, scales
 
+    @staticmethod
+    def _alike(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Words with their start marks, those of one length together and of BLOCK characters at most: (places, words)."""
+        by: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by.setdefault(len(w), []).append(k)
+        for size, same in by.items():
+            step = max(1, BLOCK // (size + 1))
+            for i in range(0, len(same), step):
+                yield np.array(same[i : i + step]), [_START + words[k] for k in same[i : i + step]]
+
     def log_probability(self, words: list[str]) -> np.ndarray:
         """Natural log of each word's probability under each language (words x languages)."""
         out = np.zeros((len(words), self.p.shape[1]))
-        by: dict[int, list[tuple[int, str]]] = {}
-        for k, w in enumerate(words):
-            for part in parts_of(w):
-                by.setdefault(len(part), []).append((k, part))
-        for same in by.values():
-            for i in range(0, len(same), 20_000):
-                some = same[i : i + 20_000]
-                n, ends = self._edges([w for _, w in some])
-                _, scales = self._forward(n, ends, len(some))
-                np.add.at(out, [k for k, _ in some], scales[n])
+        for at, some in self._alike(words):
+            n, ends = self._edges(some)
+            out[at] = self._forward(n, ends, len(some))[1][n]
         return out
 
-    def expected(self, words: list[str], language: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in each language (pieces x languages) for counted words of a language."""
-        out = np.zeros((len(self.key), self.p.shape[1]))
-        by: dict[int, list[tuple[int, str]]] = {}
-        for k, w in enumerate(words):
-            for part in parts_of(w):
-                by.setdefault(len(part), []).append((k, part))
-        for same in by.values():
-            for i in range(0, len(same), 20_000):
-                some = same[i : i + 20_000]
-                at = np.array([k for k, _ in some])
-                n, ends = self._edges([w for _, w in some])
-                _, scales = self._forward(n, ends, len(some))
-                own, rows, c = language[at], np.arange(len(some)), count[at]
-                alpha = np.stack([s[rows, own] for s in scales])
-                # log backward sums, relative to the whole
-                beta = np.full((n + 1, len(some)), -np.inf)
-                beta[n] = -alpha[n]
-                for e in range(n, 0, -1):
-                    for size, piece in ends[e]:
-                        with np.errstate(divide="ignore"):
-                            p = np.log(np.where(piece >= 0, self.p[piece, own], 0.0))
-                        beta[e - size] = np.logaddexp(beta[e - size], beta[e] + p)
-                        share = np.exp(alpha[e - size] + p + beta[e]) * c
-                        ok = (piece >= 0) & (piece < len(self.key))
-                        np.add.at(out, (piece[ok], own[ok]), share[ok])
-        return out
+    def expected(self, words: list[str], language: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected uses of each piece in each language (pieces x languages) for counted words of a language,
+        and the log likelihood of these words."""
+        out, likelihood = np.zeros((len(self.key), self.p.shape[1])), 0.0
+        for at, some in self._alike(words):
+            n, ends = self._edges(some)
+            _, scales = self._forward(n, ends, len(some))
+            own, rows, c = language[at], np.arange(len(some)), count[at]
+            alpha = np.stack([s[rows, own] for s in scales])
+            likelihood += float(c @ alpha[n])
+            # log backward sums, relative to the whole
+            beta = np.full((n + 1, len(some)), -np.inf)
+            beta[n] = -alpha[n]
+            for e in range(n, 0, -1):
+                for size, piece in ends[e]:
+                    ok = np.flatnonzero(piece >= 0)
+                    p = np.log(self.p[piece[ok], own[ok]])
+                    beta[e - size, ok] = np.logaddexp(beta[e - size, ok], beta[e, ok] + p)
+                    known = piece[ok] < len(self.key)
+                    share = np.exp(alpha[e - size, ok] + p + beta[e, ok]) * c[ok]
+                    np.add.at(out, (piece[ok][known], own[ok][known]), share[known])
+        return out, likelihood
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
@@ -177,33 +194,43 @@ def counted_words(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = 2, vocabulary: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """Languages and the pieces' probabilities (pieces x languages), from rows with a non-null lang.
 
     What reaches the driver are sums for pieces and languages: the vocabulary bounds them.
     """
     spark = docs.sparkSession
     counts = written(counted_words(docs.where("lang IS NOT NULL")), "language-words")
-    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"the training table has more than {MOST_LANGUAGES} languages")
     pieces = load_pieces(vocabulary)
     p = np.full((len(pieces), len(languages)), 1.0 / max(1, len(pieces)))
+    before = None
     for _ in range(rounds if languages else 0):
         shared = spark.sparkContext.broadcast((pieces, languages, p))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, known, now = shared.value
             lattice, place = Lattice(names, now), {x: i for i, x in enumerate(known)}
-            total = np.zeros(now.shape)
+            total, likelihood = np.zeros(now.shape), 0.0
             for batch in batches:
                 own = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
-                total += lattice.expected(batch.column("word").to_pylist(), own, batch.column("n").to_numpy(zero_copy_only=False).astype(float))
+                some, gained = lattice.expected(batch.column("word").to_pylist(), own, batch.column("n").to_numpy(zero_copy_only=False).astype(float))
+                total, likelihood = total + some, likelihood + gained
             i, j = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["piece", "language", "used"])
+            x = np.append(total[i, j], likelihood)  # piece -1 stands for the log likelihood
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1).astype(np.int32)), pa.array(np.append(j, 0).astype(np.int32)), pa.array(x)], ["piece", "language", "used"])
 
         sums = counts.mapInArrow(run, "piece int, language int, used double").groupBy("piece", "language").agg(F.sum("used").alias("used")).toArrow()
-        used = np.full(p.shape, ADDED)
-        used[sums.column("piece").to_numpy(), sums.column("language").to_numpy()] += sums.column("used").to_numpy()
+        piece, language, x = (sums.column(k).to_numpy() for k in ("piece", "language", "used"))
+        used, at = np.full(p.shape, ADDED), piece >= 0
+        used[piece[at], language[at]] += x[at]
         p = used / used.sum(axis=0) * (1 - FLOOR)
+        now = float(x[~at].sum())
+        if before is not None and now - before < GAIN * abs(now):
+            break
+        before = now
     return languages, p
 
 
@@ -231,7 +258,7 @@ def identify(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary: s
                         best.append("und")
                         score.append(0.0)
                         continue
-                    total = table[[row[w] for w in ws]].sum(axis=0) if ws else np.zeros(len(known))
+                    total = table[np.fromiter(map(row.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
                     post = np.exp(total - total.max())
                     k = int(post.argmax())
                     best.append(known[k])
