@@ -3,17 +3,21 @@
 Every window of ``window`` consecutive words of a benchmark item (an item of fewer words is one
 window) is a pattern of one automaton over normalised text.  Each document is normalised and
 scanned once; matches are mapped to words, and for hit documents to character spans of the
-original text.
+original text.  A benchmark too large for one automaton is cut by a hash of its items into blocks,
+and documents pass through one block after the other, their hits being united.
 
 Edge cases: null texts have no words; an item without words has no window; equal windows of
-several items count for each of them; documents without hits return zero counts, an empty list
-of items and no span; repeated doc_ids are separate rows.
+several items count for each of them; a null item_id marks words but is not listed; documents without
+hits return zero counts, an empty list of items and no span; repeated rows are separate rows; a column
+``contamination`` of the input is replaced, all others pass through; an empty benchmark hits nothing;
+very long texts are scanned whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetrack.llm.storage import written
 from kinetrack.llm.textbytes import lean
 
 #: Fixed value: a word is a run of these characters, after lower-casing A-Z.
@@ -30,7 +35,11 @@ _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 #: A-Z are letters here too: the original text is matched before lower-casing.
 _ORIGINAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-FOUND = "struct<n_words:bigint,n_hit:bigint,item_ids:array<string>,spans:array<struct<start:int,end:int>>>"
+SPANS = "array<struct<start:int,end:int>>"
+#: ``runs`` are the hit words (first, last + 1), ``spans`` the characters of the original text.
+FOUND = f"struct<n_words:bigint,n_hit:bigint,item_ids:array<string>,spans:{SPANS},runs:{SPANS}>"
+#: Bytes of benchmark text in one automaton.  It takes some 60 times as much of a Python worker's memory.
+BLOCK_BYTES = 4 << 20
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -45,7 +54,7 @@ def windows_of(items: list[tuple[int, str | None]], window: int) -> dict[str, li
         words = normalised(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
             out.setdefault(f" {b' '.join(words[i : i + window]).decode('latin-1')} ", set()).add(item)
-    return {k: sorted(v) for k, v in out.items()}
+    return {k: sorted(x for x in v if x is not None) for k, v in out.items()}
 
 
 def automaton_of(patterns: dict[str, list[int]]) -> ahocorasick.Automaton | None:
@@ -58,58 +67,87 @@ def automaton_of(patterns: dict[str, list[int]]) -> ahocorasick.Automaton | None
     return built
 
 
-def scan(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[int, int, list[int], list[tuple[int, int]]]:
-    """(words, hit words, items with a window in the text, hit spans of the original text)."""
+Runs = list[tuple[int, int]]
+
+
+def scan(text: str | None, automaton: ahocorasick.Automaton | None, before: Runs | None = None) -> tuple[int, int, list[int], Runs, Runs]:
+    """(words, hit words, items with a window in the text, hit spans of the original text, runs of hit words).
+
+    ``before`` are runs of words that are hit already.
+    """
     words = normalised(text)
-    if not words or automaton is None:
-        return len(words), 0, [], []
-    line = f" {b' '.join(words).decode('latin-1')} "
-    found = [(end, size, items) for end, (size, items) in automaton.iter(line)]
-    if not found:
-        return len(words), 0, [], []
+    found = []
+    if words and automaton is not None:
+        line = f" {b' '.join(words).decode('latin-1')} "
+        found = [(end, size, items) for end, (size, items) in automaton.iter(line)]
+    if not found and not before:
+        return len(words), 0, [], [], []
     starts = np.cumsum([0] + [len(w) + 1 for w in words])  # where the space before each word stands
     edge = np.zeros(len(words) + 1, np.int32)
     for end, size, _ in found:
         edge[np.searchsorted(starts, end - size + 1)] += 1
         edge[np.searchsorted(starts, end)] -= 1
+    for a, b in before or []:
+        edge[a] += 1
+        edge[b] -= 1
     hit = np.cumsum(edge)[:-1] > 0
-    turns = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
+    runs = list(zip(turns[::2], turns[1::2], strict=True))
     places = [m.span() for m in _ORIGINAL.finditer(text)]
-    spans = [(places[a][0], places[b - 1][1]) for a, b in zip(turns[::2], turns[1::2], strict=True)]
-    return len(words), int(hit.sum()), sorted({x for _, _, items in found for x in items}), spans
+    return len(words), int(hit.sum()), sorted({x for _, _, items in found for x in items}), [(places[a][0], places[b - 1][1]) for a, b in runs], runs
 
 
-def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` with a struct ``contamination``: n_words, n_hit, item_ids (as strings, sorted), spans (characters of the original).
+#: The automaton that this worker has built last, by the name of its block: tasks of a worker share it.
+_built: dict[str, ahocorasick.Automaton | None] = {}
 
-    A column of that name in ``docs`` is replaced.  The automaton is broadcast as the benchmark's texts,
-    whose size is measured first: a larger benchmark has to be given in blocks of items.
-    """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > block_bytes:
-        raise ValueError(f"benchmark texts have {size} bytes; call once for each block of at most {block_bytes}")
-    shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()])
-    docs = docs.drop("contamination")
-    names = docs.columns
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+
+def _pass(docs: DataFrame, items: DataFrame, window: int, known: bool) -> DataFrame:
+    """``docs`` scanned for one block of items; ``known``: they have a ``contamination`` to add to."""
+    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.select("item_id", "text").collect()])
+    block = uuid.uuid4().hex
+    own = [f for f in docs.schema.fields if f.name != "contamination"]
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", span), ("runs", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        automaton = automaton_of(windows_of(shared.value, window))
+        if block not in _built:
+            _built.clear()
+            _built[block] = automaton_of(windows_of(shared.value, window))
+        automaton, ends = _built[block], lambda x: [{"start": a, "end": b} for a, b in x]
         for batch in batches:
-            found = [scan(t.as_py(), automaton) for t in batch.column("text")]
-            rows = [{"n_words": n, "n_hit": hit, "item_ids": sorted(map(str, items)), "spans": [{"start": a, "end": b} for a, b in spans]} for n, hit, items, spans in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*names, "contamination"])
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+            rows = []
+            before = batch.column("contamination").to_pylist() if known else [None] * batch.num_rows
+            for t, old in zip(batch.column("text"), before, strict=True):
+                n, hit, found, spans, runs = scan(t.as_py(), automaton, [(r["start"], r["end"]) for r in old["runs"]] if old else None)
+                ids = sorted({*map(str, found), *(old["item_ids"] if old else [])})
+                rows.append({"n_words": n, "n_hit": hit, "item_ids": ids, "spans": ends(spans), "runs": ends(runs)})
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array(rows, kind)], [*(f.name for f in own), "contamination"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     return docs.mapInArrow(run, f"{shape}, contamination {FOUND}")
 
 
+def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with a struct ``contamination``: n_words, n_hit, item_ids (as strings, sorted), spans (characters of the original), runs.
+
+    A block of items is broadcast as texts of about ``block_bytes``; of more than one, each pass is written.
+    """
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // block_bytes) or 1
+    docs = docs.drop("contamination")
+    for k in range(blocks):
+        some = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else benchmark
+        docs = _pass(docs, some, window, k > 0)
+        if k + 1 < blocks:
+            docs = written(docs, "contamination")
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id and the fields of ``contamination``."""
     found = with_contamination(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)
-    return found.select("doc_id", "contamination.*")
+    return found.select("doc_id", *[f"contamination.{k}" for k in ("n_words", "n_hit", "item_ids", "spans")])
 
 
 def digest(found: DataFrame) -> DataFrame:
