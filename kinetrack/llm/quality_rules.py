@@ -7,13 +7,15 @@ sums of the votes' posteriors reach the driver.  A document is kept if the poste
 probability of good quality reaches the threshold; no single rule decides.
 
 Edge cases: a null or empty text has no words, its rules vote bad or abstain; with no document
-at all the prior stays as given; repeated doc_ids are separate rows; extra columns pass through
-``with_features`` and must not start with ``q_`` (the operator's own prefix).
+at all the prior stays as given; repeated doc_ids are separate rows, a null doc_id is one like any
+other; extra columns pass through ``keep_good`` whatever their names (its own keys have names that
+are new in each call), and ``quality_rules`` returns none of them; very long texts are one row each.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -200,7 +202,8 @@ def keep_good(docs: DataFrame, rules: dict[str, Column] | None = None, threshold
 
     Rows meet their verdict by doc_id and a hash of the text, so that rows with equal doc_id stay apart.
     """
-    keys = {"q_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "q_text": F.xxhash64("text")}
+    own = uuid.uuid4().hex
+    keys = {f"id_{own}": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), f"text_{own}": F.xxhash64("text")}
     judged = _judged(docs.select("doc_id", "text").withColumns(keys), list(keys), rules, threshold, rounds)
     kept = judged.where("q_rules.kept").select(*keys).distinct()
     return docs.withColumns(keys).join(kept, list(keys), "left_semi").drop(*keys)
