@@ -1,13 +1,16 @@
 """Tables in the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names that folder on a cluster.  Where it is unset (tests, a
-laptop) a temporary folder is set for the session; on a cluster that must not happen.
+laptop) a temporary folder is set for the session, in local mode only: a cluster without a
+shared folder is refused.  ``scratch`` removes what a block has written but for one table.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = context.getCheckpointDir()
         if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="kinetrack-"))
             folder = context.getCheckpointDir()
         return folder
@@ -43,8 +48,29 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+#: Paths given out since the innermost ``scratch`` began.
+_given: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _given:
+        _given[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A path to write the block's result to; every other table that the block has written goes at its end."""
+    path = fresh_path(spark, name)
+    _given.append([])
+    try:
+        yield path
+    finally:
+        jvm = spark.sparkContext._jvm
+        for x in _given.pop():
+            place = jvm.org.apache.hadoop.fs.Path(x)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

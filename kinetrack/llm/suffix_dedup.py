@@ -1,12 +1,12 @@
-"""Repeated byte strings by distributed prefix doubling.
+"""Repeated byte strings by two shuffled rounds at half the threshold and at the threshold.
 
-A position's rank by its first h bytes names these bytes; the rank by 2h bytes is the pair of the
-ranks at the position and at the position + h.  Names are content hashes, so tasks agree on them
-without a global numbering and Spark only has to bring equal names together; what a round finds
-unique cannot repeat at a greater length and goes.
+This keeps of prefix doubling what Spark can afford: a position's name by 2h bytes is the pair of the
+names at the position and at the position + h, and what a round finds unique cannot repeat at a greater
+length and goes.  It is not the literal method: names are content hashes (so tasks agree on them without
+a global numbering and nothing is reranked), and the rounds under half the threshold, which would sort
+every position of every text, are left out: the names of that length come from prefix sums of the text
+in a task.  The README has the figures behind this.
 
-* Within a task, names double from one byte to half of the threshold (as a prefix-sum hash, which
-  is the closed form of the doubling).
 * First shuffled round, half the threshold.  Any string of the full length holds, within its first
   half, one synchronised position: that with the smallest name, which any copy of the string has at
   the same place.  Only these positions are sorted, about one in half a half, each with the run of
@@ -18,7 +18,8 @@ unique cannot repeat at a greater length and goes.
 
 Edge cases: null text is empty; texts under the threshold have no start; overlapping repeats count,
 in the same text too; repeated rows (even with equal doc_id) are different texts to match, each
-with its own place (see ``place``); an empty table gives an empty result.
+with its own place (see ``place``); a null doc_id is one like any other; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -102,16 +103,18 @@ def runs_of(raw: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     return short[at], whole, lo, hi - lo
 
 
-#: Stands for a null doc_id in joins.
-_NO_ID = -(1 << 63)
 
 RUNS = "doc_id long, place long, name long, whole long, start int, starts int"
 
 
 def _with_place(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Rows with a ``place``: a hash of the text, so that rows with equal doc_id stay apart.  No key is null."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id")
-    return docs.select(key, F.xxhash64("text").alias("place"), "text", *([F.struct(*carry).alias("carried")] if carry else []))
+    """Rows with a ``place``: a hash of the text, so that rows with equal doc_id stay apart.
+
+    No key is null: a null doc_id is 0 with a place of its own kind; ``own`` is the doc_id as it was.
+    """
+    own = F.col("doc_id").cast("long")
+    place = F.when(own.isNull(), F.xxhash64("text", F.lit("no id"))).otherwise(F.xxhash64("text"))
+    return docs.select(F.coalesce(own, F.lit(0).cast("long")).alias("doc_id"), place.alias("place"), own.alias("own"), "text", *([F.struct(*carry).alias("carried")] if carry else []))
 
 
 def runs(docs: DataFrame, size: int) -> DataFrame:
@@ -137,7 +140,7 @@ def runs(docs: DataFrame, size: int) -> DataFrame:
                     RUNS.replace(",", "").split()[::2],
                 )
 
-    return docs.mapInArrow(run, RUNS)
+    return docs.select("doc_id", "place", "text").mapInArrow(run, RUNS)
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
@@ -240,7 +243,7 @@ def repeated_spans(docs: DataFrame, size: int = 400, carry: list[str] | None = N
                 edge = [0, *(x for s in found for x in s), len(text)]
                 kept.append(None if carry else b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
                 whole.append(trimmed(text, found).decode() if carry else None)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(whole, pa.string())]
+            columns = [batch.column("own"), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(whole, pa.string())]
             names = ["doc_id", "n_bytes", "spans", "kept", "text"]
             if carry:
                 columns.append(batch.column("carried"))
@@ -251,7 +254,7 @@ def repeated_spans(docs: DataFrame, size: int = 400, carry: list[str] | None = N
     if carry:
         shape += f", carried {placed.schema['carried'].dataType.simpleString()}"
     rows = texts.join(by_doc, ["doc_id", "place"], "left").drop("place")
-    return rows.mapInArrow(run, shape).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NO_ID)))
+    return rows.drop("doc_id").mapInArrow(run, shape)
 
 
 def digest(found: DataFrame) -> DataFrame:

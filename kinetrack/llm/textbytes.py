@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +12,25 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 19
 
 
+#: Fixed values of glibc's mallopt: the options, and the bytes from which a block is mapped (and so given back when freed).
+_TRIM, _MAP, _FROM = -1, -3, 1 << 20
+
+
 def lean() -> None:
-    """For tasks: Arrow memory comes from the system's allocator, which gives freed batches back at once.
+    """For tasks: what NumPy and Arrow free goes back to the system at once.
 
-    Spark keeps idle Python workers, and what a pool of theirs retains counts against the executor.
+    Spark keeps idle Python workers, and what these retain counts against the executor: Arrow's own pool
+    holds freed batches, and glibc raises the size from which it maps blocks with each one freed, so that
+    arrays of megabytes come to lie (and stay) in its heap.  Elsewhere than on glibc only the pool is set.
     """
     if pa.default_memory_pool().backend_name != "system":
         pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(_MAP, _FROM)
+            libc.mallopt(_TRIM, _FROM)
+        except (OSError, AttributeError):
+            pass
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
