@@ -1,7 +1,10 @@
 """Documents through five stages: quality rules, near-duplicates, repeated passages, benchmark passages, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the
-shared folder and reads it again as the next stage's documents.
+shared folder and reads it again as the next stage's documents, and removes what a stage left there.
+
+For all stages: an empty table gives an empty one with the same columns; columns other than those of
+``COLUMNS`` are left out, so no name can clash; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -10,13 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrack.llm import decontaminate, mixing, quality_rules, simhash, suffix_dedup
-from kinetrack.llm.storage import table, written
+from kinetrack.llm.storage import scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts go (they fail the rules), null doc_ids stay if their text is good, and of repeated
+    rows all stay or none: rows with one doc_id and text get one verdict.
+    """
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
@@ -37,20 +44,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes or more that stand elsewhere too; empty ones go."""
+    """Documents without the passages of 400 bytes or more that stand elsewhere too.
+
+    Documents in which nothing but white space is left go: null, empty and wholly repeated texts (repeated
+    rows of 400 bytes or more among them).  Null doc_ids stay.
+    """
     found = suffix_dedup.repeated_spans(docs.select(*COLUMNS), carry=["lang", "source"])
     rows = found.select("doc_id", "text", "carried.lang", "carried.source", F.length("text").cast("long").alias("n_chars"))
-    return rows.where(F.trim("text") != "")
+    return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; repeated rows, null doc_ids and texts without words stay."""
     found = decontaminate.with_contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where("contamination.n_hit = 0").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, posteriors, rate and copies of the documents that the mixture takes at least once."""
+    """doc_id, posteriors, rate and copies of the documents that the mixture takes at least once.
+
+    Repeated rows are rows of their own; a null doc_id has no label, but a rate like any other; a text
+    without words keeps the rate 1.
+    """
     return mixing.mix(docs, table(spark, sf_dir, "labels")).where("copies > 0")
 
 
@@ -69,5 +84,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark, name.replace(" ", "-")) as path:
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return docs
