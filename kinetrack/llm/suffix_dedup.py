@@ -171,7 +171,8 @@ def _pairs(texts: DataFrame, left: DataFrame, size: int) -> DataFrame:
                     ["doc_id", "place", "pair", "start"],
                 )
 
-    return texts.join(by_doc, ["doc_id", "place"]).select("doc_id", "place", "text", "runs").mapInArrow(run, "doc_id long, place long, pair long, start int")
+    # all columns of ``texts``, so that its one shuffle serves here and at the end
+    return texts.join(by_doc, ["doc_id", "place"]).select(*texts.columns, "runs").mapInArrow(run, "doc_id long, place long, pair long, start int")
 
 
 def merged(start: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
@@ -253,8 +254,7 @@ def repeated_spans(docs: DataFrame, size: int = 400, carry: list[str] | None = N
     shape = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, text string"
     if carry:
         shape += f", carried {placed.schema['carried'].dataType.simpleString()}"
-    rows = texts.join(by_doc, ["doc_id", "place"], "left").drop("place")
-    return rows.drop("doc_id").mapInArrow(run, shape)
+    return texts.join(by_doc, ["doc_id", "place"], "left").select(*texts.columns, "runs").mapInArrow(run, shape)
 
 
 def digest(found: DataFrame) -> DataFrame:
