@@ -137,6 +137,27 @@ def host_from_device(device: Column, clock: Column, rounds: int = 32) -> Column:
     return F.when(F.size(clock) == 0, device).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda a: a["h"]))
 
 
+def to_host(left: DataFrame, clock: DataFrame, on: str, by: list[str] | None = None, out: str = "t_host_ns", rounds: int = 4, bucket_ns: int | None = None) -> DataFrame:
+    """Adds the host time of device times: the inverse of t + offset(t), by bracketing.
+
+    ``clock`` (t_host_ns, offset_ns and keys) maps onto device time in order where offsets change by less than
+    the time between samples, so the samples that enclose a device time are found like any neighbours: one
+    shuffle, and no series goes along with a row.  Between them the inverse of the line is the seed of a
+    few fixed-point rounds, which settle the rounding to nanoseconds.  Outside of the span the offset is held;
+    without samples both clocks are one.
+    """
+    own = clock.select(*(by or []), (F.col("t_host_ns") + F.col("offset_ns")).alias("_cd"), F.col("t_host_ns").alias("t"), F.col("offset_ns").alias("o"))
+    rows = bracketed(left, own, on, by, "_cd", "t", bucket_ns)
+    device, a, b = F.col(on), F.col("below"), F.col("above")
+    line = lambda h: a["o"] + llround((h - a["t"]).cast("double") / (b["t"] - a["t"]) * (b["o"] - a["o"]).cast("double"))
+    seed = F.when(b["t"] > a["t"], a["t"] + llround((device - a["_cd"]).cast("double") * ((b["t"] - a["t"]).cast("double") / (b["_cd"] - a["_cd"])))).otherwise(device - a["o"])
+    rows = rows.withColumn("_h", seed)
+    inside = (b["t"] > a["t"]) & (device >= a["_cd"])
+    for _ in range(rounds):
+        rows = rows.withColumn("_h", F.when(inside, device - line(F.col("_h"))).otherwise(F.col("_h")))
+    return rows.withColumn(out, F.coalesce("_h", device)).drop("_h", "below", "above", "u")
+
+
 def capture_ns(t_xr: Column, t_device: Column, exposure: Column) -> Column:
     """Middle of the exposure: the stamp is its start."""
     return F.coalesce(t_xr, t_device) + F.call_function("div", exposure, F.lit(2))
@@ -170,11 +191,53 @@ def segment_range(n: Column, index: Column, count: Column) -> Column:
     return F.when((count <= 1) | (index < 0), whole).otherwise(some)
 
 
+def segment_of(index: Column, n: Column, count: Column) -> Column:
+    """The run (see ``segment_range``) that frame ``index`` lies in: the first n % count runs have one frame more."""
+    base, rest = F.call_function("div", n, count), n % count
+    wide = rest * (base + 1)
+    late = rest + F.call_function("div", index - wide, F.greatest(base, F.lit(1).cast("long")))
+    return F.when(index < wide, F.call_function("div", index, base + 1)).otherwise(late).cast("long")
+
+
 def ordinal(df: DataFrame, order: str, by: list[str] | None = None, out: str = "n") -> DataFrame:
     """Adds the row's place (from 0) in its group."""
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(*(by or [])).orderBy(order)) - 1).cast("long"))
 
 
+def changes(rows: DataFrame, value: str, order: str, by: list[str] | None = None, block: int = 1024) -> DataFrame:
+    """The rows whose value is not that of the row before (numbered from 0 without gaps by ``order``): where a source is read anew.
+
+    Rows are windowed in blocks of ``order``; the last row of each block goes to the next one.
+    """
+    keys, at = by or [], _div(F.col(order), block)
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    last = rows.where(F.col(order) % block == block - 1).select(*keys, (at + 1).alias("_block"), F.struct(F.col(value).alias("v")).alias("_carried"))
+    found = rows.withColumn("_block", at).withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(w)).join(last, [*keys, "_block"], "left")
+    before = F.when(F.col(order) % block == 0, F.col("_carried")).otherwise(F.col("_before"))
+    return found.where(before.isNull() | ~before["v"].eqNullSafe(F.col(value))).select(*rows.columns)
+
+
+def phase_error(stamps: DataFrame, on: str, order: str, by: list[str]) -> DataFrame:
+    """For each group of two stamps or more: n, the measured rate fps, and how far (``worst_ms``, ``mean_ms``) its stamps are from a grid of that rate."""
+    rate = stamps.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("_t0"), F.max(on).alias("_t1")).where((F.col("n") > 1) & (F.col("_t1") > F.col("_t0")))
+    rate = rate.withColumn("fps", (F.col("n") - 1).cast("double") * 1e9 / (F.col("_t1") - F.col("_t0")))
+    placed = ordinal(stamps.select(*by, on, order), order, by, "_i").join(rate, by)
+    error = F.abs((F.col(on) - F.col("_t0")).cast("double") - F.col("_i").cast("double") * 1e9 / F.col("fps")) * 1e-6
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), F.max("fps").alias("fps"), F.max(error).alias("worst_ms"), F.avg(error).alias("mean_ms"))
+
+
+def overlaps(a_first: Column, a_last: Column, b_first: Column, b_last: Column) -> Column:
+    """Whether two closed spans of time have an instant in common."""
+    return ~((a_last < b_first) | (a_first > b_last))
+
+
+def decimated(k: Column, rate: float | Column, of: float | Column) -> Column:
+    """Whether record k of a track at rate ``of`` is one at which a slower source ticks: the first, and each where its count goes up."""
+    rate, of = (x if isinstance(x, Column) else F.lit(x) for x in (rate, of))
+    tick = lambda i: F.floor(i.cast("double") * rate / of)
+    return (k == 0) | (tick(k) > tick(k - 1))
+
+
 def advances(value: str, order: str, by: list[str] | None = None) -> Column:
     """True where a value is greater than the row before (or has none)."""
     return F.coalesce(F.col(value) > F.lag(value).over(Window.partitionBy(*(by or [])).orderBy(order)), F.lit(True))
