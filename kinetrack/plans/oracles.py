@@ -337,3 +337,19 @@ def _covered() -> str:
 
 
 ORACLES["covered_fov"] = _covered()
+ORACLES["quat_functions"] = (
+    f"WITH {EV}, q AS (SELECT event_id, value, 2.0::DOUBLE / 7 * sin(value / 100) AS qx, 3.0::DOUBLE / 7 * sin(value / 100) AS qy, 6.0::DOUBLE / 7 * sin(value / 100) AS qz, cos(value / 100) AS qw FROM ev), "
+    "k AS (SELECT *, sqrt(qx*qx + qy*qy + qz*qz) AS s, CASE WHEN qw < 0 THEN -1.0 ELSE 1.0 END AS g FROM q), "
+    "v AS (SELECT *, g * CASE WHEN s < 1e-12 THEN 2.0 ELSE 2 * atan2(s, abs(qw)) / s END AS f, sqrt(qz*qz + qw*qw) AS n FROM k) "
+    f"SELECT event_id, {', '.join(r6('q' + c, 'q' + c) for c in 'xyzw')}, {r6('1 - 2*(qy*qy + qz*qz)', 'm0')}, {r6('2*(qx*qy + qw*qz)', 'm1')}, {r6('2*(qx*qz - qw*qy)', 'm2')}, {r6('2*(qx*qy - qw*qz)', 'm3')}, "
+    f"{r6('1 - 2*(qx*qx + qz*qz)', 'm4')}, {r6('2*(qy*qz + qw*qx)', 'm5')}, {r6('2*(qx*qz + qw*qy)', 'm6')}, {r6('2*(qy*qz - qw*qx)', 'm7')}, {r6('1 - 2*(qx*qx + qy*qy)', 'm8')}, "
+    f"{', '.join(r6(f'q{c} * f', 'v' + c) for c in 'xyz')}, round(degrees(2 * acos(least(1.0, abs(qw)))), 3) + 0.0::DOUBLE AS angle, {r6('CASE WHEN n < 1e-9 THEN 0.0 ELSE g * qz / n END', 'roll_z')}, "
+    "printf('(%.6f, 1.000000, -2.000000)', value) AS text FROM v"
+)
+ORACLES["frustum_functions"] = (
+    f"WITH {EV}, {EDGES}, t AS (SELECT *, tan(l) AS tl, tan(r) AS tr, tan(u) AS tu, tan(d) AS td, 200.0::DOUBLE + (event_id % 50)::DOUBLE AS fx0 FROM fe), "
+    "c AS (SELECT *, least((tr - tl) / 640, (tu - td) / 480) AS p FROM t), x AS (SELECT *, ((tr - tl) - p * 640) / 2 AS px, ((tu - td) - p * 480) / 2 AS py FROM c) "
+    f"SELECT event_id, {r6('greatest(l, -0.7)', 'il')}, {r6('least(r, 0.7)', 'ir')}, {r6('least(u, 0.6)', 'iu')}, {r6('greatest(d, -0.6)', 'id')}, {r6('atan(tl + px)', 'cl')}, {r6('atan(tr - px)', 'cr')}, "
+    f"{r6('atan(tu - py)', 'cu')}, {r6('atan(td + py)', 'cd')}, {r6('fx0 / 2', 'fx')}, 155.0::DOUBLE AS fy, 320.75::DOUBLE AS cx, {r6('(630.0::DOUBLE + (event_id % 9)::DOUBLE - 160) / 2', 'cy')}, "
+    f"{r6('degrees(2 * atan(320.0::DOUBLE / fx0))', 'hfov')}, {r6('sqrt(ln(2.0::DOUBLE) / 2) / (pi() * (1 + event_id % 300)::DOUBLE * 1e-3)', 'cutoff')} FROM x"
+)

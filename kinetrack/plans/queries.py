@@ -16,6 +16,8 @@ from kinetrack.functions import optics as o
 from kinetrack.functions import stats
 from kinetrack.functions import variants as v
 from kinetrack.operators import audio, diagnostics, raster, smooth, temporal
+from kinetrack.plans import frusta
+from kinetrack.plans.render_plan import median_interval
 
 DAY = 86_400 * temporal.NS
 T0 = 1_704_067_200 * temporal.NS
@@ -98,12 +100,11 @@ def interp_linear_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_from_device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Device stamps back to host time; the clock series is short and goes along as one array."""
+    """Device stamps back to host time."""
     rows = track(spark, sf_dir).select("event_id", "t_ns")
     device = temporal.offset_at_host(rows, clock_samples(spark), "t_ns", bucket_ns=DAY).withColumn("device_ns", F.col("t_ns") + F.col("offset_ns"))
-    joined = device.crossJoin(F.broadcast(temporal.clock_segments(clock_samples(spark))))
-    host = temporal.host_from_device(F.col("device_ns"), F.col("clock"))
-    return joined.select("event_id", "device_ns", (F.abs(host - F.col("t_ns")) <= 1).alias("inverted"))
+    found = temporal.to_host(device, clock_samples(spark), "device_ns", out="host_ns", bucket_ns=DAY)
+    return found.select("event_id", "device_ns", (F.abs(F.col("host_ns") - F.col("t_ns")) <= 1).alias("inverted"))
 
 
 def _yaw_pose(value: Column) -> Column:
@@ -134,10 +135,8 @@ def gaussian_smooth_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upper_median_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    deltas = track(spark, sf_dir).withColumn("d", F.col("t_ns") - F.lag("t_ns").over(w))
-    found = deltas.groupBy("user_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)").alias("d"))
-    return found.select("user_id", F.coalesce(F.col("d").cast("long"), F.lit(0).cast("long")).alias("interval_ns"))
+    rows = track(spark, sf_dir).select(F.col("user_id").alias("take_id"), F.col("t_ns").alias("t_host_ns"), F.col("event_id").alias("record"))
+    return median_interval(rows).select(F.col("take_id").alias("user_id"), "interval_ns")
 
 
 def _fov_edges() -> dict[str, Column]:
@@ -156,9 +155,8 @@ def fov_edge_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frustum_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = track(spark, sf_dir).select("user_id", *[c.alias(k) for k, c in _fov_edges().items()])
-    union = rows.groupBy("user_id").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.max("u").alias("u"), F.min("d").alias("d"))
-    union = union.select("user_id", o.fov(*[F.col(k) for k in "lrud"]).alias("f"))
+    rows = track(spark, sf_dir).select("user_id", F.lit(0).alias("eye"), o.fov(*_fov_edges().values()).alias("fov"))
+    union = frusta.recorded_fov(rows, ["user_id"]).select("user_id", F.col("fov").alias("f"))
     pixel = union.agg(F.max(o.angular_pixel(F.col("f"), F.lit(640), F.lit(480))).alias("pixel"))
     fitted = union.crossJoin(F.broadcast(pixel)).withColumn("g", o.fit_to_pane(F.col("f"), F.lit(640), F.lit(480), F.col("pixel")))
     return fitted.select("user_id", *[r6(F.col(f"g.{k}"), k) for k in "lrud"])
@@ -193,8 +191,7 @@ def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir)
     span = lambda kind, p: _type(rows, kind).groupBy("user_id").agg(F.min("t_ns").alias(f"{p}_first"), F.max("t_ns").alias(f"{p}_last"))
     both = span("view", "a").join(span("error", "b"), "user_id")
-    disjoint = (F.col("a_last") < F.col("b_first")) | (F.col("a_first") > F.col("b_last"))
-    return both.select("user_id", (~disjoint).alias("overlaps"))
+    return both.select("user_id", temporal.overlaps(*[F.col(k) for k in ("a_first", "a_last", "b_first", "b_last")]).alias("overlaps"))
 
 
 def fk_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +231,31 @@ def raw_extrinsic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quat_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn about a fixed axis: its matrix, rotation vector, angle, roll about the optical axis, and text."""
+    x = F.col("value")
+    rows = track(spark, sf_dir).select("event_id", "value", g.from_axis_angle(g.vec3(2, 3, 6), x / 50).alias("q"))
+    rows = rows.withColumn("m", g.matrix_column_major(F.col("q"))).withColumn("v", g.qlog(F.col("q"))).withColumn("roll", g.aligned_extrinsic(g.pose(g.vec3(0, 0, 0), F.col("q")), False))
+    angle = F.round(g.angle_between_degrees(F.col("q"), g.quat(*g.IDENTITY)), 3) + F.lit(0.0)
+    return rows.select(
+        "event_id", *[r6(F.col(f"q.{c}"), f"q{c}") for c in "xyzw"], *[r6(F.get("m", k), f"m{k}") for k in range(9)], *[r6(F.col(f"v.{c}"), f"v{c}") for c in "xyz"],
+        angle.alias("angle"), r6(F.col("roll.rot.z"), "roll_z"), g.vec3_text(g.vec3(x, 1, -2)).alias("text"),
+    )
+
+
+def frustum_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frusta cut by another and to a pane, intrinsics moved from the sensor to an image, fields of view and cutoffs."""
+    e = F.col("event_id")
+    rows = track(spark, sf_dir).select("event_id", o.fov(*_fov_edges().values()).alias("f"), (200.0 + (e % 50).cast("double")).alias("fx"))
+    rows = rows.withColumn("i", o.intersect(F.col("f"), o.fov(*[F.lit(x) for x in (-0.7, 0.7, 0.6, -0.6)]))).withColumn("c", o.crop_to_pane_asymmetric(F.col("f"), F.lit(640), F.lit(480)))
+    lens = F.struct(F.col("fx"), F.lit(310.0).alias("fy"), F.lit(641.5).alias("cx"), (630.0 + (e % 9).cast("double")).alias("cy"), F.array(F.lit(0.1)).alias("distortion"), F.array(*[F.lit(x) for x in (0.0, 0.0, 1280.0, 1280.0)]).alias("active_array"))
+    rows = rows.withColumn("m", o.rebase_to_image(lens, F.lit(640), F.lit(480)))
+    return rows.select(
+        "event_id", *[r6(F.col(f"i.{k}"), f"i{k}") for k in "lrud"], *[r6(F.col(f"c.{k}"), f"c{k}") for k in "lrud"], *[r6(F.col(f"m.{k}"), k) for k in ("fx", "fy", "cx", "cy")],
+        r6(o.hfov_degrees(F.col("fx"), F.lit(640)), "hfov"), r6(o.gaussian_cutoff_hz(((1 + e % 300) * 1_000_000).cast("double")), "cutoff"),
+    )
+
+
 def _lens() -> Column:
     e = F.col("event_id")
     return F.struct(
@@ -277,7 +299,8 @@ def reproject_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _directions(spark, sf_dir).withColumn("f", _fov_of(e)).withColumn("depth", depth)
     rows = rows.withColumn("out", g.pose(g.vec3(0.1, 0.2, 0.3), g.quat(0, 0, 0, 1))).withColumn("src", _yaw_pose(F.lit(5.0) + (e % 7).cast("double")))
     rows = rows.withColumn("src", g.pose(g.scale(F.col("src.pos"), 0.01), F.col("src.rot")))
-    rows = rows.withColumn("v", o.local_direction(F.col("out"), F.col("dir"), F.col("depth"), F.col("src"))).withColumn("p", o.fov_project(F.col("f"), F.col("v"), F.lit(640), F.lit(480)))
+    ray = (F.col("out"), F.col("dir"), F.col("depth"), F.col("src"))
+    rows = rows.withColumn("v", o.local_direction(*ray)).withColumn("p", o.reproject_to_fov(*ray, F.col("f"), F.lit(640), F.lit(480)))
     return rows.select("event_id", r6(F.col("v.x"), "x"), r6(F.col("v.y"), "y"), r6(F.col("v.z"), "z"), r6(F.col("p.px"), "px"), r6(F.col("p.py"), "py"))
 
 
@@ -319,13 +342,8 @@ def segment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def camera_clock_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured rate of each user's views, and their distance from a constant-rate grid in seconds."""
-    rows = _type(track(spark, sf_dir), "view")
-    rate = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("t_ns").alias("t0"), F.max("t_ns").alias("t1")).where("n > 1")
-    rate = rate.withColumn("fps", (F.col("n") - 1).cast("double") * 1e9 / (F.col("t1") - F.col("t0")))
-    placed = temporal.ordinal(rows, "event_id", ["user_id"], "i").join(rate, "user_id")
-    error = F.abs((F.col("t_ns") - F.col("t0")).cast("double") - F.col("i").cast("double") * 1e9 / F.col("fps")) * 1e-6
-    found = placed.groupBy("user_id").agg(F.max("n").alias("n"), F.max("fps").alias("fps"), F.max(error).alias("worst"), F.avg(error).alias("mean"))
-    return found.select("user_id", "n", r6(F.col("fps") * 1e6, "microhertz"), F.round(F.col("worst") * 1e-3, 3).alias("worst_s"), F.round(F.col("mean") * 1e-3, 3).alias("mean_s"))
+    found = temporal.phase_error(_type(track(spark, sf_dir), "view"), "t_ns", "event_id", ["user_id"])
+    return found.select("user_id", "n", r6(F.col("fps") * 1e6, "microhertz"), F.round(F.col("worst_ms") * 1e-3, 3).alias("worst_s"), F.round(F.col("mean_ms") * 1e-3, 3).alias("mean_s"))
 
 
 def spectral_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,13 +368,7 @@ def visibility_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output instants at which the nearest record differs from the instant before: where a source is read anew."""
-    near = asof_nearest_grid(spark, sf_dir)
-    w = Window.partitionBy(F.call_function("div", F.col("k"), F.lit(1024))).orderBy("k")
-    # the first instant of a block of 1024 has its predecessor in the block before
-    last = near.where("k % 1024 = 1023").select((F.call_function("div", F.col("k"), F.lit(1024)) + 1).alias("block"), F.col("event_id").alias("carried"))
-    rows = near.withColumn("block", F.call_function("div", F.col("k"), F.lit(1024))).withColumn("before", F.lag("event_id").over(w)).join(last, "block", "left")
-    before = F.when(F.col("k") % 1024 == 0, F.col("carried")).otherwise(F.col("before"))
-    return rows.where(before.isNull() | (before != F.col("event_id"))).select("k", "event_id")
+    return temporal.changes(asof_nearest_grid(spark, sf_dir).select("k", "event_id"), "event_id", "k")
 
 
 def seek_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,8 +382,7 @@ def seek_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decimation_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a 90 Hz track at which a 37 Hz overlay is captured, after two losses (n/3 and 2n/3)."""
     n = 4500
-    tick = lambda k: F.floor(k * 37 / 90)
-    captured = spark.range(n).where((F.col("id") == 0) | (tick(F.col("id")) > tick(F.col("id") - 1)))
+    captured = spark.range(n).where(temporal.decimated(F.col("id"), 37, 90))
     count = n * 37 // 90
     placed = temporal.ordinal(captured.withColumn("all", F.lit(1)), "id", ["all"], "i")
     return placed.where((F.col("i") != count // 3) & (F.col("i") != 2 * count // 3)).select(F.col("id").alias("record"), "i")
@@ -399,8 +410,6 @@ def pixel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def covered_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest frustum inside a camera's image, seen over an assumed depth from a moved eye."""
-    from kinetrack.plans import frusta
-
     e = F.col("id")
     lens = F.struct(F.lit(300.0).alias("fx"), F.lit(310.0).alias("fy"), F.lit(322.0).alias("cx"), F.lit(241.0).alias("cy"))
     cameras = spark.range(8).select(e.alias("cam"), lens.alias("lens"), g.pose(g.vec3(0.02 + e / 200, 0.0, -0.06), g.from_yaw_pitch_roll(e / 40, F.lit(-0.05), F.lit(0.01))).alias("extrinsic"), F.lit(640).alias("width"), F.lit(480).alias("height"), g.vec3(0.03, 0, 0).alias("eye"))
@@ -413,7 +422,7 @@ NAMES = (
     "gaussian_smooth_value gaussian_smooth_pose upper_median_interval fov_edge_median frustum_union monotonicity_violations diagnostic_caps json_typed_extract "
     "span_overlap fk_anti quat_compose_rotate pose_compose_inverse swing_twist raw_extrinsic pinhole_project pinhole_unproject fov_project_roundtrip reproject_depth "
     "srgb_roundtrip over_linear checker_background audio_mix segment_ranges camera_clock_phase spectral_bin roughness visibility_histogram source_changes seek_points "
-    "decimation_ticks click_runs camera_keys pixel_blocks covered_fov"
+    "decimation_ticks click_runs camera_keys pixel_blocks covered_fov quat_functions frustum_functions"
 ).split()
 
 
