@@ -155,21 +155,28 @@ class Lattice:
         out, likelihood = np.zeros((len(self.key), self.p.shape[1])), 0.0
         for at, some in self._alike(words):
             n, ends = self._edges(some)
-            _, scales = self._forward(n, ends, len(some))
-            own, rows, c = language[at], np.arange(len(some)), count[at]
-            alpha = np.stack([s[rows, own] for s in scales])
-            likelihood += float(c @ alpha[n])
-            # log backward sums, relative to the whole
-            beta = np.full((n + 1, len(some)), -np.inf)
-            beta[n] = -alpha[n]
-            for e in range(n, 0, -1):
+            own, c = language[at], count[at]
+            # log forward sums of each word's own language, and the pieces that end at each place
+            alpha, used = np.zeros((n + 1, len(some))), [[] for _ in range(n + 1)]
+            for e in range(1, n + 1):
+                total = np.zeros(len(some))
                 for size, piece in ends[e]:
                     ok = np.flatnonzero(piece >= 0)
-                    p = np.log(self.p[piece[ok], own[ok]])
-                    beta[e - size, ok] = np.logaddexp(beta[e - size, ok], beta[e, ok] + p)
-                    known = piece[ok] < len(self.key)
-                    share = np.exp(alpha[e - size, ok] + p + beta[e, ok]) * c[ok]
-                    np.add.at(out, (piece[ok][known], own[ok][known]), share[known])
+                    piece = piece[ok]
+                    p = self.p[piece, own[ok]]
+                    total[ok] += np.exp(alpha[e - size, ok] - alpha[e - 1, ok]) * p
+                    used[e].append((size, ok, piece, p))
+                alpha[e] = alpha[e - 1] + np.log(total)
+            likelihood += float(c @ alpha[n])
+            # probability that a segmentation has a border at a place; backwards, it splits over the pieces that end there
+            border = np.zeros((n + 1, len(some)))
+            border[n] = 1.0
+            for e in range(n, 0, -1):
+                for size, ok, piece, p in used[e]:
+                    share = np.exp(alpha[e - size, ok] - alpha[e, ok]) * p * border[e, ok]
+                    border[e - size, ok] += share
+                    known = piece < len(self.key)
+                    np.add.at(out, (piece[known], own[ok][known]), (share * c[ok])[known])
         return out, likelihood
 
 

@@ -123,8 +123,65 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not s else sum((by.get(s[:k], language_id.FLOOR if k == 1 else 0)) * brute(s[k:]) for k in range(1, len(s) + 1))
 
     lattice = language_id.Lattice(pieces, p)
-    for w in ("abc", "b", "cab", "zz"):
-        assert lattice.log_probability([w])[0, 0] == pytest.approx(np.log(brute("▁" + w)))
+    for w in ("abc", "b", "cab", "zz", "abc" * 4, "cabbc" * 7 + "z"):  # shorter and longer than any former limit
+        got = lattice.log_probability([w])[0, 0]
+        if len(w) < 20:
+            assert got == pytest.approx(np.log(brute("▁" + w)))
+        else:
+            assert -np.inf < got < 0
+
+
+def test_expected_pieces_equal_all_segmentations():
+    pieces = ["▁a", "▁ab", "b", "bc", "c", "▁"]
+    p = np.array([[0.3, 0.1], [0.2, 0.2], [0.1, 0.3], [0.15, 0.2], [0.2, 0.1], [0.05, 0.1]])
+    words, language, count = ["abc", "b", "abcbc", "cz"], np.array([0, 1, 1, 0]), np.array([2.0, 1.0, 3.0, 1.0])
+
+    def all_of(s):
+        return [[]] if not s else [[s[:k], *rest] for k in range(1, len(s) + 1) if k == 1 or s[:k] in pieces for rest in all_of(s[k:])]
+
+    want, likelihood = np.zeros(p.shape), 0.0
+    for w, lang, c in zip(words, language, count, strict=True):
+        weighed = [(s, np.prod([p[pieces.index(x), lang] if x in pieces else language_id.FLOOR for x in s])) for s in all_of("▁" + w)]
+        total = sum(x for _, x in weighed)
+        likelihood += c * np.log(total)
+        for s, x in weighed:
+            for piece in s:
+                if piece in pieces:
+                    want[pieces.index(piece), lang] += c * x / total
+    got, gained = language_id.Lattice(pieces, p).expected(words, language, count)
+    assert np.allclose(got, want) and gained == pytest.approx(likelihood)
+
+
+def test_language_pieces_of_any_length():
+    pieces = ["▁", "internationalization", "a"]
+    p = np.array([[0.5], [0.4], [0.1]])
+    got = language_id.Lattice(pieces, p).log_probability(["internationalization" * 3])[0, 0]
+    assert got == pytest.approx(np.log(0.5 * 0.4**3), abs=1e-6)
+
+
+def test_null_and_split_benchmark_items(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(None, words), (4, words), (5, "short one"), (6, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {words} after, short ONE", "x"), (1, f"before {words} after, short ONE", "x"), (None, "nothing", "y"), (3, None, "z")], "doc_id long, text string, contamination string")
+    whole = decontaminate.with_contamination(docs, items)
+    parts = decontaminate.with_contamination(docs, items, block_bytes=20)
+    shape = lambda df: sorted((str(r["doc_id"]), r["contamination"]["n_hit"], r["contamination"]["item_ids"], [tuple(s) for s in r["contamination"]["spans"]]) for r in df.collect())
+    assert shape(whole) == shape(parts) and [x[1] for x in shape(whole)] == [14, 14, 0, 0]
+    assert shape(whole)[0][2] == ["4", "5"]
+
+
+def test_simhash_null_and_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(5, a), (None, a), (5, b), (7, b), (None, "c d e f g"), (None, "c d e f g")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted([("5", "5"), ("None", "5"), ("5", "5"), ("7", "5"), ("None", "None"), ("None", "None")])
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    good = " ".join(f"{x}{y}" for x in "walk talk find keep more".split() for y in "ing ed er est ly ness ful able ment ish ity ous al ive ation ure ance".split())
+    docs = spark.createDataFrame([(1, good, "x", "y"), (None, good + " more", "x", "y")], "doc_id long, text string, q_id string, q_text string")
+    got = quality_rules.keep_good(docs, threshold=0.0)
+    assert got.columns == docs.columns and got.count() == docs.count()
 
 
 def test_warc(spark):
