@@ -36,6 +36,8 @@ FLOOR, ADDED = 1e-7, 0.01
 GAIN, ROUNDS = 0.02, 6
 #: Words whose scores a task keeps; characters of the words that it sums over at once.
 CACHE, BLOCK = 1 << 19, 1 << 17
+#: Forward sums below this get a new scale.
+TINY = 1e-100
 #: Languages that a training table may have (each is a column of the piece probabilities).
 MOST_LANGUAGES = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,11 +70,18 @@ class Lattice:
 
     def __init__(self, pieces: list[str], probability: np.ndarray):
         """probability: pieces x languages."""
-        key = np.array([self._name(np.array([[ord(c) for c in p]], np.uint64))[0] for p in pieces], np.uint64)
-        self.key, self.p = key, np.vstack([probability, np.full(probability.shape[1], FLOOR)])
+        self.pieces, self.p = len(pieces), np.vstack([probability, np.full(probability.shape[1], FLOOR)])
         self.longest = max(map(len, pieces), default=1)
-        # open addressing: pieces by the top bits of their names, -1 where nothing is
-        self.shift = np.uint64(64 - max(1, (8 * len(key)).bit_length()))
+        # every beginning of a piece has a name; a word's characters are followed as long as some piece goes on
+        begun = {p[:k]: -1 for p in pieces for k in range(1, len(p) + 1)} | {p: i for i, p in enumerate(pieces)}
+        key, self.piece = np.zeros(len(begun), np.uint64), np.fromiter(begun.values(), np.int64, len(begun))
+        by: dict[int, list[tuple[int, str]]] = {}
+        for i, x in enumerate(begun):
+            by.setdefault(len(x), []).append((i, x))
+        for same in by.values():
+            key[[i for i, _ in same]] = self._name(np.array([[ord(c) for c in x] for _, x in same], np.uint64))
+        # open addressing: beginnings by the top bits of their names, -1 where nothing is
+        self.key, self.shift = key, np.uint64(64 - max(1, (8 * len(key)).bit_length()))
         self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
         for i, at in enumerate((key >> self.shift).tolist()):
             while self.slots[at] >= 0:
@@ -80,7 +89,7 @@ class Lattice:
             self.slots[at] = i
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """The pieces of names, -1 where there is none."""
+        """The beginnings of names, -1 where there is none."""
         if not len(self.key):
             return np.full(len(h), -1, np.int64)
         at = (h >> self.shift).astype(np.int64)
@@ -100,34 +109,52 @@ class Lattice:
             h ^= h >> np.uint64(29)
         return h
 
-    def _edges(self, words: list[str]) -> tuple[int, list[list[tuple[int, np.ndarray]]]]:
-        """Words of one length: for each end the (length, piece ids) of the pieces that may end there; -1: none."""
+    def _edges(self, words: list[str]) -> tuple[int, list[list[tuple[int, slice | np.ndarray, np.ndarray]]]]:
+        """Words of one length: for each end the (length, words, piece ids) of the pieces that end there, the
+        single character (of all words) first."""
         n = len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
-        ends: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64)
+        ends: list[list[tuple[int, slice | np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
         for i in range(n):
-            h = np.zeros(len(words), np.uint64)
+            h, on = np.zeros(len(words), np.uint64), np.arange(len(words))
             for j in range(i, min(n, i + self.longest)):
-                h = (h ^ codes[:, j]) * _MIX
+                h = (h ^ codes[j][on]) * _MIX
                 h ^= h >> np.uint64(29)
                 got = self._find(h)
+                more = np.flatnonzero(got >= 0)
+                h, on, piece = h[more], on[more], self.piece[got[more]]
                 if j == i:
-                    got[got < 0] = len(self.key)
-                if j == i or (got >= 0).any():
-                    ends[j + 1].append((j + 1 - i, got))
+                    single = np.full(len(words), self.pieces)
+                    single[on[piece >= 0]] = piece[piece >= 0]
+                    ends[j + 1].insert(0, (1, slice(None), single))
+                else:
+                    whole = np.flatnonzero(piece >= 0)
+                    if len(whole):
+                        ends[j + 1].append((j + 1 - i, on[whole], piece[whole]))
+                if not len(on):
+                    break
         return n, ends
 
-    def _forward(self, n: int, ends: list, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Scaled forward sums at each place, and the log of the scales so far."""
-        sums, scale = [np.ones((rows, self.p.shape[1]))], np.zeros((rows, self.p.shape[1]))
-        scales = [scale]
+    @staticmethod
+    def _moved(sums: list[np.ndarray], scales: list[np.ndarray], at: int, scale: np.ndarray) -> np.ndarray:
+        """The sums of a place under another scale."""
+        return sums[at] if scales[at] is scale else sums[at] * np.exp(scales[at] - scale)
+
+    def _forward(self, n: int, ends: list, start: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Forward sums at each place and the logs of their scales (one array as long as nothing gets too small).
+
+        ``ends`` has the pieces' probabilities last.
+        """
+        sums, scales = [start], [np.zeros_like(start)]
         for e in range(1, n + 1):
-            total = np.zeros_like(sums[0])
-            for size, piece in ends[e]:
-                p = np.where((piece >= 0)[:, None], self.p[piece], 0.0)
-                total += sums[e - size] * np.exp(scales[e - size] - scales[e - 1]) * p
-            scales.append(scales[e - 1] + np.log(total))
-            sums.append(np.ones_like(total))
+            scale = scales[e - 1]
+            total = np.zeros_like(start)
+            for size, own, *_, p in ends[e]:
+                total[own] += self._moved(sums, scales, e - size, scale)[own] * p
+            if total.min() < TINY:
+                scale, total = scale + np.log(total), np.ones_like(total)
+            sums.append(total)
+            scales.append(scale)
         return sums, scales
 
     @staticmethod
@@ -146,38 +173,37 @@ class Lattice:
         out = np.zeros((len(words), self.p.shape[1]))
         for at, some in self._alike(words):
             n, ends = self._edges(some)
-            out[at] = self._forward(n, ends, len(some))[1][n]
+            ends = [[(size, own, self.p[piece]) for size, own, piece in e] for e in ends]
+            sums, scales = self._forward(n, ends, np.ones((len(some), self.p.shape[1])))
+            out[at] = scales[n] + np.log(sums[n])
         return out
 
     def expected(self, words: list[str], language: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, float]:
         """Expected uses of each piece in each language (pieces x languages) for counted words of a language,
         and the log likelihood of these words."""
-        out, likelihood = np.zeros((len(self.key), self.p.shape[1])), 0.0
+        flat, wide = self.p.ravel(), self.p.shape[1]
+        out, likelihood = np.zeros(len(flat)), 0.0
         for at, some in self._alike(words):
             n, ends = self._edges(some)
-            own, c = language[at], count[at]
-            # log forward sums of each word's own language, and the pieces that end at each place
-            alpha, used = np.zeros((n + 1, len(some))), [[] for _ in range(n + 1)]
-            for e in range(1, n + 1):
-                total = np.zeros(len(some))
-                for size, piece in ends[e]:
-                    ok = np.flatnonzero(piece >= 0)
-                    piece = piece[ok]
-                    p = self.p[piece, own[ok]]
-                    total[ok] += np.exp(alpha[e - size, ok] - alpha[e - 1, ok]) * p
-                    used[e].append((size, ok, piece, p))
-                alpha[e] = alpha[e - 1] + np.log(total)
-            likelihood += float(c @ alpha[n])
-            # probability that a segmentation has a border at a place; backwards, it splits over the pieces that end there
+            spoken, c = language[at], count[at]
+            # sums of each word's own language alone
+            index = [[(size, own, piece * wide + spoken[own]) for size, own, piece in e] for e in ends]
+            ends = [[(size, own, i, flat[i]) for size, own, i in e] for e in index]
+            sums, scales = self._forward(n, ends, np.ones(len(some)))
+            likelihood += float(c @ (scales[n] + np.log(sums[n])))
+            # how often a segmentation has a border at a place; backwards, it splits over the pieces that end there
             border = np.zeros((n + 1, len(some)))
-            border[n] = 1.0
+            border[n] = c
+            used, weight = [], []
             for e in range(n, 0, -1):
-                for size, ok, piece, p in used[e]:
-                    share = np.exp(alpha[e - size, ok] - alpha[e, ok]) * p * border[e, ok]
-                    border[e - size, ok] += share
-                    known = piece < len(self.key)
-                    np.add.at(out, (piece[known], own[ok][known]), (share * c[ok])[known])
-        return out, likelihood
+                part = border[e] / sums[e]
+                for size, own, i, p in ends[e]:
+                    share = self._moved(sums, scales, e - size, scales[e])[own] * p * part[own]
+                    border[e - size][own] += share
+                    used.append(i)
+                    weight.append(share)
+            out += np.bincount(np.concatenate(used), np.concatenate(weight), len(flat))
+        return out.reshape(self.p.shape)[: self.pieces], likelihood
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
