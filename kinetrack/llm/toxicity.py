@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,19 +82,22 @@ class CharacterModel:
     def restore(self, seen: str) -> str:
         """The likeliest reading of a suspicious stretch, words separated by spaces."""
         # state: the last two characters' codes; value: log probability and the text so far
-        states = {(0, 0): (0.0, "")}
+        states, log = {(0, 0): (0.0, "")}, self.log
         for c, n in _runs(seen):
-            options = _options(c, n)
+            options = _coded(c, n)
             nxt: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (p, text) in states.items():
-                for out, cost in options:
+                for out, cost, codes in options:
                     x, y, q = a, b, p + cost
-                    for code in [0 if o == " " else _CODE.get(o, _OTHER) for o in out]:
-                        if code == 0 and y == 0:
-                            continue
-                        q += self.log[x][y][code]
-                        x, y = (0, 0) if code == 0 else (y, code)
-                    if (x, y) not in nxt or nxt[x, y][0] < q:
+                    for code in codes:
+                        if code:
+                            q += log[x][y][code]
+                            x, y = y, code
+                        elif y:
+                            q += log[x][y][0]
+                            x = y = 0
+                    got = nxt.get((x, y))
+                    if got is None or got[0] < q:
                         nxt[x, y] = (q, text + out)
             states = nxt
         return max((p + self.log[a][b][0], text) for (a, b), (p, text) in states.items())[1]
@@ -121,6 +125,12 @@ def _options(c: str, n: int) -> list[tuple[str, float]]:
     return [(" ", 0.0)]
 
 
+@lru_cache(maxsize=1 << 14)
+def _coded(c: str, n: int) -> list[tuple[str, float, list[int]]]:
+    """The same with the codes of what they stand for."""
+    return [(out, cost, [0 if o == " " else _CODE.get(o, _OTHER) for o in out]) for out, cost in _options(c, n)]
+
+
 def _spelled(text: str) -> Iterator[str]:
     """Runs of three or more single characters with white space between them."""
     run: list[str] = []

@@ -342,6 +342,30 @@ def test_toxicity(spark):
     assert set(r["score"] < 0.01 for r in toxicity.score(docs, toxicity.train(docs, marks.limit(0))).collect()) == {True}
 
 
+def test_restored_reading_is_the_likeliest_of_all():
+    from itertools import product
+
+    letters = "aeiostlgzb"
+    words = Counter({"".join(RNG.choice(letters) for _ in range(RNG.randint(1, 6))): RNG.randint(1, 50) for _ in range(300)})
+    model = toxicity.CharacterModel(toxicity.trigram_counts(words))
+
+    def cost(reading: str) -> float:
+        """Log probability of the words between boundaries; a reading that ends in a gap pays for an empty word."""
+        parts = [w for w in reading.split(" ") if w]
+        codes = [[0, 0, *toxicity._codes(w), 0] for w in parts] + ([[0, 0, 0]] if not parts or reading.endswith(" ") else [])
+        return sum(model.log[a][b][c] for x in codes for a, b, c in zip(x, x[1:], x[2:]))
+
+    for _ in range(300):
+        seen = "".join(RNG.choice("aeiostl01345$@!-. ") * RNG.choice((1, 1, 1, 2, 4)) for _ in range(RNG.randint(1, 6)))
+        best = max(
+            sum(c for _, c in path) + cost("".join(x for x, _ in path))
+            for path in product(*(toxicity._options(c, n) for c, n in toxicity._runs(seen)))
+        )
+        got = model.restore(seen)
+        paths = [p for p in product(*(toxicity._options(c, n) for c, n in toxicity._runs(seen))) if "".join(x for x, _ in p) == got]
+        assert max(sum(c for _, c in p) + cost(got) for p in paths) == pytest.approx(best, abs=1e-9)
+
+
 def test_toxicity_restores_look_alikes_doubles_and_gaps_anywhere(spark):
     bad, rng = ["moron", "stupid", "idiot", "trash", "ass", "hate"], random.Random(11)
     rows = [(i, prose(40, rng) + (" " + rng.choice(bad) if i % 3 == 0 else "")) for i in range(400)]
