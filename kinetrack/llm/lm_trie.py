@@ -1,17 +1,22 @@
 """N-gram language model in an Elias-Fano trie that tasks memory-map.
 
 Training counts words, word pairs and (``order`` 3) triples over all training texts.  The trie has a level
-for each order and one for the contexts of each order, cut into pieces of bounded size that are files of the shared folder:
+for each order, cut into pieces of bounded size that are files of the shared folder:
 
-* words: their 64-bit hashes in ascending order (Elias-Fano) and their counts; a word's id is its rank;
-* contexts: ids of words that something kept follows, with the quantised back-off weight;
-* children: for each piece, the contexts in it, monotone pointers to their first child, and the
-  children's ids relative to their context, all Elias-Fano, with quantised log10 probabilities;
-* the same two levels once more for triples, whose contexts are pairs: a pair's id is its rank among the
-  children.  Values of triples are the discounted shares alone; scoring adds the weighted pair's probability.
+* words: their 64-bit hashes in ascending order (Elias-Fano) and sums of their counts; a word's id is its rank;
+* children: for each piece, the contexts in it with their quantised back-off weights, monotone pointers to
+  their first child, the children's ids relative to their context, and sums of counts, all Elias-Fano, with
+  quantised log10 shares;
+* the same once more for triples, whose contexts are pairs: a pair's id is its rank among the children.
 
 A query finds its context in a piece, reads two pointers, and searches the child's successor between
-them.  Pieces are cut by range over (context, child), so a frequent context is spread over many.
+them.  Pieces are cut by range over (context, child), so a frequent context is spread over many; the
+weights of contexts at the ends of pieces are put together afterwards.
+
+Counting: each task sorts the keys of some millions of tokens and sends them on in parts, as differences.
+A key's part is its place among all tokens if words stood independently, from the counts of the level below:
+parts follow the order of keys, and a frequent context takes many.  So keys are shuffled once, and
+each part is merged and written as it arrives.
 
 Probabilities: interpolated absolute discounting,
     P(w | u) = max(n(u, w) - D, 0) / n(u) + backoff(u) * P(w),   P(w) = (n(w) + 1) / (N + V + 1),
@@ -20,7 +25,8 @@ with pairs and triples seen fewer than ``min_count`` times pruned (their mass go
 each context's probabilities still sum to one over the words and one unknown word).
 
 Edge cases: null and empty texts are one end token; a null doc_id is a training row; without any
-training text N = V = 0 and every word is unknown; repeated rows count as often as they stand.
+training text N = V = 0 and every word is unknown; repeated rows count as often as they stand; other
+columns are not read, so their names cannot clash; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -42,8 +48,10 @@ from kinetrack.llm.suffix_dedup import Names, scramble
 from kinetrack.llm.textbytes import lean, slices
 
 DISCOUNT = 0.75
-#: Entries of a piece, and the step of quantised log10 values (16 bits: 0 to -16).
-PIECE = 1 << 22
+#: Entries of a piece (also the tokens of a part), keys that a task sorts at once, and the step of quantised
+#: log10 values (16 bits: 0 to -16).
+PIECE = 1 << 20
+KEYS = 1 << 22
 STEP = 16.0 / 65535
 _SIGN = np.uint64(1 << 63)
 END = np.uint64(0x656E642D6F662D74)
@@ -141,12 +149,20 @@ def _ef(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
 class Pieces:
     """Pieces of a level in order of their first key."""
 
-    def __init__(self, rows: list[tuple[int, int, str]]):
-        """(first key as unsigned, entries, description)."""
-        rows = sorted(rows)
-        self.first = np.array([r[0] for r in rows], np.uint64)
-        self.base = np.concatenate([[0], np.cumsum([r[1] for r in rows])]).astype(np.int64)
-        self.files = [r[2] for r in rows]
+    def __init__(self, rows: list):
+        """Rows of PIECE_ROW."""
+        rows = sorted(rows, key=lambda r: int(np.int64(r["first"]).view(np.uint64)))
+        self.first = np.array([r["first"] for r in rows], np.int64).view(np.uint64)
+        self.base = np.concatenate([[0], np.cumsum([r["entries"] for r in rows])]).astype(np.int64)
+        self.mass = np.concatenate([[0], np.cumsum([r["total"] for r in rows])]).astype(np.int64)
+        self.files = [r["file"] for r in rows]
+        # a context at an end of a piece may go on in others
+        kept: dict[int, list[float]] = {}
+        for e in (e for r in rows for e in r["edges"]):
+            x = kept.setdefault(e["context"], [0.0, e["total"]])
+            x[0] += e["kept"]
+        self.edge = np.array(sorted(kept), np.int64)
+        self.edge_weight = np.array([max(1.0 - kept[c][0] / kept[c][1], 1e-15) for c in self.edge.tolist()])
 
     def of(self, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(piece, indices of the queries that it answers)."""
@@ -154,86 +170,154 @@ class Pieces:
         for p in np.unique(piece[piece >= 0]).tolist():
             yield p, np.flatnonzero(piece == p)
 
+    def counts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For entries by id: the sum of the counts before it, and its count."""
+        before, count = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        piece = np.searchsorted(self.base, ids, side="right") - 1
+        for p in np.unique(piece).tolist():
+            rows = np.flatnonzero(piece == p)
+            arrays, i = mapped(self.files[p]), ids[rows] - self.base[p]
+            if "sums" in arrays:
+                lo, hi = arrays["sums"][i], arrays["sums"][i + 1]
+            else:
+                lo, hi = (_ef(arrays, "sums").access(i + k).astype(np.int64) for k in (0, 1))
+            before[rows], count[rows] = lo + self.mass[p], hi - lo
+        return before, count
+
 
 class Trie:
-    def __init__(self, words: list, contexts: list, children: list, tokens: int, texts: int, pair_contexts: list | None = None, triples: list | None = None):
-        self.words, self.contexts, self.children = Pieces(words), Pieces(contexts), Pieces(children)
-        self.pair_contexts, self.triples = Pieces(pair_contexts or []), Pieces(triples or [])
+    def __init__(self, words: list, children: list, triples: list, tokens: int, texts: int):
+        self.words, self.children, self.triples = Pieces(words), Pieces(children), Pieces(triples)
         self.tokens, self.texts, self.types = tokens, texts, int(self.words.base[-1])
-        #: Bits of a word's id in the key of a triple.
+        #: Bits of a word's id in a key.
         self.bits = max(1, self.types.bit_length())
 
     def ids(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of words."""
         out, count = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
         for p, rows in self.words.of(word):
-            arrays = mapped(self.words.files[p])
-            i = _ef(arrays, "hash").find(word[rows])
-            ok = i >= 0
-            out[rows[ok]] = i[ok] + self.words.base[p]
-            count[rows[ok]] = arrays["count"][i[ok]]
+            i = _ef(mapped(self.words.files[p]), "hash").find(word[rows])
+            out[rows] = np.where(i >= 0, i + self.words.base[p], -1)
+        known = np.flatnonzero(out >= 0)
+        count[known] = self.words.counts(out[known])[1]
         return out, count
 
-    def backoff(self, context: np.ndarray, level: Pieces | None = None) -> np.ndarray:
-        """log10 of the back-off weight of contexts; 0 where no child was kept."""
-        level, out = level or self.contexts, np.zeros(len(context))
-        for p, rows in level.of(np.maximum(context, 0).astype(np.uint64)):
-            arrays = mapped(level.files[p])
-            i = _ef(arrays, "id").find(np.maximum(context[rows], 0).astype(np.uint64))
-            ok = (i >= 0) & (context[rows] >= 0)
-            out[rows[ok]] = -STEP * arrays["backoff"][i[ok]]
-        return out
-
-    def found(self, level: Pieces, bits: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and log10 values of a level's entries, -1 and NaN for what is not kept."""
-        ids, out = np.full(len(context), -1, np.int64), np.full(len(context), np.nan)
-        known = np.flatnonzero((context >= 0) & (word >= 0))
-        key = (context[known].astype(np.uint64) << np.uint64(bits)) | word[known].astype(np.uint64)
+    def found(self, level: Pieces, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (-1: not kept) and shares (0) of a level's entries, and weights of their contexts (1)."""
+        ids, share, weight = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
+        known = np.flatnonzero(context >= 0)
+        key = (context[known] << self.bits | np.maximum(word[known], 0)).astype(np.uint64)
         for p, rows in level.of(key):
             arrays = mapped(level.files[p])
-            own, c, w = known[rows], context[known[rows]].astype(np.uint64), word[known[rows]].astype(np.uint64)
-            place, distinct = pd.factorize(c)
-            at = _ef(arrays, "context").find(distinct)
+            own = known[rows]
+            place, distinct = pd.factorize(context[own])
+            at = _ef(arrays, "context").find(distinct.astype(np.uint64))
+            own, i = own[at[place] >= 0], at[place][at[place] >= 0]
+            weight[own] = 10.0 ** (-STEP * arrays["backoff"][i])
+            own, i = own[word[own] >= 0], i[word[own] >= 0]
             pointers = _ef(arrays, "pointer")
-            begin, end = (pointers.access(np.maximum(at, 0) + k).astype(np.int64) for k in (0, 1))
-            i = at[place]
-            ok = i >= 0
-            own, i, w, place = own[ok], i[ok], w[ok], place[ok]
-            first, last = begin[place], end[place]
+            first, last = (pointers.access(np.maximum(at, 0) + k).astype(np.int64) for k in (0, 1))
+            back = np.zeros(int(arrays["context_n"][0]), np.int64)
+            back[at[at >= 0]] = np.flatnonzero(at >= 0)
             wide = np.uint64(arrays["wide"][0])
-            j = _ef(arrays, "child").find(i.astype(np.uint64) * wide + w, first, last)
-            ok = j >= 0
-            ids[own[ok]] = j[ok] + level.base[p]
-            out[own[ok]] = -STEP * arrays["log10"][j[ok]]
-        return ids, out
-
-    def child(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and log10 P(word | context) of kept pairs, -1 and NaN for others."""
-        return self.found(self.children, 32, context, word)
-
-    def third(self, pair: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 P(word | pair), where ``lower`` is without the pair's first word; ``lower`` where the pair (id) is -1."""
-        out = lower.copy()
-        rows = np.flatnonzero(pair >= 0)
-        pair, word = pair[rows], word[rows]
-        back, key = pd.factorize((pair.astype(np.uint64) << np.uint64(self.bits + 1)) | (word + 1).astype(np.uint64))
-        own = self.found(self.triples, self.bits, (key >> np.uint64(self.bits + 1)).astype(np.int64), (key & np.uint64((2 << self.bits) - 1)).astype(np.int64) - 1)[1]
-        share = np.where(np.isnan(own), 0.0, 10.0**own)[back]
-        back, distinct = pd.factorize(pair)
-        out[rows] = np.log10(share + 10.0 ** (self.backoff(distinct, self.pair_contexts)[back] + lower[rows]))
-        return out
+            j = _ef(arrays, "child").find(i.astype(np.uint64) * wide + word[own].astype(np.uint64), first[back[i]], last[back[i]])
+            own, j = own[j >= 0], j[j >= 0]
+            ids[own], share[own] = j + level.base[p], 10.0 ** (-STEP * arrays["log10"][j])
+        if len(level.edge):
+            e = np.minimum(np.searchsorted(level.edge, context[known]), len(level.edge) - 1)
+            same = level.edge[e] == context[known]
+            weight[known[same]] = level.edge_weight[e[same]]
+        return ids, share, weight
 
     def begin(self) -> int:
         """The id that stands for the start of a text, as a context."""
         return self.types
 
-    def log10_unigram(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 1.0) / (self.tokens + self.types + 1.0))
-
+    def unigram(self, count: np.ndarray) -> np.ndarray:
+        return (count + 1.0) / (self.tokens + self.types + 1.0)
+
+    def contexts(self, order: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For contexts of an order: how often those before it were followed by anything, and how often it was."""
+        if order > 2:
+            return self.children.counts(context)
+        before, count = np.full(len(context), self.tokens, np.int64), np.full(len(context), self.texts, np.int64)
+        inner = context != self.begin()
+        before[inner], count[inner] = self.words.counts(context[inner])
+        return before, count
+
+    def place(self, order: int, key: np.ndarray) -> np.ndarray:
+        """Where ascending keys would stand among all (0 to 1) if words did not depend on their contexts."""
+        context, total = key >> self.bits, self.tokens + self.texts if order < 3 else int(self.children.mass[-1])
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        before, count = (np.repeat(x, np.diff(first, append=len(key))) for x in self.contexts(order, context[first]))
+        return (before + count * (self.words.counts(key & ((1 << self.bits) - 1))[0] / self.tokens)) / total
+
+
+PIECE_ROW = "first long, entries long, total long, file string, edges array<struct<context:long,kept:double,total:double>>"
+_EDGE = pa.list_(pa.struct([("context", pa.int64()), ("kept", pa.float64()), ("total", pa.float64())]))
+PART_ROW = "part long, first long, n long, keys binary, counts binary"
+
+
+def _pieces_written(rows: DataFrame, run, name: str) -> list:
+    return written(rows.mapInArrow(run, PIECE_ROW), name).collect()
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers with as few bytes as the largest needs: all lowest bytes, then all second ones, and so on."""
+    width = max(1, -(-int(x.max()).bit_length() // 8))
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _parted(keys: list[np.ndarray], trie: Trie, order: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Distinct keys and their counts, a row for each part."""
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    if not len(key):
+        return
+    part = np.minimum((trie.place(order, key) * parts).astype(np.int64), parts - 1)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(key)]]).tolist()
+    step = np.diff(key, prepend=0)
+    step[cut[:-1]] = 0
+    spans = list(zip(cut[:-1], cut[1:], strict=True))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(part[cut[:-1]]), pa.array(key[cut[:-1]]), pa.array(np.diff(cut)),
+            pa.array([_planes(step[a:b]) for a, b in spans], pa.binary()), pa.array([_planes(n[a:b]) for a, b in spans], pa.binary()),
+        ],
+        ["part", "first", "n", "keys", "counts"],
+    )
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and summed counts of each part; rows come in the order of their parts."""
+    now, held, size = None, [], 0
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[first], np.add.reduceat(n, first)
 
-def _pieces_written(rows: DataFrame, run, name: str) -> list[tuple[int, int, str]]:
-    table = written(rows.mapInArrow(run, "first long, entries long, file string"), name)
-    return [(int(np.int64(r[0]).view(np.uint64)), r[1], r[2]) for r in table.collect()]
+    for batch in batches:
+        for part, first, n, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and part != now:
+                yield fold()
+                held, size = [], 0
+            now = part
+            held.append((first + np.cumsum(_from_planes(keys, n)), _from_planes(counts, n)))
+            size += n
+            if size > KEYS:
+                held = [fold()]
+                size = len(held[0][0]) // 2  # folded again when as much has come in addition
+    if held:
+        yield fold()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
@@ -251,16 +335,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.nd
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _piece(folder: str, kind: str, first: int, n: int, arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _piece(folder: str, kind: str, first: int, n: int, total: int, arrays: dict[str, np.ndarray], edges: list[dict] | None = None) -> pa.RecordBatch:
     described = save(folder, f"{kind}-{uuid.uuid4().hex}", arrays)
-    return pa.RecordBatch.from_arrays([pa.array([np.uint64(first).view(np.int64)]), pa.array([n], pa.int64()), pa.array([described])], ["first", "entries", "file"])
-
-
-def _nodes(own: np.ndarray, place: np.ndarray, size: np.ndarray, word: np.ndarray, types: int) -> dict[str, np.ndarray]:
-    """Arrays of a piece of children: contexts, pointers to their first child, children within their context."""
-    out = {"wide": np.array([types], np.int64)} | _ef_arrays("context", EliasFano.of(own.astype(np.uint64)))
-    out |= _ef_arrays("pointer", EliasFano.of(np.concatenate([[0], np.cumsum(size)]).astype(np.uint64)))
-    return out | _ef_arrays("child", EliasFano.of(place.astype(np.uint64) * np.uint64(types) + word.astype(np.uint64)))
+    columns = [pa.array([np.uint64(first).view(np.int64)]), pa.array([n], pa.int64()), pa.array([total], pa.int64()), pa.array([described]), pa.array([edges or []], _EDGE)]
+    return pa.RecordBatch.from_arrays(columns, ["first", "entries", "total", "file", "edges"])
 
 
 def _before(x: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
@@ -270,7 +348,61 @@ def _before(x: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def train(texts: DataFrame, min_count: int = 2, piece: int = PIECE, order: int = 2) -> Trie:
+def _level(texts: DataFrame, trie: Trie, order: int, min_count: int, piece: int, folder: str) -> list:
+    """Counts and writes the pairs (order 2) or triples of all texts."""
+    spark = texts.sparkSession
+    shared, bits = spark.sparkContext.broadcast(trie), trie.bits
+    parts = max(1, -(-(trie.tokens + trie.texts) // piece))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        model, held = shared.value, []
+        for batch in _parts(batches, COUNT_BYTES):
+            word, n = _tokens(batch.column("text"))
+            inverse, distinct = pd.factorize(word)
+            ids = model.ids(distinct)[0][inverse]
+            context = _before(ids, n, model.begin())
+            if order > 2:
+                back, pair = pd.factorize(context << bits | ids)
+                context = _before(model.found(model.children, pair >> bits, pair & ((1 << bits) - 1))[0][back], n, -1)
+            held.append((context << bits | ids)[context >= 0])
+            if sum(map(len, held)) > KEYS:
+                yield from _parted(held, model, order, parts)
+                held = []
+        if held:
+            yield from _parted(held, model, order, parts)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        model = shared.value
+        for all_keys, all_n in _merged(batches):
+            kept = all_n >= min_count
+            all_keys, all_n = all_keys[kept], all_n[kept]
+            for lo in range(0, len(all_keys), piece):
+                key, n = all_keys[lo : lo + piece], all_n[lo : lo + piece]
+                context = key >> bits
+                first = np.flatnonzero(np.diff(context, prepend=-1))
+                own, size = context[first], np.diff(first, append=len(key))
+                total, mass = model.contexts(order, own)[1].astype(float), np.add.reduceat(n - DISCOUNT, first)
+                arrays = {
+                    "wide": np.array([model.types], np.int64),
+                    "log10": quantised(np.log10((n - DISCOUNT) / np.repeat(total, size))),
+                    "backoff": quantised(np.log10(np.maximum(1.0 - mass / total, 1e-15))),
+                }
+                child = np.repeat(np.arange(len(own)), size) * model.types + (key & ((1 << bits) - 1))
+                sums = np.concatenate([[0], np.cumsum(n)])
+                levels = {"context": own, "pointer": np.append(first, len(key)), "child": child} | ({"sums": sums} if order < 3 else {})
+                for name, x in levels.items():
+                    arrays |= _ef_arrays(name, EliasFano.of(x.astype(np.uint64)))
+                ends = [{"context": int(own[k]), "kept": float(mass[k]), "total": float(total[k])} for k in sorted({0, len(own) - 1})]
+                yield _piece(folder, f"order-{order}", int(key[0]), len(key), int(sums[-1]), arrays, ends)
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.mapInArrow(count, PART_ROW).repartition(partitions, "part").sortWithinPartitions("part")
+    return _pieces_written(rows, write, f"lm-order-{order}")
+
+
+def train(texts: DataFrame, min_count: int = 1, piece: int = PIECE, order: int = 3) -> Trie:
     """The trie of all rows' ``text``, of order 2 or 3.  What reaches the driver is the list of pieces and two totals."""
     spark = texts.sparkSession
     folder = fresh_path(spark, "lm")
@@ -284,121 +416,28 @@ def train(texts: DataFrame, min_count: int = 2, piece: int = PIECE, order: int =
             yield pa.RecordBatch.from_arrays([pa.array((key ^ _SIGN).view(np.int64)), pa.array(n)], ["word", "n"])
 
     words = written(texts.mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    tokens = words.agg(F.sum("n")).first()[0] or 0
     ending = int((np.array([END]) ^ _SIGN).view(np.int64)[0])
-    number = words.where(F.col("word") == ending).agg(F.sum("n")).first()[0] or 0
+    totals = words.agg(F.sum("n"), F.sum(F.when(F.col("word") == ending, F.col("n")))).first()
+    tokens, number = totals[0] or 0, totals[1] or 0
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for word, n in _chunks(batches, piece):
             key = word.astype(np.int64).view(np.uint64) ^ _SIGN
-            yield _piece(folder, "words", int(key[0]), len(key), {"count": n.astype(np.int64)} | _ef_arrays("hash", EliasFano.of(key)))
+            sums = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+            yield _piece(folder, "words", int(key[0]), len(key), int(sums[-1]), {"sums": sums} | _ef_arrays("hash", EliasFano.of(key)))
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = _pieces_written(words.repartitionByRange(partitions, "word").sortWithinPartitions("word"), write_words, "lm-word-pieces")
-    first = Trie(found, [], [], tokens, number)
-    shared = spark.sparkContext.broadcast(first)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        trie = shared.value
-        for batch in _parts(batches, COUNT_BYTES):
-            word, n = _tokens(batch.column("text"))
-            inverse, key = pd.factorize(word)
-            ids = trie.ids(key)[0][inverse]
-            before = _before(ids, n, trie.begin())
-            pair, n = np.unique((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], ["pair", "n"])
-
-    if first.types >= 1 << 31:
+    one = _pieces_written(words.repartitionByRange(partitions, "word").sortWithinPartitions("word"), write_words, "lm-word-pieces")
+    trie = Trie(one, [], [], tokens, number)
+    if trie.types >= 1 << 31:
         raise ValueError("ids of more than 2**31 words do not fit a pair's key")
-    pairs = texts.mapInArrow(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    pairs = written(pairs, "lm-pairs")
-    sums = pairs.groupBy(F.shiftright("pair", 32).alias("context")).agg(F.sum(F.col("n") - DISCOUNT).alias("kept"))
-
-    def write_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
-        for context, kept in _chunks(batches, piece):
-            total = _totals(trie, context)
-            weight = np.log10(np.maximum(1.0 - kept / total, 1e-15))
-            key = context.astype(np.uint64)
-            yield _piece(folder, "contexts", int(key[0]), len(key), {"backoff": quantised(weight)} | _ef_arrays("id", EliasFano.of(key)))
-
-    contexts = _pieces_written(sums.repartitionByRange(partitions, "context").sortWithinPartitions("context"), write_contexts, "lm-context-pieces")
-    second = spark.sparkContext.broadcast(Trie(found, contexts, [], tokens, number))
-
-    def write_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = second.value
-        for pair, n in _chunks(batches, piece):
-            context, word = pair >> 32, pair & 0xFFFFFFFF
-            own, place, size = np.unique(context, return_inverse=True, return_counts=True)
-            total = _totals(trie, own)[place]
-            low = 10.0 ** (trie.backoff(own)[place] + trie.log10_unigram(_counts(trie.words, word)))
-            arrays = {"log10": quantised(np.log10((n - DISCOUNT) / total + low))} | ({"count": n.astype(np.int64)} if order > 2 else {})
-            arrays |= _nodes(own, place, size, word, trie.types)
-            yield _piece(folder, "children", int(pair[0]), len(pair), arrays)
-
-    children = _pieces_written(pairs.repartitionByRange(partitions, "pair").sortWithinPartitions("pair"), write_children, "lm-child-pieces")
+    two = _level(texts, trie, 2, min_count, piece, folder)
+    trie = Trie(one, two, [], tokens, number)
     if order < 3:
-        return Trie(found, contexts, children, tokens, number)
-    two = Trie(found, contexts, children, tokens, number)
-    if int(two.children.base[-1]) >= 1 << (62 - two.bits):
+        return trie
+    if int(trie.children.base[-1]) >= 1 << (62 - trie.bits):
         raise ValueError("ids of a pair and a word do not fit a triple's key")
-    third = spark.sparkContext.broadcast(two)
-    bits = two.bits
-
-    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        trie = third.value
-        for batch in _parts(batches, COUNT_BYTES):
-            word, n = _tokens(batch.column("text"))
-            inverse, key = pd.factorize(word)
-            ids = trie.ids(key)[0][inverse]
-            back, pair = pd.factorize((_before(ids, n, trie.begin()).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
-            rank = trie.child((pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))[0][back]
-            context = _before(rank, n, -1)
-            ok = context >= 0
-            triple, n = np.unique((context[ok] << bits) | ids[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(triple), pa.array(n)], ["triple", "n"])
-
-    triples = texts.mapInArrow(count_triples, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    triples = written(triples, "lm-triples")
-    sums = triples.groupBy(F.shiftright("triple", bits).alias("pair")).agg(F.sum(F.col("n") - DISCOUNT).alias("kept"))
-
-    def write_pair_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair, kept in _chunks(batches, piece):
-            weight = np.log10(np.maximum(1.0 - kept / _counts(third.value.children, pair), 1e-15))
-            key = pair.astype(np.uint64)
-            yield _piece(folder, "pairs", int(key[0]), len(key), {"backoff": quantised(weight)} | _ef_arrays("id", EliasFano.of(key)))
-
-    def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = third.value
-        for triple, n in _chunks(batches, piece):
-            pair, word = triple >> bits, triple & ((1 << bits) - 1)
-            own, place, size = np.unique(pair, return_inverse=True, return_counts=True)
-            arrays = {"log10": quantised(np.log10((n - DISCOUNT) / _counts(trie.children, own)[place]))}
-            yield _piece(folder, "triples", int(triple[0]), len(triple), arrays | _nodes(own, place, size, word, trie.types))
-
-    pair_contexts = _pieces_written(sums.repartitionByRange(partitions, "pair").sortWithinPartitions("pair"), write_pair_contexts, "lm-pair-pieces")
-    last = _pieces_written(triples.repartitionByRange(partitions, "triple").sortWithinPartitions("triple"), write_triples, "lm-triple-pieces")
-    return Trie(found, contexts, children, tokens, number, pair_contexts, last)
-
-
-def _counts(level: Pieces, ids: np.ndarray) -> np.ndarray:
-    """Counts of a level's entries by id."""
-    out = np.zeros(len(ids), np.int64)
-    piece = np.searchsorted(level.base, ids, side="right") - 1
-    for p in np.unique(piece).tolist():
-        rows = np.flatnonzero(piece == p)
-        out[rows] = mapped(level.files[p])["count"][ids[rows] - level.base[p]]
-    return out
-
-
-def _totals(trie: Trie, context: np.ndarray) -> np.ndarray:
-    """How often contexts were followed by anything."""
-    out = np.full(len(context), float(trie.texts))
-    inner = context != trie.begin()
-    out[inner] = _counts(trie.words, context[inner])
-    return out
+    return Trie(one, two, _level(texts, trie, 3, min_count, piece, folder), tokens, number)
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -413,21 +452,21 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
         model = shared.value
         for batch in _parts(batches, SCORE_BYTES):
             word, n = _tokens(batch.column("text"))
-            inverse, key = pd.factorize(word)
-            known, count = model.ids(key)
-            single, ids = model.log10_unigram(count)[inverse], known[inverse]
-            base = np.log10((count + 1.0) / (model.tokens + model.types + 1.0))[inverse]
-            before, first = _before(ids, n, model.begin()), np.cumsum(n) - n
-            back, pair = pd.factorize(((before + 1).astype(np.uint64) << np.uint64(32)) | (ids + 1).astype(np.uint64))
-            c, w = (pair >> np.uint64(32)).astype(np.int64) - 1, (pair & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
-            rank, best = (x[back] for x in model.child(c, w))
-            place, distinct = pd.factorize(c)
-            value = np.where(np.isnan(best), single + model.backoff(distinct)[place][back], best)
-            if model.triples.files:
-                value = model.third(_before(rank, n, -1), ids, value)
+            inverse, distinct = pd.factorize(word)
+            known, count = model.ids(distinct)
+            p = model.unigram(count)
+            ids, base, value = known[inverse], np.log10(p)[inverse], p[inverse]
+            context = _before(ids, n, model.begin())
+            for level in (model.children, model.triples):
+                back, key = pd.factorize((context + 1).astype(np.uint64) << np.uint64(model.bits + 1) | (ids + 1).astype(np.uint64))
+                c, w = (key >> np.uint64(model.bits + 1)).astype(np.int64) - 1, (key & np.uint64((2 << model.bits) - 1)).astype(np.int64) - 1
+                rank, share, weight = (x[back] for x in model.found(level, c, w))
+                value = share + weight * value
+                context = _before(rank, n, -1)
+            first = np.cumsum(n) - n
             add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, x.dtype)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(add((ids >= 0).astype(np.int64))), pa.array(add(base)), pa.array(add(value))],
+                [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(add((ids >= 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(value)))],
                 ["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 

@@ -225,7 +225,7 @@ def test_elias_fano(n, top):
 
 
 def test_lm_trie(docs, none):
-    trie = lm_trie.train(docs, piece=64)
+    trie = lm_trie.train(docs, piece=64, min_count=2, order=2)
     tokens = [[*WORD.findall((t or "").translate(LOWER)), None] for t in [*TEXTS, BASE]]
     c = Counter(w for t in tokens for w in t)
     pairs = Counter(p for t in tokens for p in zip(["<s>", *t], t))
@@ -248,6 +248,16 @@ def test_lm_trie(docs, none):
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in empty)
 
 
+def test_lm_trie_parts_and_pieces_do_not_change_scores(spark):
+    """A context that most tokens stand in is spread over many pieces; its weight is put together again."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(80, rng) + " the the " * 20) for i in range(80)], "doc_id long, text string")
+    whole, cut = lm_trie.train(docs), lm_trie.train(docs, piece=37)
+    assert len(whole.children.files) == 1 and len(cut.children.files) > 20 < len(cut.triples.files)
+    a, b = ({r["doc_id"]: tuple(r) for r in lm_trie.score(docs, t).collect()} for t in (whole, cut))
+    assert all(a[i][:4] == b[i][:4] and abs(a[i][4] - b[i][4]) <= 2e-4 * a[i][1] for i in a) and len(a) == len(b) == 80
+
+
 def test_lm_trie_query_keeps_single_pairs_and_triples(spark, tmp_path):
     rng = random.Random(7)
     texts = [(i, prose(60, rng)) for i in range(60)] + [(60, None), (61, ""), (None, "one two three one two four")]
