@@ -9,11 +9,27 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
-_BLOCK = 2  # words of 64 bits between two entries of the directory
+_BLOCK = 2  # words of 64 bits between two entries of the directory; look-ups below count on two
 #: Position of the k-th set bit of a byte.
 _SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
 
 
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_PAIRS, _FOURS, _HALVES = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+
+
+def _in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Position of the k-th one (from 0) of each word; the ones of its bytes are summed up within the word."""
+    ones = x - ((x >> _ONE) & _PAIRS)
+    ones = (ones & _FOURS) + ((ones >> np.uint64(2)) & _FOURS)
+    sums = ((ones + (ones >> np.uint64(4))) & _HALVES) * _EACH
+    k = np.clip(k, 0, 63).astype(np.uint64)
+    octet = np.minimum(np.bitwise_count(((k * _EACH | _TOPS) - sums) & _TOPS), 7)
+    shift = octet.astype(np.uint64) << np.uint64(3)
+    left = k - (((sums << np.uint64(8)) >> shift) & np.uint64(255))
+    return shift.astype(np.int64) + _SELECT[(x >> shift) & np.uint64(255), np.minimum(left, 7)]
+
+
 def pack(values: np.ndarray, bits: int) -> np.ndarray:
     """The low ``bits`` of each value, packed into words (one spare word at the end)."""
     out = np.zeros(len(values) * bits // 64 + 2, np.uint64)
@@ -60,16 +76,16 @@ class EliasFano:
         block = np.searchsorted(self.zeros, k, side="right") - 1
         block = np.minimum(block, len(self.zeros) - 2)
         left = k - self.zeros[block]
-        words = ~self.high[(block * _BLOCK)[:, None] + np.arange(_BLOCK)]
-        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        w = np.minimum((sums <= left[:, None]).sum(axis=1), _BLOCK - 1)
-        rows = np.arange(len(k))
-        left = left - np.where(w > 0, sums[rows, np.maximum(w - 1, 0)], 0)
-        octets = np.ascontiguousarray(words[rows, w]).view(np.uint8).reshape(-1, 8)
-        sums8 = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        o = np.minimum((sums8 <= left[:, None]).sum(axis=1), 7)
-        left = np.clip(left - np.where(o > 0, sums8[rows, np.maximum(o - 1, 0)], 0), 0, 7)
-        return (block * _BLOCK + w) * 64 + o * 8 + _SELECT[octets[rows, o], left]
+        return self._in_block(block, left, True)
+
+    def _in_block(self, block: np.ndarray, left: np.ndarray, zeros: bool) -> np.ndarray:
+        """Position of the one or zero with that number (from 0) within a block."""
+        first, second = self.high[block * _BLOCK], self.high[block * _BLOCK + 1]
+        if zeros:
+            first, second = ~first, ~second
+        ones = np.bitwise_count(first).astype(np.int64)
+        later = left >= ones
+        return (block * _BLOCK + later) * 64 + _in_word(np.where(later, second, first), left - np.where(later, ones, 0))
 
     def bucket(self, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last + 1 index of the values whose high part is ``upper``."""
@@ -116,16 +132,7 @@ class EliasFano:
         ones = np.arange(len(self.zeros), dtype=np.int64) * 64 * _BLOCK - self.zeros
         block = np.minimum(np.searchsorted(ones, k, side="right") - 1, len(ones) - 2)
         left = k - ones[block]
-        words = self.high[(block * _BLOCK)[:, None] + np.arange(_BLOCK)]
-        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        w = np.minimum((sums <= left[:, None]).sum(axis=1), _BLOCK - 1)
-        rows = np.arange(len(k))
-        left = left - np.where(w > 0, sums[rows, np.maximum(w - 1, 0)], 0)
-        octets = np.ascontiguousarray(words[rows, w]).view(np.uint8).reshape(-1, 8)
-        sums8 = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        o = np.minimum((sums8 <= left[:, None]).sum(axis=1), 7)
-        left = np.clip(left - np.where(o > 0, sums8[rows, np.maximum(o - 1, 0)], 0), 0, 7)
-        return (block * _BLOCK + w) * 64 + o * 8 + _SELECT[octets[rows, o], left]
+        return self._in_block(block, left, False)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at indices."""

@@ -363,7 +363,7 @@ def _level(texts: DataFrame, trie: Trie, order: int, min_count: int, piece: int,
             ids = model.ids(distinct)[0][inverse]
             context = _before(ids, n, model.begin())
             if order > 2:
-                back, pair = pd.factorize(context << bits | ids)
+                pair, back = np.unique(context << bits | ids, return_inverse=True)  # in order, as the trie has them
                 context = _before(model.found(model.children, pair >> bits, pair & ((1 << bits) - 1))[0][back], n, -1)
             held.append((context << bits | ids)[context >= 0])
             if sum(map(len, held)) > KEYS:
@@ -458,7 +458,8 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
             ids, base, value = known[inverse], np.log10(p)[inverse], p[inverse]
             context = _before(ids, n, model.begin())
             for level in (model.children, model.triples):
-                back, key = pd.factorize((context + 1).astype(np.uint64) << np.uint64(model.bits + 1) | (ids + 1).astype(np.uint64))
+                # in order, so that look-ups go through a level from its start to its end
+                key, back = np.unique((context + 1).astype(np.uint64) << np.uint64(model.bits + 1) | (ids + 1).astype(np.uint64), return_inverse=True)
                 c, w = (key >> np.uint64(model.bits + 1)).astype(np.int64) - 1, (key & np.uint64((2 << model.bits) - 1)).astype(np.int64) - 1
                 rank, share, weight = (x[back] for x in model.found(level, c, w))
                 value = share + weight * value
