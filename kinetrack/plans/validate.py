@@ -20,21 +20,21 @@ def described(take: Take) -> DataFrame:
     seen = seen.groupBy("take_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("v", "n"))), lambda x: F.concat(x["n"].cast("string"), F.lit("x"), x["v"])), ", ").alias("visibility"))
     clock = take.clock.groupBy("take_id").agg(F.count(F.lit(1)).alias("samples"), F.min_by("offset_ns", "t_host_ns").alias("o0"), F.max_by("offset_ns", "t_host_ns").alias("o1"))
     frames = take.camera_frames.groupBy("take_id", "cam").agg(F.count(F.lit(1)).alias("n"))
-    cams = take.cameras.join(frames, ["take_id", "cam"], "left").groupBy("take_id").agg(F.sort_array(F.collect_list(F.format_string("  camera %s  : %d frames, fx=%.1f fy=%.1f", F.col("cam"), F.coalesce("n", F.lit(0)), F.col("lens.fx"), F.col("lens.fy")))).alias("cams"))
-    audio = take.audio.groupBy("take_id").agg(F.sort_array(F.collect_list(F.format_string("  audio %s : %d Hz x%d (%s clock)", "role", "sample_rate", "channels", F.when(F.col("device_clock"), "device").otherwise("host")))).alias("tracks"))
+    cams = take.cameras.join(frames, ["take_id", "cam"], "left").groupBy("take_id").agg(F.sort_array(F.collect_list(F.format_string("[camera %s] focal length %.1f by %.1f px, %d frames", F.col("cam"), F.col("lens.fx"), F.col("lens.fy"), F.coalesce("n", F.lit(0))))).alias("cams"))
+    audio = take.audio.groupBy("take_id").agg(F.sort_array(F.collect_list(F.format_string("[audio %s] starts in %s time; channels: %d, samples a second: %d", F.col("role"), F.when(F.col("device_clock"), "device").otherwise("host"), F.col("channels"), F.col("sample_rate")))).alias("tracks"))
     rows = take.manifest
     for x in (t, median_interval(take.telemetry), seen, clock, cams, audio):
         rows = rows.join(x, "take_id", "left")
     none = F.array().cast("array<string>")
     lines = F.concat(
         F.array(
-            F.format_string("take `%s`", F.coalesce("name", F.lit("(unnamed)"))),
-            F.format_string("  telemetry : %d records over %.3f s (median interval %.3f ms)", F.coalesce("records", F.lit(0)), (F.col("t1") - F.col("t0")) * 1e-9, F.col("interval_ns") * 1e-6),
-            F.when(F.col("samples") > 0, F.format_string("  clock     : %d samples, offset %.3f ms to %.3f ms", "samples", F.col("o0") * 1e-6, F.col("o1") * 1e-6)).otherwise("  clock     : no samples; host and device time are one clock"),
-            F.when(F.col("has_overlay"), F.format_string("  overlay   : %dx%d %s (%s), target %.1f Hz, alpha %s; %d record(s) carry pixels, %d dropped", "width", "height", "format", "encoder", "target_hz", "alpha", F.col("records") - F.col("dropped"), "dropped")).otherwise("  overlay   : absent"),
+            F.format_string("[take] %s", F.coalesce("name", F.lit("without a name"))),
+            F.format_string("[time] %.3f s in %d records, upper median step %.3f ms", (F.col("t1") - F.col("t0")) * 1e-9, F.coalesce("records", F.lit(0)), F.col("interval_ns") * 1e-6),
+            F.when(F.col("samples") > 0, F.format_string("[clock] device - host goes from %.3f to %.3f ms in %d samples", F.col("o0") * 1e-6, F.col("o1") * 1e-6, F.col("samples"))).otherwise("[clock] device = host"),
+            F.when(F.col("has_overlay"), F.format_string("[overlay] %d record(s) carry pixels, %d dropped; %s alpha, %s by %s, %d by %d px, %.1f a second wanted", F.col("records") - F.col("dropped"), F.col("dropped"), F.col("alpha"), F.col("format"), F.col("encoder"), F.col("width"), F.col("height"), F.col("target_hz"))).otherwise("[overlay] none"),
         ),
-        F.when(F.col("with_quads") > 0, F.array(F.format_string("  quads     : %d layer record(s) over %d telemetry record(s), eye visibility %s", "quads", "with_quads", "visibility"))).otherwise(none),
-        F.coalesce("cams", F.array(F.lit("  cameras   : absent"))), F.coalesce("tracks", none), F.transform(F.coalesce("notes", none), lambda n: F.concat(F.lit("  note      : "), n)),
+        F.when(F.col("with_quads") > 0, F.array(F.format_string("[layers] %s: %d in %d records", "visibility", "quads", "with_quads"))).otherwise(none),
+        F.coalesce("cams", F.array(F.lit("[cameras] none"))), F.coalesce("tracks", none), F.transform(F.coalesce("notes", none), lambda n: F.concat(F.lit("[note] "), n)),
     )
     return rows.select("take_id", F.array_join(lines, "\n").alias("summary"))
 
