@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import re
 import sys
 
 from pyspark.sql import SparkSession
@@ -17,8 +18,11 @@ from kinetrack.sources.take import Take
 
 
 def size(text: str) -> tuple[int, int]:
-    w, _, h = text.lower().partition("x")
-    return int(w), int(h)
+    """Width and height in pixels, such as 1280x720; both positive."""
+    found = re.fullmatch(r"(\d+)x(\d+)", text, re.ASCII)
+    if not found or not int(found[1]) or not int(found[2]):
+        raise argparse.ArgumentTypeError(f"{text!r} is not a size such as 1280x720")
+    return int(found[1]), int(found[2])
 
 
 def parser() -> argparse.ArgumentParser:
