@@ -86,4 +86,46 @@ FROM v, p{rounds}
 """
 
 
-ORACLES = {"op1_quality_rules": _quality(), "op4_warc": OP4, "op8_chat_format": OP8, "op9_decontaminate": OP9}
+
+def _merkle(levels: int = 7, tops: int = 3) -> str:
+    """Trees of eight children level by level: up to 8^levels documents of a lang and 8^tops langs."""
+    value = lambda x: f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    crc = """4294967295 - list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT),
+      lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"""
+    parts = [
+        f"d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS h, CASE WHEN doc_id IS NOT NULL AND ({crc}) % 3 = 0 THEN {leaf(_LOWER.format(x='text'))} END AS o FROM documents)",
+        "a0 AS (SELECT doc_id, g, h, coalesce(o, h) AS f, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM d)",
+    ]
+
+    def climb(name: str, last: int) -> list[str]:
+        """Nodes of each level, and of each node what stands left and right of it."""
+        out = []
+        for k in range(last):
+            out.append(f"{name}b{k} AS (SELECT g, p // 8 AS b, n, list(h ORDER BY p) AS hs FROM {name}{k} GROUP BY g, p // 8, n)")
+            out.append(f"{name}{k + 1} AS (SELECT g, b AS p, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}b{k})")
+        return out
+
+    parts += climb("a", levels)
+    parts.append(f"t0 AS (SELECT 0 AS g, g AS name, h, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n FROM a{levels})")
+    parts += climb("t", tops)
+    state = "s0 AS (SELECT a0.doc_id, a0.h AS leaf, a0.g, a0.p, a0.f, '' AS proof FROM a0)"
+    parts.append(state)
+    step = "{x}.n > 1 THEN {then} ELSE {other} END"
+    at = 0
+    for name, last, key in (("a", levels, "s.g"), ("t", tops, "0")):
+        if name == "t":
+            parts.append(f"s{at + 1} AS (SELECT s.doc_id, s.leaf, s.g, t0.p, s.f, s.proof FROM s{at} s JOIN t0 ON t0.name = s.g)")
+            at += 1
+        for k in range(last):
+            left, right = "array_to_string(x.hs[1:s.p % 8], '')", "array_to_string(x.hs[s.p % 8 + 2:], '')"
+            up = step.format(x="x", then=f"sha256({left} || s.f || {right})", other="s.f")
+            told = step.format(x="x", then=f"s.proof || {left} || {right}", other="s.proof")
+            parts.append(f"s{at + 1} AS (SELECT s.doc_id, s.leaf, s.g, s.p // 8 AS p, CASE WHEN {up} AS f, CASE WHEN {told} AS proof FROM s{at} s JOIN {name}b{k} x ON x.g = {key} AND x.b = s.p // 8)")
+            at += 1
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT s.doc_id, s.leaf, t0.h AS subroot, r.h AS root, sha256(s.proof) AS proof_sha256, s.f AS folded_root, s.f = r.h AS verified
+FROM s{at} s JOIN t0 ON t0.name = s.g, t{tops} r"""
+
+
+ORACLES = {"op1_quality_rules": _quality(), "op4_warc": OP4, "op8_chat_format": OP8, "op9_decontaminate": OP9, "op13_merkle": _merkle()}
