@@ -199,6 +199,39 @@ def segment_of(index: Column, n: Column, count: Column) -> Column:
     return F.when(index < wide, F.call_function("div", index, base + 1)).otherwise(late).cast("long")
 
 
+def running(df: DataFrame, order: list[str], by: list[str], block: int, number: str | None = "n", before: dict[str, str] | None = None) -> DataFrame:
+    """Adds the row's place (from 0) in its group as ``number``, and values of the row before it: ``before`` maps new names to columns.
+
+    A parallel prefix: the first of ``order`` (a LONG) is cut into blocks of the width ``block``; each block gives its count
+    and its last row, these few rows are scanned, and rows are windowed within a block.  No window holds a group, so a
+    group may be of any size.  Rows whose first ``order`` is null come first, as a block of their own.
+    """
+    before = before or {}
+    first, keys = F.col(order[0]).cast("long"), [F.col(k) for k in by]
+    rows = df.withColumn("_block", F.when(first.isNotNull(), _div(first - F.pmod(first, F.lit(block)), block)))
+    last = F.struct(*[F.col(c).alias(k) for k, c in before.items()], F.lit(0).alias("_"))
+    ends = rows.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_rows"), F.max_by(last, F.struct(*order)).alias("_last"))
+    scan = Window.partitionBy(*by).orderBy("_block")
+    ends = ends.select(*keys, "_block", (F.sum("_rows").over(scan) - F.col("_rows")).alias("_begin"), F.lag("_last").over(scan).alias("_carried"))
+    names = {k: f"_of_{k}" for k in [*by, "_block"]}
+    ends = ends.select(*[F.col(k).alias(n) for k, n in names.items()], "_begin", "_carried")
+    on = None
+    for k, n in names.items():
+        same = F.col(k).eqNullSafe(F.col(n))
+        on = same if on is None else on & same
+    within = Window.partitionBy(*by, "_block").orderBy(*order)
+    place = F.row_number().over(within)
+    found = rows.join(ends, on)
+    if before:
+        own = F.lag(F.struct(*[F.col(c).alias(k) for k, c in before.items()])).over(within)
+        found = found.withColumn("_place", place).withColumn("_own", own)
+        found = found.withColumns({k: F.when(F.col("_place") > 1, F.col(f"_own.{k}")).otherwise(F.col(f"_carried.{k}")) for k in before})
+    else:
+        found = found.withColumn("_place", place)
+    added = [*([(F.col("_begin") + F.col("_place") - 1).cast("long").alias(number)] if number else []), *before]
+    return found.select(*df.columns, *added)
+
+
 def ordinal(df: DataFrame, order: str, by: list[str] | None = None, out: str = "n") -> DataFrame:
     """Adds the row's place (from 0) in its group."""
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(*(by or [])).orderBy(order)) - 1).cast("long"))
