@@ -6,7 +6,11 @@ falls before 0 is cut) and scales it; a mix is the sum of placed tracks, as long
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import bisect
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrack.operators.temporal import llround
@@ -41,11 +45,71 @@ def tone_with_clicks(spark: SparkSession, seconds: float, hz: float = 440.0, lev
     return spark.range(int(round(seconds * rate))).select(i.alias("i"), v.alias("v"))
 
 
+def _greedy(places: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each loud sample of a block: the next one that is kept after it (its number), and the last one kept if it is the first."""
+    following = np.searchsorted(places, places + gap, side="right")
+    last = places.copy()
+    for k in range(len(places) - 1, -1, -1):
+        if following[k] < len(places):
+            last[k] = last[following[k]]
+    return following, last
+
+
+def _block_map(rows: pa.Table, gap: int, keys: list[str]) -> pa.Table:
+    """What a block does to the state that enters it, which is the first place allowed: (at or before a place, the last click then)."""
+    places = np.sort(rows.column("i").to_numpy())
+    block = rows.column("_block")[0].as_py()
+    _, last = _greedy(places, gap)
+    # a place allowed lies at most ``gap`` beyond the block's beginning; loud samples beyond that all act alike
+    some = min(len(places), int(np.searchsorted(places, block * _CLICK_BLOCK + gap, side="left")) + 1)
+    return pa.table({**{k: rows.column(k)[:1] for k in keys}, "_block": [block], "_upto": [places[:some].tolist()], "_last": [last[:some].tolist()]})
+
+
+def _entries(maps: pa.Table, gap: int, keys: list[str]) -> pa.Table:
+    """The first place allowed of each block: the blocks' maps, composed in order."""
+    maps = maps.sort_by("_block")
+    allowed, out = None, []
+    for upto, last in zip(maps.column("_upto").to_pylist(), maps.column("_last").to_pylist(), strict=True):
+        out.append(allowed)
+        k = 0 if allowed is None else bisect.bisect_left(upto, allowed)
+        if k < len(upto):
+            allowed = last[k] + gap + 1
+    return pa.table({**{k: maps.column(k) for k in keys}, "_block": maps.column("_block"), "_allowed": pa.array(out, pa.int64())})
+
+
+def _kept(loud: pa.Table, entry: pa.Table, gap: int) -> pa.Table:
+    loud = loud.sort_by("i")
+    places, allowed = loud.column("i").to_numpy(), entry.column("_allowed")[0].as_py()
+    following, _ = _greedy(places, gap)
+    k, kept = 0 if allowed is None else int(np.searchsorted(places, allowed)), []
+    while k < len(places):
+        kept.append(k)
+        k = int(following[k])
+    return loud.drop_columns(["_block"]).take(pa.array(kept, pa.int64()))
+
+
+#: Samples of a block.
+_CLICK_BLOCK = 1 << 16
+
+
 def clicks(samples: DataFrame, threshold: float, by: list[str] | None = None, gap: int = 100) -> DataFrame:
-    """First samples of runs over the threshold; a run ends where ``gap`` samples pass without one."""
-    w = Window.partitionBy(*(by or [])).orderBy("i")
-    loud = samples.where(F.abs("v") >= threshold).withColumn("before", F.lag("i").over(w))
-    return loud.where(F.col("before").isNull() | (F.col("i") - F.col("before") > gap)).drop("before")
+    """Samples (by, i, v) at or over the threshold that lie more than ``gap`` samples after the last one kept; i is unique in a group.
+
+    Which ones are kept depends on all before, so a group is cut into blocks: each block is first reduced to a map from the
+    first place allowed to its last click, of at most ``gap`` + 1 entries; the maps of a group are composed in order, which
+    gives each block its beginning; then blocks keep their clicks apart from each other.
+    """
+    if not 0 <= gap < _CLICK_BLOCK:
+        raise ValueError(f"gap is from 0 to {_CLICK_BLOCK - 1}, not {gap}")
+    by = by or []
+    keys = [*by, "_block"]
+    loud = samples.where(F.abs("v") >= threshold).select(*by, F.col("i").cast("long").alias("i"), "v", F.floor(F.col("i") / _CLICK_BLOCK).alias("_block"))
+    kinds = {f.name: f.dataType.simpleString() for f in loud.schema}
+    names = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    maps = loud.select(*keys, "i").groupBy(*keys).applyInArrow(lambda t: _block_map(t, gap, by), f"{names}, _upto array<long>, _last array<long>")
+    entries = maps.groupBy(*by).applyInArrow(lambda t: _entries(t, gap, by), f"{names}, _allowed long")
+    out = ", ".join(f"{c} {kinds[c]}" for c in loud.columns if c != "_block")
+    return loud.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(lambda a, b: _kept(a, b, gap), out)
 
 
 def codec_for(path: Column) -> Column:

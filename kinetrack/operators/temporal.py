@@ -8,6 +8,8 @@ bucket - are carried in, so that no window holds a whole track.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,34 +111,6 @@ def device_from_host(left: DataFrame, clock: DataFrame, on: str, by: list[str] |
     return offset_at_host(left, clock, on, by, "_offset").withColumn(out, F.col(on) + F.col("_offset")).drop("_offset")
 
 
-def clock_segments(clock: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row for each key: the samples as a sorted array of (t, o).  For clock series of bounded length."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col("t_host_ns").alias("t"), F.col("offset_ns").alias("o"))))
-    return clock.groupBy(*(by or [])).agg(rows.alias("clock"))
-
-
-def offset_in(clock: Column, host: Column) -> Column:
-    """Offset at a host time from an array of samples (see ``clock_segments``)."""
-    n = F.size(clock)
-    # samples sorted by time: the last one at or before the time
-    lo = F.size(F.filter(clock, lambda s: s["t"] <= host)) - 1
-    a, b = F.get(clock, lo), F.get(clock, lo + 1)
-    inner = a["o"] + llround((host - a["t"]).cast("double") / (b["t"] - a["t"]) * (b["o"] - a["o"]).cast("double"))
-    ends = F.when(n == 0, F.lit(0).cast("long")).when(host <= F.get(clock, F.lit(0))["t"], F.get(clock, F.lit(0))["o"]).when(host >= F.get(clock, n - 1)["t"], F.get(clock, n - 1)["o"])
-    return F.coalesce(ends, inner)
-
-
-def host_from_device(device: Column, clock: Column, rounds: int = 32) -> Column:
-    """Inverse of ``t + offset(t)``: fixed-point rounds in a fold, which computes no more once a round changes nothing."""
-    start = F.struct((device - offset_in(clock, device)).alias("h"), F.lit(False).alias("done"))
-
-    def step(a: Column, _: Column) -> Column:
-        new = F.get(F.transform(F.array(device - offset_in(clock, a["h"])), lambda n: F.struct(n.alias("h"), (n == a["h"]).alias("done"))), F.lit(0))
-        return F.when(a["done"], a).otherwise(new)
-
-    return F.when(F.size(clock) == 0, device).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda a: a["h"]))
-
-
 def to_host(left: DataFrame, clock: DataFrame, on: str, by: list[str] | None = None, out: str = "t_host_ns", rounds: int = 4, bucket_ns: int | None = None) -> DataFrame:
     """Adds the host time of device times: the inverse of t + offset(t), by bracketing.
 
@@ -172,11 +146,28 @@ def frame_count(span_ns: Column, fps: Column) -> Column:
     return F.when(span_ns > 0, F.floor(span_ns.cast("double") * 1e-9 * fps + 1e-6).cast("long") + 1).otherwise(F.lit(1).cast("long"))
 
 
+#: Numbers that one row unfolds into.
+RUN = 1 << 16
+
+
+def counted(rows: DataFrame, count: str, out: str = "k") -> DataFrame:
+    """Each row once for each number from 0 to ``count`` - 1 (a LONG column) as ``out``.
+
+    A row first gives its runs of RUN numbers; these are dealt out among tasks and unfolded there, so a count of any size
+    is no array and no work of one task.
+    """
+    last = F.col(count) - 1
+    runs = rows.where(F.col(count) > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(RUN).cast("long"))))
+    dealt = runs.repartition(F.xxhash64(*[F.col(c) for c, kind in rows.dtypes if "map" not in kind and "variant" not in kind], "_from"))
+    return dealt.withColumn(out, F.explode(F.sequence(F.col("_from"), F.least(last, F.col("_from") + RUN - 1)))).drop("_from")
+
+
 def grid(spans: DataFrame, fps: float | Column, by: list[str] | None = None) -> DataFrame:
     """Instants k, t_ns of a constant-rate grid over each row's [first_ns, last_ns]."""
     rate = fps if isinstance(fps, Column) else F.lit(float(fps))
-    k = F.explode(F.sequence(F.lit(0).cast("long"), frame_count(F.col("last_ns") - F.col("first_ns"), rate) - 1))
-    return spans.select(*(by or []), "first_ns", rate.alias("_fps"), k.alias("k")).select(*(by or []), "k", output_instant(F.col("first_ns"), F.col("k"), F.col("_fps")).alias("t_ns"))
+    frames = frame_count(F.col("last_ns") - F.col("first_ns"), rate)
+    rows = counted(spans.select(*(by or []), "first_ns", rate.alias("_fps"), frames.alias("_n")), "_n")
+    return rows.select(*(by or []), "k", output_instant(F.col("first_ns"), F.col("k"), F.col("_fps")).alias("t_ns"))
 
 
 def segment_begin(n: Column, index: Column, count: Column) -> Column:
@@ -199,6 +190,12 @@ def segment_of(index: Column, n: Column, count: Column) -> Column:
     return F.when(index < wide, F.call_function("div", index, base + 1)).otherwise(late).cast("long")
 
 
+def renamed(keyed: DataFrame, by: list[str]) -> tuple[DataFrame, Column]:
+    """``keyed`` with its keys renamed, and the condition that a row with the keys ``by`` meets it (null keys too)."""
+    on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by], F.lit(True))
+    return keyed.select(*[F.col(k).alias(f"_of_{k}") for k in by], *[c for c in keyed.columns if c not in by]), on
+
+
 def running(df: DataFrame, order: list[str], by: list[str], block: int, number: str | None = "n", before: dict[str, str] | None = None) -> DataFrame:
     """Adds the row's place (from 0) in its group as ``number``, and values of the row before it: ``before`` maps new names to columns.
 
@@ -213,12 +210,7 @@ def running(df: DataFrame, order: list[str], by: list[str], block: int, number:
     ends = rows.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_rows"), F.max_by(last, F.struct(*order)).alias("_last"))
     scan = Window.partitionBy(*by).orderBy("_block")
     ends = ends.select(*keys, "_block", (F.sum("_rows").over(scan) - F.col("_rows")).alias("_begin"), F.lag("_last").over(scan).alias("_carried"))
-    names = {k: f"_of_{k}" for k in [*by, "_block"]}
-    ends = ends.select(*[F.col(k).alias(n) for k, n in names.items()], "_begin", "_carried")
-    on = None
-    for k, n in names.items():
-        same = F.col(k).eqNullSafe(F.col(n))
-        on = same if on is None else on & same
+    ends, on = renamed(ends, [*by, "_block"])
     within = Window.partitionBy(*by, "_block").orderBy(*order)
     place = F.row_number().over(within)
     found = rows.join(ends, on)
@@ -232,8 +224,10 @@ def running(df: DataFrame, order: list[str], by: list[str], block: int, number:
     return found.select(*df.columns, *added)
 
 
-def ordinal(df: DataFrame, order: str, by: list[str] | None = None, out: str = "n") -> DataFrame:
-    """Adds the row's place (from 0) in its group."""
+def ordinal(df: DataFrame, order: str, by: list[str] | None = None, out: str = "n", block: int | None = None) -> DataFrame:
+    """Adds the row's place (from 0) in its group.  ``block``, a width of ``order`` (a LONG), is for groups of any size (see ``running``)."""
+    if block:
+        return running(df, [order], by or [], block, out)
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(*(by or [])).orderBy(order)) - 1).cast("long"))
 
 
@@ -250,11 +244,11 @@ def changes(rows: DataFrame, value: str, order: str, by: list[str] | None = None
     return found.where(before.isNull() | ~before["v"].eqNullSafe(F.col(value))).select(*rows.columns)
 
 
-def phase_error(stamps: DataFrame, on: str, order: str, by: list[str]) -> DataFrame:
+def phase_error(stamps: DataFrame, on: str, order: str, by: list[str], block: int | None = None) -> DataFrame:
     """For each group of two stamps or more: n, the measured rate fps, and how far (``worst_ms``, ``mean_ms``) its stamps are from a grid of that rate."""
     rate = stamps.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("_t0"), F.max(on).alias("_t1")).where((F.col("n") > 1) & (F.col("_t1") > F.col("_t0")))
     rate = rate.withColumn("fps", (F.col("n") - 1).cast("double") * 1e9 / (F.col("_t1") - F.col("_t0")))
-    placed = ordinal(stamps.select(*by, on, order), order, by, "_i").join(rate, by)
+    placed = ordinal(stamps.select(*by, on, order), order, by, "_i", block).join(rate, by)
     error = F.abs((F.col(on) - F.col("_t0")).cast("double") - F.col("_i").cast("double") * 1e9 / F.col("fps")) * 1e-6
     return placed.groupBy(*by).agg(F.max("n").alias("n"), F.max("fps").alias("fps"), F.max(error).alias("worst_ms"), F.avg(error).alias("mean_ms"))
 
@@ -271,6 +265,15 @@ def decimated(k: Column, rate: float | Column, of: float | Column) -> Column:
     return (k == 0) | (tick(k) > tick(k - 1))
 
 
-def advances(value: str, order: str, by: list[str] | None = None) -> Column:
-    """True where a value is greater than the row before (or has none)."""
-    return F.coalesce(F.col(value) > F.lag(value).over(Window.partitionBy(*(by or [])).orderBy(order)), F.lit(True))
+def without_two(df: DataFrame, place: str, by: list[str], least: int = 12) -> DataFrame:
+    """A group's rows (``place`` counts them from 0) but for those a third and two thirds through; groups under ``least`` rows keep all."""
+    n, same = renamed(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    third = _div(F.col("_n"), 3)
+    twice = _div(2 * F.col("_n"), 3)
+    return df.join(n, same).where((F.col("_n") < least) | ((F.col(place) != third) & (F.col(place) != twice))).select(*df.columns)
+
+
+def advances(df: DataFrame, value: str, order: str, by: list[str], block: int, out: str = "advances") -> DataFrame:
+    """Adds whether a value is greater than the row's before, which is so where there is none (``block``: see ``running``)."""
+    rows = running(df, [order], by, block, None, {"_before": value})
+    return rows.withColumn(out, F.coalesce(F.col(value) > F.col("_before"), F.lit(True))).drop("_before")

@@ -239,7 +239,7 @@ ORACLES["reproject_depth"] = (
     f"vv AS (SELECT *, {', '.join(f'CASE WHEN event_id % 4 = 0 THEN {a} ELSE {b} END AS v{c}' for a, b, c in zip(_inf, _fin, 'xyz'))} FROM ks) "
     f"SELECT event_id, {r6('vx', 'x')}, {r6('vy', 'y')}, {r6('vz', 'z')}, {r6('CASE WHEN vz < 0 THEN (vx / -vz - tl) / (tr - tl) * 640 - 0.5 END', 'px')}, {r6('CASE WHEN vz < 0 THEN (vy / -vz - tu) / (td - tu) * 480 - 0.5 END', 'py')} FROM vv"
 )
-ORACLES["srgb_roundtrip"] = f"WITH b AS (SELECT unnest(range(0, 256)) AS byte), l AS (SELECT byte, {linear('(byte::DOUBLE / 255)')} AS v FROM b) SELECT byte, {r6('v', 'linear')}, byte AS back FROM l"
+ORACLES["srgb_roundtrip"] = f"WITH {EV}, l AS (SELECT event_id, event_id % 256 AS byte, {linear('((event_id % 256)::DOUBLE / 255)')} AS v FROM ev) SELECT event_id, {r6('v', 'linear')}, byte AS back FROM l"
 _over = encoded("m")
 ORACLES["over_linear"] = (
     f"WITH {EV}, c AS (SELECT event_id, {linear('((event_id % 256)::DOUBLE / 255)')} AS b, {linear('(value / 500)')} AS f, (event_id % 101)::DOUBLE / 100 AS a FROM ev), m AS (SELECT event_id, b * (1 - a) + f * a AS m FROM c) "
@@ -251,12 +251,12 @@ def _checker() -> str:
     colours = {"fw": (0.34, 0.26, 0.22), "hz": (0.28, 0.34, 0.40), "dark": (0.055, 0.070, 0.086), "light": (0.105, 0.125, 0.145)}
     pick = [f"CASE WHEN abs(yaw) < 0.006 AND abs(pitch) < 0.25 THEN {colours['fw'][i]}::DOUBLE WHEN abs(pitch) < 0.006 THEN {colours['hz'][i]}::DOUBLE WHEN cell THEN {colours['dark'][i]}::DOUBLE ELSE {colours['light'][i]}::DOUBLE END" for i in range(3)]
     return (
-        "WITH p AS (SELECT i % 64 AS px, i // 64 AS py FROM (SELECT unnest(range(0, 3072)) AS i)), "
-        "v AS (SELECT px, py, tan(-0.95::DOUBLE) + (px + 0.5)/64 * (tan(0.86::DOUBLE) - tan(-0.95::DOUBLE)) AS x, tan(0.75::DOUBLE) + (py + 0.5)/48 * (tan(-0.78::DOUBLE) - tan(0.75::DOUBLE)) AS y FROM p), "
-        "a AS (SELECT px, py, atan2(x, 1.0::DOUBLE) AS yaw, asin(y / sqrt(x*x + y*y + 1)) AS pitch FROM v), "
+        f"WITH {EV}, p AS (SELECT event_id, event_id % 64 AS px, event_id // 64 % 48 AS py FROM ev), "
+        "v AS (SELECT event_id, tan(-0.95::DOUBLE) + (px + 0.5)/64 * (tan(0.86::DOUBLE) - tan(-0.95::DOUBLE)) AS x, tan(0.75::DOUBLE) + (py + 0.5)/48 * (tan(-0.78::DOUBLE) - tan(0.75::DOUBLE)) AS y FROM p), "
+        "a AS (SELECT event_id, atan2(x, 1.0::DOUBLE) AS yaw, asin(y / sqrt(x*x + y*y + 1)) AS pitch FROM v), "
         "c AS (SELECT *, CAST(floor(yaw / 0.13089969 + 1024) + floor(pitch / 0.13089969 + 1024) AS BIGINT) % 2 = 0 AS cell FROM a), "
-        f"k AS (SELECT px, py, {', '.join(f'{x} AS c{i}' for i, x in enumerate(pick))} FROM c) "
-        f"SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, {', '.join(r6(linear(f'c{i}'), n) for i, n in enumerate('rgb'))} FROM k"
+        f"k AS (SELECT event_id, {', '.join(f'{x} AS c{i}' for i, x in enumerate(pick))} FROM c) "
+        f"SELECT event_id, {', '.join(r6(linear(f'c{i}'), n) for i, n in enumerate('rgb'))} FROM k"
     )
 
 
@@ -266,10 +266,10 @@ ORACLES["audio_mix"] = (
     f"SELECT i, {r6('sum(v)', 'v')} FROM p WHERE i >= 0 GROUP BY i"
 )
 ORACLES["segment_ranges"] = (
-    "WITH c AS (SELECT n, k FROM (SELECT unnest([1, 7, 45, 4137]) AS n), (SELECT unnest([1, 2, 3, 4, 8, 12]) AS k)), x AS (SELECT n, k, unnest(range(0, n)) AS f FROM c) "
-    "SELECT CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, s - 1 AS i, min(f) AS first, max(f) + 1 AS last FROM ("
-    + " UNION ALL ".join(f"SELECT n, k, f, ntile({k}) OVER (PARTITION BY n ORDER BY f) AS s FROM x WHERE k = {k}" for k in (1, 2, 3, 4, 8, 12))
-    + ") GROUP BY n, k, s"
+    f"WITH {EV}, x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS f FROM ev) "
+    "SELECT user_id, CAST(k AS BIGINT) AS k, s - 1 AS i, min(f) AS first, max(f) + 1 AS last FROM ("
+    + " UNION ALL ".join(f"SELECT user_id, {k} AS k, f, ntile({k}) OVER (PARTITION BY user_id ORDER BY f) AS s FROM x" for k in (1, 2, 3, 4, 8, 12))
+    + ") GROUP BY user_id, k, s"
 )
 ORACLES["camera_clock_phase"] = (
     f"WITH {EV}, v AS (SELECT user_id, t_ns, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM ev WHERE event_type = 'view'), "
@@ -297,11 +297,13 @@ ORACLES["seek_points"] = (
     f"SELECT event_id, {r6(f'CASE WHEN p < t_ns THEN (p + t_ns - {2 * T0})::DOUBLE / 2 * 1e-9 END', 'seek_s')} FROM v"
 )
 ORACLES["decimation_ticks"] = (
-    "WITH r AS (SELECT unnest(range(0, 4500)) AS k), t AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i FROM r WHERE k = 0 OR k * 37 // 90 > (k - 1) * 37 // 90) "
-    "SELECT k AS record, i FROM t WHERE i NOT IN ((4500 * 37 // 90) // 3, 2 * (4500 * 37 // 90) // 3)"
+    f"WITH {EV}, r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM ev), "
+    "t AS (SELECT user_id, event_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM r WHERE k = 0 OR k * 37 // 90 > (k - 1) * 37 // 90) "
+    "SELECT user_id, event_id, k AS record, i FROM t WHERE n < 12 OR (i <> n // 3 AND i <> 2 * n // 3)"
 )
 ORACLES["click_runs"] = (
-    f"WITH {EV}, l AS (SELECT user_id, event_id AS i, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM ev WHERE abs(value) >= 100) SELECT user_id, i FROM l WHERE p IS NULL OR i - p > 100"
+    f"WITH RECURSIVE {EV}, l AS (SELECT user_id, event_id AS i FROM ev WHERE abs(value) >= 100), nx AS (SELECT a.user_id, a.i, min(b.i) AS j FROM l a JOIN l b ON a.user_id = b.user_id AND b.i - a.i > 100 GROUP BY a.user_id, a.i), "
+    "c AS (SELECT user_id, min(i) AS i FROM l GROUP BY user_id UNION ALL SELECT nx.user_id, nx.j FROM c JOIN nx ON nx.user_id = c.user_id AND nx.i = c.i) SELECT user_id, i FROM c"
 )
 ORACLES["camera_keys"] = (
     f"WITH {EV}, k AS (SELECT ['L', 'camR', 'cam0', 'right', 'EYE1', '0', 'rear'][event_id % 7 + 1] AS raw FROM ev) "
@@ -331,8 +333,8 @@ def _covered() -> str:
         "pt AS (SELECT cam, side, (ox + rx/n*t) / -(oz + rz/n*t) AS tx, (oy + ry/n*t) / -(oz + rz/n*t) AS ty FROM tt)",
     ]
     return ", ".join(parts) + (
-        f" SELECT cam, {r6('atan(max(tx) FILTER (side = {0}l{0}))'.format(chr(39)), 'l')}, {r6('atan(min(tx) FILTER (side = {0}r{0}))'.format(chr(39)), 'r')}, "
-        f"{r6('atan(min(ty) FILTER (side = {0}u{0}))'.format(chr(39)), 'u')}, {r6('atan(max(ty) FILTER (side = {0}d{0}))'.format(chr(39)), 'd')} FROM pt GROUP BY cam"
+        f", fo AS (SELECT cam, {r6('atan(max(tx) FILTER (side = {0}l{0}))'.format(chr(39)), 'l')}, {r6('atan(min(tx) FILTER (side = {0}r{0}))'.format(chr(39)), 'r')}, "
+        f"{r6('atan(min(ty) FILTER (side = {0}u{0}))'.format(chr(39)), 'u')}, {r6('atan(max(ty) FILTER (side = {0}d{0}))'.format(chr(39)), 'd')} FROM pt GROUP BY cam) SELECT s_suppkey, l, r, u, d FROM supplier JOIN fo ON fo.cam = s_suppkey % 8"
     )
 
 
@@ -353,3 +355,4 @@ ORACLES["frustum_functions"] = (
     f"{r6('atan(tu - py)', 'cu')}, {r6('atan(td + py)', 'cd')}, {r6('fx0 / 2', 'fx')}, 155.0::DOUBLE AS fy, 320.75::DOUBLE AS cx, {r6('(630.0::DOUBLE + (event_id % 9)::DOUBLE - 160) / 2', 'cy')}, "
     f"{r6('degrees(2 * atan(320.0::DOUBLE / fx0))', 'hfov')}, {r6('sqrt(ln(2.0::DOUBLE) / 2) / (pi() * (1 + event_id % 300)::DOUBLE * 1e-3)', 'cutoff')} FROM x"
 )
+ORACLES["line_scan"] = "SELECT event_id // 4096 AS part, row_number() OVER (PARTITION BY event_id // 4096 ORDER BY event_id) AS line, regexp_replace(props, chr(10), ' ', 'g') AS text FROM events"

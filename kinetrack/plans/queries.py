@@ -6,9 +6,10 @@ angles from ``value`` and ``event_id``; ``error`` events are dropped records, ``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrack.functions import geom as g
@@ -18,6 +19,8 @@ from kinetrack.functions import variants as v
 from kinetrack.operators import audio, diagnostics, raster, smooth, temporal
 from kinetrack.plans import frusta
 from kinetrack.plans.render_plan import median_interval
+from kinetrack.sources.lines import numbered_lines
+from kinetrack.sources.tables import shared_folder
 
 DAY = 86_400 * temporal.NS
 T0 = 1_704_067_200 * temporal.NS
@@ -62,20 +65,20 @@ def _type(rows: DataFrame, kind: str, *columns: str) -> DataFrame:
 
 def asof_nearest_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir)
-    near = temporal.asof_nearest(_type(rows, "purchase"), _type(rows, "view"), "t_ns", ["user_id"], order="event_id")
+    near = temporal.asof_nearest(_type(rows, "purchase"), _type(rows, "view"), "t_ns", ["user_id"], order="event_id", bucket_ns=DAY)
     return near.select("event_id", "user_id", F.col("match.event_id").alias("view_id"), (F.col("match.t_ns") - F.col("t_ns")).alias("gap_ns"))
 
 
 def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir)
-    near = temporal.asof_backward(_type(rows, "purchase"), _type(rows, "click"), "t_ns", ["user_id"], order="event_id")
+    near = temporal.asof_backward(_type(rows, "purchase"), _type(rows, "click"), "t_ns", ["user_id"], order="event_id", bucket_ns=DAY)
     return near.select("event_id", "user_id", F.col("match.event_id").alias("click_id"))
 
 
 def ordinal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir)
-    kept = temporal.ordinal(rows.where("event_type <> 'error'").select("user_id", "event_id"), "event_id", ["user_id"])
-    frames = temporal.ordinal(_type(rows, "view").select("user_id", F.col("event_id").alias("frame_id")), "frame_id", ["user_id"])
+    kept = temporal.ordinal(rows.where("event_type <> 'error'").select("user_id", "event_id"), "event_id", ["user_id"], block=temporal.RUN)
+    frames = temporal.ordinal(_type(rows, "view").select("user_id", F.col("event_id").alias("frame_id")), "frame_id", ["user_id"], block=temporal.RUN)
     return frames.join(kept, ["user_id", "n"]).select("user_id", "n", "frame_id", "event_id")
 
 
@@ -83,7 +86,7 @@ def overlay_source_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid instant -> frame (among kept records) -> record number (among all)."""
     rows = track(spark, sf_dir)
     # the record number of the whole track is event_id, which is its order
-    kept = temporal.ordinal(rows.where("event_type <> 'error'").select("t_ns", "event_id", "user_id"), "event_id", ["user_id"], "frame")
+    kept = temporal.ordinal(rows.where("event_type <> 'error'").select("t_ns", "event_id", "user_id"), "event_id", ["user_id"], "frame", temporal.RUN)
     near = temporal.asof_nearest(instants(rows), kept, "t_ns", order="event_id", bucket_ns=DAY)
     return near.select("k", F.col("match.frame").alias("frame"), F.col("match.event_id").alias("record"))
 
@@ -115,7 +118,7 @@ def _yaw_pose(value: Column) -> Column:
 def interp_pose_slerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir)
     poses = _type(rows, "view", "value").withColumn("pose", _yaw_pose(F.col("value"))).drop("value")
-    found = temporal.bracketed(_type(rows, "purchase"), poses, "t_ns", ["user_id"], order="event_id").where("below IS NOT NULL")
+    found = temporal.bracketed(_type(rows, "purchase"), poses, "t_ns", ["user_id"], order="event_id", bucket_ns=DAY).where("below IS NOT NULL")
     found = found.withColumn("pose", g.interpolate(F.col("below.pose"), F.col("above.pose"), F.col("u")))
     return found.select("event_id", r6(F.col("pose.pos.x"), "x"), r6(F.col("pose.pos.z"), "z"), r6(F.col("pose.rot.y"), "qy"), r6(F.col("pose.rot.w"), "qw"))
 
@@ -149,7 +152,7 @@ def _fov_edges() -> dict[str, Column]:
 
 def fov_edge_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir).select("user_id", *[c.alias(k) for k, c in _fov_edges().items()])
-    medians = rows.groupBy("user_id").agg(*[stats.upper_median(k).alias(k) for k in "lrud"])
+    medians = stats.upper_medians(rows, list("lrud"), ["user_id"])
     cropped = medians.withColumn("s", o.symmetrize(o.fov(*[F.col(k) for k in "lrud"]))).withColumn("f", o.crop_to_pane(F.col("s"), F.lit(640), F.lit(480)))
     return cropped.select("user_id", *[r6(F.col(f"f.{k}"), k) for k in "lrud"])
 
@@ -163,7 +166,7 @@ def frustum_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monotonicity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = track(spark, sf_dir).withColumn("ok", temporal.advances("value", "event_id", ["user_id"]))
+    rows = temporal.advances(track(spark, sf_dir), "value", "event_id", ["user_id"], temporal.RUN, "ok")
     return rows.where("NOT ok").select("user_id", "event_id")
 
 
@@ -305,9 +308,9 @@ def reproject_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def srgb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.col("id")
+    b = F.col("event_id") % 256
     linear = o.srgb_to_linear(b.cast("double") / 255)
-    return spark.range(256).select(b.alias("byte"), r6(linear, "linear"), temporal.llround(o.linear_to_srgb(linear) * 255).alias("back"))
+    return track(spark, sf_dir).select("event_id", r6(linear, "linear"), temporal.llround(o.linear_to_srgb(linear) * 255).alias("back"))
 
 
 def over_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,10 +321,12 @@ def over_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checker_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raster.pixels(64, 48, spark)
+    """The checker in the direction of each event's pixel of a pane of 64 x 48."""
+    e = F.col("event_id")
+    px, py = (e % 64).cast("double"), (F.call_function("div", e, F.lit(64)) % 48).cast("double")
     f = o.fov(F.lit(-0.95), F.lit(0.86), F.lit(0.75), F.lit(-0.78))
-    rows = rows.withColumn("v", o.fov_ray(f, F.col("px").cast("double"), F.col("py").cast("double"), F.lit(64), F.lit(48))).withColumn("c", raster.checker(F.col("v")))
-    return rows.select("px", "py", *[r6(F.get("c", i), k) for i, k in enumerate("rgb")])
+    rows = track(spark, sf_dir).select("event_id", raster.checker(o.fov_ray(f, px, py, F.lit(64), F.lit(48))).alias("c"))
+    return rows.select("event_id", *[r6(F.get("c", i), k) for i, k in enumerate("rgb")])
 
 
 def audio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,14 +340,15 @@ def audio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.sql("SELECT n, k FROM (SELECT explode(array(1L, 7L, 45L, 4137L)) AS n) CROSS JOIN (SELECT explode(array(1L, 2L, 3L, 4L, 8L, 12L)) AS k)")
+    """Each user's events as frames, cut into 1 to 12 segments."""
+    cases = track(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3, 4, 8, 12)])))
     rows = cases.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("s", temporal.segment_range(F.col("n"), F.col("i"), F.col("k")))
-    return rows.select("n", "k", "i", F.col("s.begin").alias("first"), F.col("s.end").alias("last")).where("last > first")
+    return rows.select("user_id", "k", "i", F.col("s.begin").alias("first"), F.col("s.end").alias("last")).where("last > first")
 
 
 def camera_clock_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured rate of each user's views, and their distance from a constant-rate grid in seconds."""
-    found = temporal.phase_error(_type(track(spark, sf_dir), "view"), "t_ns", "event_id", ["user_id"])
+    found = temporal.phase_error(_type(track(spark, sf_dir), "view"), "t_ns", "event_id", ["user_id"], temporal.RUN)
     return found.select("user_id", "n", r6(F.col("fps") * 1e6, "microhertz"), F.round(F.col("worst_ms") * 1e-3, 3).alias("worst_s"), F.round(F.col("mean_ms") * 1e-3, 3).alias("mean_s"))
 
 
@@ -353,8 +359,8 @@ def spectral_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roughness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stats.second_difference(track(spark, sf_dir), "value", "t_ns", ["user_id"]).where("rough IS NOT NULL")
-    found = rows.groupBy("user_id").agg(stats.upper_median("rough").alias("rough"))
+    rows = stats.second_difference(track(spark, sf_dir), "value", "t_ns", ["user_id"], DAY).where("rough IS NOT NULL")
+    found = stats.upper_medians(rows.select("user_id", "rough"), ["rough"], ["user_id"])
     return found.select("user_id", r6(F.col("rough") * 1e6, "rough"))
 
 
@@ -374,18 +380,16 @@ def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seek_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds to seek to for a frame: midway between its stamp and the one before; null where stamps do not rise."""
     rows = _type(track(spark, sf_dir), "view", "value")
-    before = F.lag("t_ns").over(Window.partitionBy("user_id").orderBy("event_id"))
-    middle = (before + F.col("t_ns") - 2 * T0).cast("double") / 2 * 1e-9
-    return rows.withColumn("seek", F.when(before < F.col("t_ns"), middle)).select("event_id", r6(F.col("seek"), "seek_s"))
+    rows = temporal.running(rows, ["event_id"], ["user_id"], temporal.RUN, None, {"before": "t_ns"})
+    middle = (F.col("before") + F.col("t_ns") - 2 * T0).cast("double") / 2 * 1e-9
+    return rows.withColumn("seek", F.when(F.col("before") < F.col("t_ns"), middle)).select("event_id", r6(F.col("seek"), "seek_s"))
 
 
 def decimation_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a 90 Hz track at which a 37 Hz overlay is captured, after two losses (n/3 and 2n/3)."""
-    n = 4500
-    captured = spark.range(n).where(temporal.decimated(F.col("id"), 37, 90))
-    count = n * 37 // 90
-    placed = temporal.ordinal(captured.withColumn("all", F.lit(1)), "id", ["all"], "i")
-    return placed.where((F.col("i") != count // 3) & (F.col("i") != 2 * count // 3)).select(F.col("id").alias("record"), "i")
+    """Each user's events as a 90 Hz track: the records at which a 37 Hz overlay is captured, after two losses (n/3 and 2n/3)."""
+    rows = temporal.ordinal(track(spark, sf_dir).select("user_id", "event_id"), "event_id", ["user_id"], "record", temporal.RUN)
+    captured = temporal.ordinal(rows.where(temporal.decimated(F.col("record"), 37, 90)), "record", ["user_id"], "i", temporal.RUN)
+    return temporal.without_two(captured, "i", ["user_id"]).select("user_id", "event_id", "record", "i")
 
 
 def click_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,12 +413,21 @@ def pixel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covered_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest frustum inside a camera's image, seen over an assumed depth from a moved eye."""
-    e = F.col("id")
+    """The largest frustum inside a camera's image, seen over an assumed depth from a moved eye; a camera for each supplier."""
+    e = F.col("s_suppkey") % 8
     lens = F.struct(F.lit(300.0).alias("fx"), F.lit(310.0).alias("fy"), F.lit(322.0).alias("cx"), F.lit(241.0).alias("cy"))
-    cameras = spark.range(8).select(e.alias("cam"), lens.alias("lens"), g.pose(g.vec3(0.02 + e / 200, 0.0, -0.06), g.from_yaw_pitch_roll(e / 40, F.lit(-0.05), F.lit(0.01))).alias("extrinsic"), F.lit(640).alias("width"), F.lit(480).alias("height"), g.vec3(0.03, 0, 0).alias("eye"))
-    found = frusta.camera_covered(cameras, ["cam"], depth=1.5)
-    return found.select("cam", *[r6(F.col(f"covered.{k}"), k) for k in "lrud"])
+    cameras = load(spark, sf_dir, "supplier").select("s_suppkey", lens.alias("lens"), g.pose(g.vec3(0.02 + e / 200, 0.0, -0.06), g.from_yaw_pitch_roll(e / 40, F.lit(-0.05), F.lit(0.01))).alias("extrinsic"), F.lit(640).alias("width"), F.lit(480).alias("height"), g.vec3(0.03, 0, 0).alias("eye"))
+    found = frusta.camera_covered(cameras, ["s_suppkey"], depth=1.5)
+    return found.select("s_suppkey", *[r6(F.col(f"covered.{k}"), k) for k in "lrud"])
+
+
+def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of events' properties, read back as numbered lines: file, line and text."""
+    rows = load(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 4096).alias("part"), F.regexp_replace("props", "\n", " ").alias("text"))
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "text").write.partitionBy("part").text(path)
+    found = numbered_lines(spark, f"{path}/*/*")
+    return found.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "line", "text")
 
 
 NAMES = (
@@ -422,7 +435,7 @@ NAMES = (
     "gaussian_smooth_value gaussian_smooth_pose upper_median_interval fov_edge_median frustum_union monotonicity_violations diagnostic_caps json_typed_extract "
     "span_overlap fk_anti quat_compose_rotate pose_compose_inverse swing_twist raw_extrinsic pinhole_project pinhole_unproject fov_project_roundtrip reproject_depth "
     "srgb_roundtrip over_linear checker_background audio_mix segment_ranges camera_clock_phase spectral_bin roughness visibility_histogram source_changes seek_points "
-    "decimation_ticks click_runs camera_keys pixel_blocks covered_fov quat_functions frustum_functions"
+    "decimation_ticks click_runs camera_keys pixel_blocks covered_fov quat_functions frustum_functions line_scan"
 ).split()
 
 

@@ -103,15 +103,14 @@ def test_colour(spark):
     assert r["cut"] == pytest.approx(0.9374, abs=1e-3) and r["none"] == 0
 
 
-def test_upper_median_and_rank(spark):
-    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0)], "v double")
-    assert df.agg(stats.upper_median("v")).first()[0] == 3.0 == stats.upper_median_large(df, "v")
-    big = spark.range(5000).select(((F.col("id") * 7919) % 5003).cast("double").alias("v"))
-    values = sorted((i * 7919) % 5003 for i in range(5000))
-    assert stats.select_rank(big, "v", 1234, bins=16, small=20) == values[1234]
-    assert stats.select_rank(big, "v", 5000) is None
-    ties = spark.createDataFrame([(5.0,)] * 50 + [(1.0,)], "v double")
-    assert stats.select_rank(ties, "v", 25, bins=4, small=3) == 5.0
+def test_upper_medians_of_any_size(spark):
+    groups = {"even": [1.0, 2.0, 3.0, 4.0], "one": [7.5], "ties": [5.0] * 50 + [1.0], "spread": [float((i * 7919) % 5003) for i in range(3000)], "scales": [10.0 ** (i % 300 - 150) for i in range(900)], None: [-1.0, 0.0, 2.0], "none": [None]}
+    rows = [(k, x, None if x is None else -x) for k, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    want = {k: (sorted(xs)[len(xs) // 2], -sorted(xs, reverse=True)[len(xs) // 2]) for k, xs in groups.items() if xs != [None]} | {"none": (None, None)}
+    for small, bins in ((100_000, 1024), (40, 64)):
+        got = {r["k"]: (r["v"], r["w"]) for r in stats.upper_medians(df, ["v", "w"], ["k"], small, bins).collect()}
+        assert got == want
 
 
 def test_typed_json(spark):

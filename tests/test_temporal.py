@@ -58,8 +58,28 @@ def test_clock_offsets(spark):
 def test_clock_inverse_is_exact(spark):
     clock = spark.createDataFrame([(0, 100 * MS), (1000 * MS, 101 * MS), (2000 * MS, 102 * MS)], "t_host_ns long, offset_ns long")
     times = frame(spark, list(range(-500 * MS, 2500 * MS, 37 * MS)))
-    device = temporal.device_from_host(times, clock, "t").crossJoin(temporal.clock_segments(clock))
-    assert device.where(temporal.host_from_device(F.col("t_device_ns"), F.col("clock")) != F.col("t")).count() == 0
+    device = temporal.device_from_host(times, clock, "t")
+    assert temporal.to_host(device, clock, "t_device_ns", out="back").where("back <> t").count() == 0
+
+
+def test_places_and_rows_before_do_not_depend_on_blocks(spark):
+    rows = spark.createDataFrame([(k, (i * 37) % 50 - 20, i % 7 if i % 5 else None) for k in ("a", None) for i in range(50)] + [("b", 3, 1)], "k string, t long, v int")
+    want = rows.toPandas().sort_values("t")
+    for block in (1, 7, 1000):
+        got = temporal.running(rows, ["t"], ["k"], block, "n", {"p": "v", "pt": "t"}).toPandas()
+        for key in ("a", "b", None):
+            mine, own = (x[x.k.isna() if key is None else x.k == key].sort_values("t") for x in (got, want))
+            assert mine.n.tolist() == list(range(len(own)))
+            assert mine.pt.tolist()[1:] == own.t.tolist()[:-1] and mine.p.fillna(-1).tolist()[1:] == own.v.fillna(-1).tolist()[:-1] and mine.p.isna().tolist()[0]
+    assert temporal.advances(rows.where("k = 'a'"), "t", "t", ["k"], 7).where("NOT advances").count() == 0
+    late = temporal.ordinal(rows, "t", ["k"], "n", 7)
+    assert temporal.without_two(late, "n", ["k"]).groupBy("k").count().orderBy("k").collect() == [(None, 48), ("a", 48), ("b", 1)]
+
+
+def test_counting_unfolds_in_runs(spark):
+    rows = spark.createDataFrame([("a", 3), ("b", 0), ("c", 2 * temporal.RUN + 1), ("d", None)], "g string, n long")
+    got = temporal.counted(rows, "n")
+    assert {r["g"]: (r["c"], r["a"], r["b"]) for r in got.groupBy("g").agg(F.countDistinct("k").alias("c"), F.min("k").alias("a"), F.max("k").alias("b")).collect()} == {"a": (3, 0, 2), "c": (2 * temporal.RUN + 1, 0, 2 * temporal.RUN)}
 
 
 @pytest.mark.parametrize("n", [1, 7, 45, 4137])
