@@ -192,7 +192,7 @@ ORACLES["diagnostic_caps"] = (
     f"WITH {EV}, di AS (SELECT CAST(user_id AS VARCHAR) AS take_id, event_id AS line, 'value over 100 in ' || event_type AS message, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, "
     "count(*) OVER (PARTITION BY user_id) AS c FROM ev WHERE value > 100) "
     "SELECT take_id, 'error' AS severity, count(*) AS n, max(line) AS last_line, max(message) AS message FROM di WHERE n <= 5 GROUP BY take_id "
-    "UNION ALL SELECT take_id, 'warning', 1, NULL, '... and ' || (max(c) - 5) || ' more record(s) with a large value' FROM di WHERE c > 5 GROUP BY take_id"
+    "UNION ALL SELECT take_id, 'warning', 1, NULL, 'a large value: ' || (max(c) - 5) || ' record(s) beyond those listed' FROM di WHERE c > 5 GROUP BY take_id"
 )
 ORACLES["json_typed_extract"] = (
     f"WITH {EV}, b AS (SELECT event_id, event_id % 6 AS e, regexp_extract(props, '([0-9]+)', 1) AS k FROM ev) "
