@@ -75,38 +75,34 @@ def positions(rows: DataFrame, order: list[str]) -> DataFrame:
 
 _NODE = "tree long, position long, size long, digest string"
 _PATH = "path array<struct<left:string,right:string>>, subroot string, root string"
-_BLOCK = ARITY**HEIGHT
 
 
-def _levels(size: int) -> int:
-    return min(HEIGHT, depth(size))
+def _block(height: int) -> Column:
+    return F.floor(F.col("position") / ARITY**height).alias("block")
 
 
-def _block() -> Column:
-    return F.floor(F.col("position") / _BLOCK).alias("block")
-
-
-def _block_root(nodes: pa.Table) -> pa.Table:
+def _block_root(nodes: pa.Table, height: int) -> pa.Table:
     nodes = nodes.sort_by("position")
     tree, at, size = (nodes.column(c)[0].as_py() for c in ("tree", "position", "size"))
-    root = traverse(nodes.column("digest").to_pylist(), _levels(size))
-    return pa.table({"tree": [tree], "position": [at // _BLOCK], "size": [-(-size // _BLOCK)], "digest": [root]})
+    root = traverse(nodes.column("digest").to_pylist(), min(height, depth(size)))
+    block = ARITY**height
+    return pa.table({"tree": [tree], "position": [at // block], "size": [-(-size // block)], "digest": [root]})
 
 
-def _climb(nodes: DataFrame, size: int) -> list[DataFrame]:
+def _climb(nodes: DataFrame, size: int, height: int) -> list[DataFrame]:
     """``nodes`` and the roots of their blocks, again and again until each tree has one; ``size`` is that of the largest tree."""
     rounds = [nodes]
     while size > 1:
-        up = rounds[-1].select("tree", "position", "size", "digest").groupBy("tree", _block()).applyInArrow(lambda t: _block_root(t), _NODE)
+        up = rounds[-1].select("tree", "position", "size", "digest").groupBy("tree", _block(height)).applyInArrow(lambda t: _block_root(t, height), _NODE)
         rounds.append(written(up, "merkle-blocks"))
-        size = -(-size // _BLOCK)
+        size = -(-size // ARITY**height)
     return rounds
 
 
-def _paths(nodes: pa.Table, above: pa.Table) -> tuple[pa.Table, list[list[tuple[str, str]]], str, str]:
+def _paths(nodes: pa.Table, above: pa.Table, height: int) -> tuple[pa.Table, list[list[tuple[str, str]]], str, str]:
     nodes = nodes.sort_by("position")
     found: list[list[tuple[str, str]]] = [[] for _ in range(nodes.num_rows)]
-    traverse(nodes.column("digest").to_pylist(), _levels(nodes.column("size")[0].as_py()), found)
+    traverse(nodes.column("digest").to_pylist(), min(height, depth(nodes.column("size")[0].as_py())), found)
     rest = [(x["left"], x["right"]) for x in above.column("path")[0].as_py()]
     return nodes, [x + rest for x in found], above.column("subroot")[0].as_py(), above.column("root")[0].as_py()
 
@@ -118,14 +114,14 @@ def _pairs(paths: list[list[tuple[str, str]]]) -> pa.Array:
     return pa.array([[{"left": a, "right": b} for a, b in x] for x in paths], _PAIRS)
 
 
-def _nodes_down(nodes: pa.Table, above: pa.Table) -> pa.Table:
-    nodes, paths, subroot, root = _paths(nodes, above)
+def _nodes_down(nodes: pa.Table, above: pa.Table, height: int) -> pa.Table:
+    nodes, paths, subroot, root = _paths(nodes, above, height)
     n = nodes.num_rows
     return pa.table({"tree": nodes.column("tree"), "position": nodes.column("position"), "path": _pairs(paths), "subroot": pa.array([subroot] * n, pa.string()), "root": [root] * n})
 
 
-def _leaves_down(nodes: pa.Table, above: pa.Table, with_paths: bool) -> pa.Table:
-    nodes, paths, subroot, root = _paths(nodes, above)
+def _leaves_down(nodes: pa.Table, above: pa.Table, height: int, with_paths: bool) -> pa.Table:
+    nodes, paths, subroot, root = _paths(nodes, above, height)
     folded = []
     for leaf, path in zip(nodes.column("altered").to_pylist(), paths, strict=True):
         for left, right in path:
@@ -139,17 +135,17 @@ def _leaves_down(nodes: pa.Table, above: pa.Table, with_paths: bool) -> pa.Table
     return pa.table(out | ({"path": _pairs(paths)} if with_paths else {}))
 
 
-def _descend(nodes: DataFrame, above: DataFrame) -> DataFrame:
-    below = nodes.select("tree", "position", "size", "digest").groupBy("tree", _block())
-    return below.cogroup(above.groupBy("tree", F.col("position").alias("block"))).applyInArrow(lambda a, b: _nodes_down(a, b), f"tree long, position long, {_PATH}")
+def _descend(nodes: DataFrame, above: DataFrame, height: int) -> DataFrame:
+    below = nodes.select("tree", "position", "size", "digest").groupBy("tree", _block(height))
+    return below.cogroup(above.groupBy("tree", F.col("position").alias("block"))).applyInArrow(lambda a, b: _nodes_down(a, b, height), f"tree long, position long, {_PATH}")
 
 
-def manifest(leaves: DataFrame, with_paths: bool = False) -> DataFrame:
+def manifest(leaves: DataFrame, with_paths: bool = False, height: int = HEIGHT) -> DataFrame:
     """Roots and proofs of ``leaves`` (doc_id, lang, leaf, altered): one row for each.
 
     Returns doc_id, leaf, subroot (of the lang's tree), root, proof_sha256 (of all siblings from the leaf to the root, level
     by level, left to right), folded_root (computed from ``altered`` and the siblings) and verified (folded_root is
-    root); ``with_paths`` adds path, a (left, right) pair of what stands beside the node for each level.
+    root); ``with_paths`` adds path, a (left, right) pair of what stands beside the node for each level.  A task traverses blocks of ``height`` levels.
 
     In a tree ARITY consecutive nodes have the digest of their digests as parent, the last ones also if they are fewer.
     Leaves go by doc_id, nulls first, equal ones by digest; repeated rows are leaves of their own.  Trees go by lang,
@@ -167,20 +163,20 @@ def manifest(leaves: DataFrame, with_paths: bool = False) -> DataFrame:
 
     inner = placed.join(groups.withColumnRenamed("lang", "group"), F.col("lang").eqNullSafe(F.col("group")))
     inner = inner.select("tree", (F.col("position") - F.col("first")).alias("position"), "size", F.col("leaf").alias("digest"), "doc_id", "altered")
-    rounds = _climb(inner, largest)
+    rounds = _climb(inner, largest, height)
     subroots = rounds[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("position"), F.lit(trees).cast("long").alias("size"), "digest")
-    tops = _climb(subroots, trees)
+    tops = _climb(subroots, trees, height)
 
     none = F.array().cast("array<struct<left:string,right:string>>")
     above = tops[-1].select("tree", "position", none.alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
     for nodes in reversed(tops[:-1]):
-        above = _descend(nodes, above)
+        above = _descend(nodes, above, height)
     own = rounds[-1].select(F.col("tree").alias("own"), "digest")
     above = above.join(own, F.col("position") == F.col("own")).select(F.col("own").alias("tree"), F.lit(0).cast("long").alias("position"), "path", F.col("digest").alias("subroot"), "root")
     for nodes in reversed(rounds[1:-1]):
-        above = _descend(nodes, above)
-    at = _block() if len(rounds) > 1 else F.col("position").alias("block")  # trees of one leaf each: the leaf is the top
-    found = inner.groupBy("tree", at).cogroup(above.groupBy("tree", F.col("position").alias("block"))).applyInArrow(lambda a, b: _leaves_down(a, b, with_paths), schema)
+        above = _descend(nodes, above, height)
+    at = _block(height) if len(rounds) > 1 else F.col("position").alias("block")  # trees of one leaf each: the leaf is the top
+    found = inner.groupBy("tree", at).cogroup(above.groupBy("tree", F.col("position").alias("block"))).applyInArrow(lambda a, b: _leaves_down(a, b, height, with_paths), schema)
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
