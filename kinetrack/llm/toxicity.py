@@ -81,12 +81,13 @@ class CharacterModel:
 
     def restore(self, seen: str) -> str:
         """The likeliest reading of a suspicious stretch, words separated by spaces."""
-        # state: the last two characters' codes; value: log probability and the text so far
-        states, log = {(0, 0): (0.0, "")}, self.log
+        # state: the last two characters' codes; value: log probability, and what was read last with a link to what was read
+        # before, so that a step costs the same however long the stretch is
+        states, log = {(0, 0): (0.0, None)}, self.log
         for c, n in _runs(seen):
             options = _coded(c, n)
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, text) in states.items():
+            nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (p, read) in states.items():
                 for out, cost, codes in options:
                     x, y, q = a, b, p + cost
                     for code in codes:
@@ -98,9 +99,20 @@ class CharacterModel:
                             x = y = 0
                     got = nxt.get((x, y))
                     if got is None or got[0] < q:
-                        nxt[x, y] = (q, text + out)
+                        nxt[x, y] = (q, (out, read))
             states = nxt
-        return max((p + self.log[a][b][0], text) for (a, b), (p, text) in states.items())[1]
+        ends = [(p + log[a][b][0], read) for (a, b), (p, read) in states.items()]
+        best = max(p for p, _ in ends)
+        return max(_text(read) for p, read in ends if p == best)
+
+
+def _text(read: tuple | None) -> str:
+    """What a chain of links reads."""
+    parts = []
+    while read is not None:
+        parts.append(read[0])
+        read = read[1]
+    return "".join(reversed(parts))
 
 
 def _runs(seen: str) -> list[tuple[str, int]]:
