@@ -39,13 +39,33 @@ from kinetrack.llm.textbytes import SLICE_BYTES, lean, slices, utf8_columns
 _BASE = 0x9E3779B97F4A7C15
 _SCRAMBLE = np.uint64(0xD6E8FEB86659FD93)
 _TABLE = np.random.default_rng(20240).integers(0, 2**64, 256, np.uint64)
+#: A second sum goes by a prime below 2^31.
+_PRIME, _BASE2 = np.uint64(2147483647), 1103515245
+_TABLE2 = np.random.default_rng(20241).integers(1, 2147483647, 256, np.uint64)
+_PLACE = np.uint64(32)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo the prime, doubling in number with each product."""
+    out, done = np.ones(n, np.uint64), 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, int(_PRIME))) % _PRIME
+        done += more
+    return out
 
 
 class Names:
-    """Names of all strings of a buffer: ``of(i, n)`` for arrays of starts and lengths."""
+    """Names of all strings of a buffer: ``of(i, n)`` for arrays of starts and lengths.
+
+    A name mixes two polynomials of the bytes: one modulo 2^64, whose names alone are equal for some pairs of strings of two
+    symbols (Thue-Morse strings of 1,024 bytes), and one modulo a prime, which tells these apart.
+    """
 
     _power = np.ones(1, np.uint64)
     _inverse = np.ones(1, np.uint64)
+    _power2 = np.ones(1, np.uint64)
+    _inverse2 = np.ones(1, np.uint64)
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)
@@ -55,15 +75,23 @@ class Names:
                 x = np.full(size, base, np.uint64)
                 x[0] = 1
                 setattr(Names, name, np.cumprod(x))
-        self.sums = np.zeros(n + 1, np.uint64)
+            Names._power2, Names._inverse2 = _powers(_BASE2, size), _powers(pow(_BASE2, -1, int(_PRIME)), size)
+        self.sums, self.sums2 = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[raw] * Names._power[:n], out=self.sums[1:])
+        np.cumsum(_TABLE2[raw] * Names._power2[:n] % _PRIME, out=self.sums2[1:])
 
     def every(self, size: int) -> np.ndarray:
         """Of every string of that length."""
-        return (self.sums[size:] - self.sums[:-size]) * Names._inverse[: len(self.sums) - size]
+        n = len(self.sums) - size
+        return self._mixed((self.sums[size:] - self.sums[:-size]) * Names._inverse[:n], (self.sums2[size:] - self.sums2[:-size]) % _PRIME * Names._inverse2[:n] % _PRIME)
 
     def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return (self.sums[start + size] - self.sums[start]) * Names._inverse[start]
+        own = (self.sums[start + size] - self.sums[start]) * Names._inverse[start]
+        return self._mixed(own, (self.sums2[start + size] - self.sums2[start]) % _PRIME * Names._inverse2[start] % _PRIME)
+
+    @staticmethod
+    def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a ^ (b * _SCRAMBLE)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -91,11 +119,10 @@ def runs_of(raw: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
         return none, none, none.astype(np.int64), none.astype(np.int64)
     names = Names(raw)
     short = names.every(half)
-    bits = np.uint64(max(1, int(len(raw)).bit_length()))
-    index = np.arange(len(short), dtype=np.uint64)
-    # of equal names in a window the leftmost counts; what is compared depends on the window's bytes alone
-    order = ((scramble(short) >> bits) << bits) | index
-    anchor = (_window_min(order, size - half + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # the upper half of a name, and the place below it (a text is shorter than 2^32): the same part of names is compared in all
+    # texts, and of equal ones the leftmost counts, so what is chosen depends on the window's bytes alone
+    order = ((scramble(short) >> _PLACE) << _PLACE) | np.arange(len(short), dtype=np.uint64)
+    anchor = (_window_min(order, size - half + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     cut = np.flatnonzero(np.diff(anchor)) + 1
     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(anchor)]])
     at = anchor[lo]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinetrack.llm import merkle, packing, periodic_runs
+from kinetrack.llm import merkle, packing, periodic_runs, suffix_dedup, toxicity
 from kinetrack.llm.queries import queries
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -226,3 +228,34 @@ def test_manifest_of_little(spark, docs):
     one = merkle.manifest(merkle.document_leaves(docs.where("doc_id = 3"))).first()
     assert one["leaf"] == one["subroot"] == one["root"] == one["folded_root"] and one["verified"]
     assert one["proof_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_names_tell_thue_morse_strings_apart():
+    """Complementary strings of two symbols have one name modulo 2^64."""
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    for n in (256, 512, 1024, 2048, 4096):
+        a, b = (np.array([65 + (x ^ flip) for x in bits[:n]], np.uint8) for flip in (0, 1))
+        first, second = (suffix_dedup.Names(x).of(np.array([0]), n)[0] for x in (a, b))
+        assert first != second and first == suffix_dedup.Names(a).every(n)[0]
+
+
+def test_repeats_in_texts_of_very_different_length(spark):
+    """The synchronised position of a repeat does not depend on the text that it stands in."""
+    rng = random.Random(2)
+    passage = "".join(rng.choices("abcdefgh ", k=430))
+    filler = lambda n: "".join(rng.choices("ijklmnopqrstuvw ", k=n))
+    texts = {0: passage, 1: filler(50) + passage, 2: filler(200_000) + passage + filler(70_000), 3: filler(3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.digest(suffix_dedup.repeated_spans(docs)).collect()}
+    assert all(430 <= got[k] < 440 for k in (0, 1, 2)) and got[3] == 0
+
+
+def test_long_tokens_are_read_in_linear_time():
+    counts = toxicity.trigram_counts(Counter({"stupid": 50, "fine": 80, "words": 70}))
+    model = toxicity.CharacterModel(counts)
+    token = "st0pid4me" * 60_000
+    began = time.perf_counter()
+    assert len(model.restore(token)) > 100_000
+    assert time.perf_counter() - began < 30
