@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinetrack.functions.geom import _c, add, bound, dir_to_local, normalize, once, point_to_local, scale, vec3
+from kinetrack.functions.geom import _c, add, bound, dir_to_local, dot, normalize, once, point_to_local, scale, sub, vec3
 
 #: A half-angle from here on counts as degenerate.
 ANGLE_LIMIT = 1.55
@@ -227,6 +227,28 @@ def reproject_to_fov(output: Column, direction: Column, depth: Column, source: C
 
 
 @once
+def predict_background_pixel(output: Column, fov: Column, width: Column, height: Column, camera: Column, world: Column, depth: Column | float) -> Column:
+    """struct (px, py): where an output pane shows a point that a camera sees, the picture being held at ``depth`` about the output's eye; null where it does not.
+
+    This goes the other way than compositing does: from the camera along its ray to the sphere, and from there into the pane.
+    """
+    ray = normalize(sub(world, camera["pos"]))
+    offset = sub(camera["pos"], output["pos"])
+
+    def meet(s: Column) -> Column:
+        along = dot(s["offset"], s["ray"])
+        root = along * along - dot(s["offset"], s["offset"]) + depth * depth
+        travel = F.when(root >= 0, -along + F.sqrt(root))
+        return F.when(travel > 0, add(camera["pos"], scale(s["ray"], travel)))
+
+    return bound(bound(F.struct(offset.alias("offset"), ray.alias("ray")), meet), lambda p: F.when(p.isNotNull(), fov_project(fov, point_to_local(output, p), width, height)))
+
+
+def predict_overlay_pixel(output: Column, fov: Column, width: Column, height: Column, eye: Column, world: Column) -> Column:
+    """struct (px, py): where an output pane shows a point drawn in an overlay that was recorded from ``eye``, by direction alone."""
+    return fov_project(fov, dir_to_local(output, sub(world, eye["pos"])), width, height)
+
+
 def srgb_to_linear(v: Column) -> Column:
     return F.when(v <= 0, 0.0).when(v >= 1, 1.0).when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
 

@@ -7,10 +7,12 @@ falls before 0 is cut) and scales it; a mix is the sum of placed tracks, as long
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrack.operators.temporal import llround
@@ -37,6 +39,126 @@ def mixed(tracks: DataFrame, ceiling: float | None = None) -> DataFrame:
     return tracks.groupBy("i").agg(total.alias("v"))
 
 
+def _phases(up: int, down: int, half: int) -> tuple[np.ndarray, int]:
+    """Taps of each of ``up`` phases (windowed sinc, summing to 1), and how many samples they reach to each side."""
+    cut = min(1.0, up / down)
+    reach = math.ceil(half / cut)
+    offsets = np.arange(-reach + 1, reach + 1)
+    x = np.arange(up)[:, None] / up - offsets[None, :]  # from a tap's sample to the output's place
+    taps = np.sinc(x * cut) * np.where(np.abs(x) < reach, np.cos(np.pi * np.clip(x / reach, -1, 1) / 2) ** 2, 0.0)
+    return taps / taps.sum(axis=1, keepdims=True), reach
+
+
+def resampled(samples: DataFrame, rate: int, to: int, by: list[str] | None = None, half: int = 32, block: int = 1 << 16) -> DataFrame:
+    """Samples (by, i, v) at ``rate`` a second as samples at ``to`` a second, by a polyphase windowed sinc of ``half`` zero crossings to each side.
+
+    With to / rate = up / down in lowest terms, output sample j lies at input place j * down / up: its phase and first
+    sample are whole numbers, so no place drifts in long tracks.  Output is made in blocks; an input sample goes to every
+    block that its taps reach (two at a seam), and the result does not depend on the block.  Missing samples are 0, and
+    blocks that none reaches give none; a track whose last sample is n - 1 ends before ceil(n * up / down).
+    """
+    by = by or []
+    common = math.gcd(rate, to)
+    up, down = to // common, rate // common
+    taps, reach = _phases(up, down, half)
+    i = F.col("i").cast("long")
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    length = samples.groupBy(*by).agg(div((F.max(i) + 1) * up + (down - 1), down).alias("_length"))
+    lo, hi = (div(div(F.greatest(F.lit(0).cast("long"), i + k) * up, down), block) for k in (-reach, reach + 1))
+    spread = samples.select(*by, i.alias("i"), F.col("v").cast("double").alias("v"), F.explode(F.sequence(lo, hi)).alias("_block"))
+    keys = [*by, "_block"]
+    kinds = {f.name: f.dataType.simpleString() for f in spread.schema}
+
+    def run(rows: pa.Table, ends: pa.Table) -> pa.Table:
+        number = rows.column("_block")[0].as_py() if rows.num_rows else 0
+        total = ends.column("_length")[0].as_py() if ends.num_rows else 0
+        j = np.arange(number * block, min((number + 1) * block, total))
+        base = j * down // up
+        start = (int(base[0]) if len(j) else 0) - reach + 1
+        dense = np.zeros((int(base[-1]) if len(j) else 0) + reach + 1 - start)
+        place, v = rows.column("i").to_numpy() - start, rows.column("v").to_numpy(zero_copy_only=False)
+        inside = (place >= 0) & (place < len(dense))
+        dense[place[inside]] = np.nan_to_num(v[inside])
+        out = np.empty(len(j))
+        for at in range(0, len(j), 4096):  # bounded: taps of some outputs at a time
+            some = slice(at, at + 4096)
+            windows = np.lib.stride_tricks.sliding_window_view(dense, 2 * reach)[base[some] - start - reach + 1]
+            out[some] = (windows * taps[j[some] * down % up]).sum(axis=1)
+        return pa.table({**{k: pa.array([rows.column(k)[0].as_py()] * len(j), rows.schema.field(k).type) for k in by}, "i": j, "v": out})
+
+    names = ", ".join(f"{k} {kinds[k]}" for k in by)
+    own = length.join(spread.select(*keys).distinct(), by) if by else length.crossJoin(spread.select("_block").distinct())
+    own = own.select(*[F.col(k).alias(k) for k in keys], "_length")
+    return spread.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(run, f"{names}{', ' if names else ''}i long, v double")
+
+
+def _attack(v: np.ndarray, n: int, look: int, ceiling: float) -> np.ndarray:
+    """How far the gain of each of ``n`` samples must be down: for peaks up to ``look`` ahead, rising evenly towards them."""
+    size = np.abs(v)
+    need = np.where(size > ceiling, 1 - ceiling / np.maximum(size, ceiling), 0.0)
+    out = need[:n].copy()
+    if need.any():
+        for ahead in range(1, look + 1):
+            np.maximum(out, need[ahead : ahead + n] * (1 - ahead / (look + 1)), out=out)
+    return out
+
+
+#: A reduction below this counts as none.
+_NONE = 1e-5
+
+
+def limited(samples: DataFrame, ceiling: float, by: list[str] | None = None, look: int = 240, release: int = 2400, block: int = 1 << 16) -> DataFrame:
+    """Samples (by, i, v) of which none is over ``ceiling``: gain goes down evenly over the ``look`` samples before a peak, and back with a time
+    constant of ``release`` samples.
+
+    The reduction is e[i] = max(attack[i], e[i-1] * d) with d = exp(-1 / release), and none where it is under 1e-5, so samples far
+    from peaks stay as they are.  A block of samples is first reduced to its last e; what enters a block is a running
+    maximum of these, each faded by its distance; then blocks are done apart.  Missing samples are 0.
+    """
+    if not 0 < look < block:
+        raise ValueError("look lies between 0 and the block")
+    by = by or []
+    keys, fade = [*by, "_block"], -1.0 / release
+    i = F.col("i").cast("long")
+    own = F.floor(i / block)
+    rows = samples.select(*by, i.alias("i"), F.col("v").cast("double").alias("v"), own.alias("_own"))
+    # a block also sees the beginning of the next one
+    spread = rows.withColumn("_block", F.explode(F.when((F.col("i") % block < look) & (F.col("_own") > 0), F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own"))))
+    kinds = {f.name: f.dataType.simpleString() for f in spread.schema}
+
+    def reduction(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+        """First sample, the block's samples and their reduction in log, without what enters the block."""
+        start = table.column("_block")[0].as_py() * block
+        dense = np.zeros(block + look)
+        dense[table.column("i").to_numpy() - start] = np.nan_to_num(table.column("v").to_numpy(zero_copy_only=False))
+        with np.errstate(divide="ignore"):
+            e = np.log(_attack(dense, block, look, ceiling))
+        at = np.arange(block)
+        return start, dense[:block], np.maximum.accumulate(e - at * fade) + at * fade
+
+    def last(table: pa.Table) -> pa.Table:
+        _, _, e = reduction(table)
+        return pa.table({**{k: table.column(k)[:1] for k in keys}, "_last": pa.array([None if np.isinf(e[-1]) else float(e[-1])], pa.float64())})
+
+    def done(table: pa.Table, entry: pa.Table) -> pa.Table:
+        start, v, e = reduction(table)
+        enters = entry.column("_enters")[0].as_py() if entry.num_rows else None
+        if enters is not None:
+            e = np.maximum(e, enters + (np.arange(block) + 1) * fade)
+        gain = np.exp(e)
+        here = table.filter(pc.equal(table.column("_own"), table.column("_block"))).sort_by("i")
+        at = here.column("i").to_numpy() - start
+        out = np.where(gain < _NONE, 1.0, 1.0 - gain)[at] * v[at]
+        return pa.table({**{k: here.column(k) for k in by}, "i": here.column("i"), "v": out})
+
+    names = "".join(f"{k} {kinds[k]}, " for k in by)
+    ends = spread.groupBy(*keys).applyInArrow(last, f"{names}_block long, _last double")
+    # ln e fades by ``fade`` a sample: take the distance out, run the maximum, put it in again
+    level = F.max(F.col("_last") - F.col("_block") * float(block) * fade).over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    entries = ends.select(*[F.col(k).alias(k) for k in keys], (level + (F.col("_block") - 1) * float(block) * fade).alias("_enters"))
+    return spread.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(done, f"{names}i long, v double")
+
+
 def tone_with_clicks(spark: SparkSession, seconds: float, hz: float = 440.0, level: float = 0.1, every: float = 1.0, click: float = 0.9, rate: int = RATE) -> DataFrame:
     """A tone and a click of 4 samples in each period."""
     period = int(round(every * rate))

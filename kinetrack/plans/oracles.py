@@ -356,3 +356,30 @@ ORACLES["frustum_functions"] = (
     f"{r6('degrees(2 * atan(320.0::DOUBLE / fx0))', 'hfov')}, {r6('sqrt(ln(2.0::DOUBLE) / 2) / (pi() * (1 + event_id % 300)::DOUBLE * 1e-3)', 'cutoff')} FROM x"
 )
 ORACLES["line_scan"] = "SELECT event_id // 4096 AS part, row_number() OVER (PARTITION BY event_id // 4096 ORDER BY event_id) AS line, regexp_replace(props, chr(10), ' ', 'g') AS text FROM events"
+ORACLES["predicted_pixels"] = (
+    # turned by half angles of e % 13 and e % 11 sixtieths; a turn about y by t takes (x, z) to (x cos t + z sin t, z cos t - x sin t)
+    f"WITH {EV}, a AS (SELECT event_id, (event_id % 13)::DOUBLE / 30 AS t, 0.03::DOUBLE AS ox, (event_id % 5)::DOUBLE / 20 AS oz, value / 1000 AS cx, (event_id % 41)::DOUBLE / 10 - 2 AS x, (event_id % 37)::DOUBLE / 10 AS y, -3.0::DOUBLE AS z FROM ev), "
+    "d AS (SELECT *, x - cx AS dx, y - 1.6 AS dy, z - oz AS dz FROM a), n AS (SELECT *, sqrt(dx*dx + dy*dy + dz*dz) AS n, cx - ox AS fx FROM d), "
+    "s AS (SELECT *, fx * dx / n AS al FROM n), r AS (SELECT *, al*al - fx*fx + 4 AS root FROM s), w AS (SELECT *, CASE WHEN root >= 0 AND -al + sqrt(root) > 0 THEN -al + sqrt(root) END AS tr FROM r), "
+    "p AS (SELECT *, fx + dx / n * tr AS bx, dy / n * tr AS b_y, dz / n * tr AS bz FROM w), "
+    "l AS (SELECT *, bx * cos(t) - bz * sin(t) AS ux, b_y AS uy, bx * sin(t) + bz * cos(t) AS uz, dx * cos(t) - dz * sin(t) AS vx, dy AS vy, dx * sin(t) + dz * cos(t) AS vz FROM p) "
+    + "SELECT event_id, "
+    + ", ".join(
+        r6(f"CASE WHEN {k}z < 0 THEN ({k}{c} / -{k}z - tan({a}::DOUBLE)) / (tan({b}::DOUBLE) - tan({a}::DOUBLE)) * {size} - 0.5 END", f"{name}_{c}")
+        for k, name in (("u", "back"), ("v", "front")) for c, a, b, size in (("x", -0.7, 0.75, 640), ("y", 0.6, -0.65, 480))
+    )
+    + " FROM l"
+)
+_SAMPLES = f"{EV}, s AS (SELECT event_id % 2 AS track, event_id // 2 AS i, value / 100 AS v FROM ev)"
+ORACLES["audio_resampled"] = (
+    f"WITH {_SAMPLES}, n AS (SELECT track, ((max(i) + 1) * 160 + 146) // 147 AS n FROM s GROUP BY track), j AS (SELECT track, unnest(range(0, n)) AS j FROM n), "
+    "o AS (SELECT track, j, j * 147 // 160 AS b, unnest(range(-31, 33)) AS k FROM j), x AS (SELECT track, j, b + k AS i, (j * 147 % 160)::DOUBLE / 160 - k AS x FROM o), "
+    "h AS (SELECT track, j, i, CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE sin(pi() * x) / (pi() * x) END * CASE WHEN abs(x) < 32 THEN pow(cos(pi() * x / 64), 2) ELSE 0 END AS h FROM x) "
+    f"SELECT h.track, j AS i, {r6('sum(coalesce(v, 0) * h) / sum(h)', 'v')} FROM h LEFT JOIN s ON s.track = h.track AND s.i = h.i GROUP BY h.track, j"
+)
+ORACLES["audio_limited"] = (
+    f"WITH {_SAMPLES}, q AS (SELECT track, i, v, CASE WHEN abs(v) > 0.98 THEN 1 - 0.98::DOUBLE / abs(v) ELSE 0 END AS q FROM s), "
+    "a AS (SELECT g.track, g.i, max(q.q * (1 - (q.i - g.i)::DOUBLE / 21)) AS a FROM (SELECT track, i - o AS i FROM (SELECT track, i, unnest(range(0, 21)) AS o FROM q) WHERE i >= o GROUP BY track, i - o) g JOIN q ON q.track = g.track AND q.i BETWEEN g.i AND g.i + 20 GROUP BY g.track, g.i), "
+    "e AS (SELECT b.track, b.i, max(a.a * exp(-(b.i - a.i)::DOUBLE / 25)) AS e FROM q b JOIN a ON a.track = b.track AND a.i <= b.i AND b.i - a.i <= 400 GROUP BY b.track, b.i) "
+    f"SELECT q.track, q.i, {r6('v * CASE WHEN e < 1e-5 THEN 1 ELSE 1 - e END', 'v')} FROM q JOIN e ON e.track = q.track AND e.i = q.i"
+)

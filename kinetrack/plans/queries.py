@@ -421,6 +421,33 @@ def covered_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("s_suppkey", *[r6(F.col(f"covered.{k}"), k) for k in "lrud"])
 
 
+def predicted_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a pane shows a point: seen by a camera and held two metres away, and drawn in an overlay."""
+    e = F.col("event_id")
+    turned = lambda k, x: g.pose(g.vec3(x, 1.6, (e % 5).cast("double") / 20), g.quat(0, F.sin((e % k).cast("double") / 60), 0, F.cos((e % k).cast("double") / 60)))
+    rows = track(spark, sf_dir).select("event_id", turned(13, F.lit(0.03)).alias("out"), turned(11, F.col("value") / 1000).alias("src"), g.vec3((e % 41).cast("double") / 10 - 2, (e % 37).cast("double") / 10, -3).alias("p"))
+    f, size = o.fov(*[F.lit(x) for x in (-0.7, 0.75, 0.6, -0.65)]), (F.lit(640), F.lit(480))
+    rows = rows.withColumn("b", o.predict_background_pixel(F.col("out"), f, *size, F.col("src"), F.col("p"), 2.0)).withColumn("f", o.predict_overlay_pixel(F.col("out"), f, *size, F.col("src"), F.col("p")))
+    return rows.select("event_id", r6(F.col("b.px"), "back_x"), r6(F.col("b.py"), "back_y"), r6(F.col("f.px"), "front_x"), r6(F.col("f.py"), "front_y"))
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tracks of events' values."""
+    e = F.col("event_id")
+    return track(spark, sf_dir).select((e % 2).alias("track"), F.call_function("div", e, F.lit(2)).alias("i"), (F.col("value") / 100).alias("v"))
+
+
+def audio_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """44,100 samples a second as 48,000."""
+    found = audio.resampled(_samples(spark, sf_dir), 44_100, 48_000, ["track"])
+    return found.select("track", "i", r6(F.col("v"), "v"))
+
+
+def audio_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.limited(_samples(spark, sf_dir), 0.98, ["track"], look=20, release=25)
+    return found.select("track", "i", r6(F.col("v"), "v"))
+
+
 def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files of events' properties, read back as numbered lines: file, line and text."""
     rows = load(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 4096).alias("part"), F.regexp_replace("props", "\n", " ").alias("text"))
@@ -435,7 +462,7 @@ NAMES = (
     "gaussian_smooth_value gaussian_smooth_pose upper_median_interval fov_edge_median frustum_union monotonicity_violations diagnostic_caps json_typed_extract "
     "span_overlap fk_anti quat_compose_rotate pose_compose_inverse swing_twist raw_extrinsic pinhole_project pinhole_unproject fov_project_roundtrip reproject_depth "
     "srgb_roundtrip over_linear checker_background audio_mix segment_ranges camera_clock_phase spectral_bin roughness visibility_histogram source_changes seek_points "
-    "decimation_ticks click_runs camera_keys pixel_blocks covered_fov quat_functions frustum_functions line_scan"
+    "decimation_ticks click_runs camera_keys pixel_blocks covered_fov quat_functions frustum_functions line_scan predicted_pixels audio_resampled audio_limited"
 ).split()
 
 
