@@ -1,4 +1,4 @@
-"""Command line: ``python -m kinetrack.cli validate|plan|report|synth``."""
+"""Command line: ``python -m kinetrack.cli validate|plan|report|render``."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ import argparse
 import logging
 import re
 import sys
+import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetrack.operators import raster
 from kinetrack.operators.diagnostics import printable
+from kinetrack.plans import compose
 from kinetrack.plans.render_plan import RenderOptions, make_plan, report_frames, report_json
 from kinetrack.plans.validate import validate
-from kinetrack.sources.synth import SynthOptions, write
+from kinetrack.sources.media import write_frames
 from kinetrack.sources.take import Take
 
 
@@ -36,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--media", help="Parquet table of media facts")
     p.add_argument("--strict", action="store_true", help="warnings count as errors")
     p.add_argument("--json", action="store_true")
-    for name, more in (("plan", "one row for each take"), ("report", "one row for each output frame")):
+    for name, more in (("plan", "one row for each take"), ("report", "one row for each output frame"), ("render", "output frames as PNG files, their report and a summary")):
         p = sub.add_parser(name, help=more)
         p.add_argument("take")
         p.add_argument("--out", required=True, help="folder for the result")
@@ -53,24 +56,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--bg-align", default="recorded", choices=("recorded", "auto"))
         p.add_argument("--fg-depth", type=float, default=float("inf"))
         p.add_argument("--limit", type=int, default=0)
-    p = sub.add_parser("synth", help="write a synthetic take")
-    p.add_argument("out")
-    p.add_argument("--frames", type=int, default=60)
-    p.add_argument("--hz", type=float, default=90.0)
-    p.add_argument("--overlay-hz", type=float, default=45.0)
-    p.add_argument("--camera-hz", type=float, default=30.0)
-    p.add_argument("--no-cameras", action="store_true")
-    p.add_argument("--no-audio", action="store_true")
-    p.add_argument("--no-mic", action="store_true")
-    p.add_argument("--no-distortion", action="store_true")
-    p.add_argument("--clock-offset-ms", type=float, default=250.0)
-    p.add_argument("--clock-drift-ppm", type=float, default=20.0)
-    p.add_argument("--camera-drop-every", type=int, default=0)
-    p.add_argument("--head-speed", type=float, default=1.0)
-    p.add_argument("--focal-scale", type=float, default=1.0)
-    p.add_argument("--active-array-pad", type=int, default=0)
-    p.add_argument("--legacy-mirrored", action="store_true")
-    p.add_argument("--alpha", default="premultiplied", choices=("premultiplied", "straight"))
+        if name == "render":
+            p.add_argument("--rasters", required=True, help="Parquet table of the sources' frames")
+            p.add_argument("--jobs", type=int, default=1, help="segments that a take is cut into")
     return top
 
 
@@ -78,38 +66,55 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     logging.basicConfig(stream=sys.stderr, level=logging.DEBUG if a.verbose else logging.ERROR if a.quiet else logging.INFO)
     spark = SparkSession.builder.appName("kinetrack").getOrCreate()
-    if a.command == "synth":
-        options = SynthOptions(
-            frames=a.frames, hz=a.hz, overlay_hz=a.overlay_hz, camera_hz=a.camera_hz, cameras=not a.no_cameras, audio=not a.no_audio, mic=not a.no_mic, no_distortion=a.no_distortion,
-            clock_offset_ms=a.clock_offset_ms, clock_drift_ppm=a.clock_drift_ppm, camera_drop_every=a.camera_drop_every, head_speed=a.head_speed, focal_scale=a.focal_scale,
-            active_array_pad=a.active_array_pad, legacy_mirrored=a.legacy_mirrored, alpha=a.alpha,
-        )
-        write(spark, a.out, options).write.mode("overwrite").parquet(f"{a.out}/synth/media.parquet")
-        return 0
     media = spark.read.parquet(a.media) if a.media else None
     if a.command == "validate":
-        rows = validate(spark, a.take, media, a.strict).orderBy("take_id").collect()
-        if a.json:
-            print("\n".join(r["report"] for r in rows))
-        else:
-            found = Take.load(spark, a.take, media).diagnostics
-            for r in rows:
-                print(r["summary"] or f"take `{r['take_id']}` could not be opened")
-            for r in printable(found, ["take_id"], "line").collect():
-                print(f"{r['severity']}: {r['location']}: {r['text']}" if r["location"] else f"  {r['text']}")
-        return max((r["exit_code"] for r in rows), default=2)
+        take = Take.load(spark, a.take, media)
+        try:
+            return _validate(take, a.strict, a.json)
+        finally:
+            take.release()
     options = RenderOptions(
         eye=a.eye, width=a.size[0], height=a.size[1], fps=a.fps, clock=a.clock, framing=a.framing, sigma_ms=a.sigma_ms, frustum=a.frustum, background=a.background,
-        background_depth=a.bg_depth, align=a.bg_align, overlay_depth=a.fg_depth, limit=a.limit,
+        background_depth=a.bg_depth, align=a.bg_align, overlay_depth=a.fg_depth, limit=a.limit, jobs=getattr(a, "jobs", 1),
     )
     take = Take.load(spark, a.take, media)
-    plan = make_plan(take, options).where(F.col("renderable"))
-    result = plan if a.command == "plan" else report_json(report_frames(take, plan, options))
-    if a.explain:
-        result.explain("formatted")
-    result.write.mode("overwrite").json(a.out)
+    try:
+        if a.command == "render":
+            _render(take, spark.read.parquet(a.rasters), options, a.out)
+            return 0
+        plan = make_plan(take, options).where(F.col("renderable"))
+        result = plan if a.command == "plan" else report_json(report_frames(take, plan, options))
+        if a.explain:
+            result.explain("formatted")
+        result.write.mode("overwrite").json(a.out)
+    finally:
+        take.release()
     return 0
 
 
+def _validate(take: Take, strict: bool, as_json: bool) -> int:
+    rows = validate(take, strict).orderBy("take_id").toLocalIterator()
+    code = None
+    for r in rows:
+        code = max(code or 0, r["exit_code"])
+        print(r["report"] if as_json else r["summary"] or f"take `{r['take_id']}` could not be opened")
+    if not as_json:
+        for r in printable(take.diagnostics, ["take_id"], "line").toLocalIterator():
+            print(f"{r['severity']}: {r['location']}: {r['text']}" if r["location"] else f"  {r['text']}")
+    return 2 if code is None else code
+
+
+def _render(take: Take, rasters: DataFrame, options: RenderOptions, out: str) -> None:
+    """Frames below ``out``/frames, the report and a summary for each take; logs how fast it went."""
+    began = time.perf_counter()
+    done = compose.render(take, rasters, options)
+    panes = take.settle(done.panes)
+    write_frames(raster.side_by_side(panes), f"{out.rstrip('/')}/frames").write.mode("overwrite").parquet(f"{out}/files")
+    report_json(done.report).write.mode("overwrite").json(f"{out}/report")
+    summary = compose.throughput(compose.joined(compose.folded(panes)), time.perf_counter() - began)
+    summary.write.mode("overwrite").json(f"{out}/summary")
+    logging.getLogger("kinetrack").info("took %.2f s", time.perf_counter() - began)
+
+
 if __name__ == "__main__":
     sys.exit(main())

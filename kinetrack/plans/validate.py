@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrack.operators import diagnostics
@@ -39,12 +39,11 @@ def described(take: Take) -> DataFrame:
     return rows.select("take_id", F.array_join(lines, "\n").alias("summary"))
 
 
-def validate(spark: SparkSession, root: str, media: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """take_id, errors, warnings, notes, exit_code, report (JSON), summary."""
-    take = Take.load(spark, root, media)
-    takes = spark.createDataFrame([], "take_id string").unionByName(take.manifest.select("take_id")).unionByName(take.diagnostics.select("take_id")).distinct()
-    counted = diagnostics.counts(take.diagnostics, ["take_id"])
-    rows = takes.join(counted, "take_id", "left").fillna(0, ["errors", "warnings", "notes"])
-    rows = rows.join(diagnostics.report(take.diagnostics, takes), "take_id").join(described(take), "take_id", "left")
+def validate(take: Take, strict: bool = False) -> DataFrame:
+    """take_id, errors, warnings, notes, exit_code, report (JSON, the summary in it), summary."""
+    found, summaries = take.diagnostics, take.settle(described(take))
+    takes = take.manifest.select("take_id").unionByName(found.select("take_id")).distinct()
+    rows = takes.join(diagnostics.counts(found, ["take_id"]), "take_id", "left").fillna(0, ["errors", "warnings", "notes"])
+    rows = rows.join(diagnostics.report(found, takes, summaries), "take_id").join(summaries, "take_id", "left")
     opened = F.col("summary").isNotNull()
     return rows.select("take_id", "errors", "warnings", "notes", diagnostics.exit_code(F.col("errors"), F.col("warnings"), strict, opened).alias("exit_code"), "report", "summary")
