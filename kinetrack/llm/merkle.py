@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrack.llm.storage import written
+from kinetrack.llm.textbytes import lean
 
 #: Children of a node, and levels of a block that one task traverses.
 ARITY, HEIGHT = 8, 4
@@ -82,6 +83,7 @@ def _block(height: int) -> Column:
 
 
 def _block_root(nodes: pa.Table, height: int) -> pa.Table:
+    lean()
     nodes = nodes.sort_by("position")
     tree, at, size = (nodes.column(c)[0].as_py() for c in ("tree", "position", "size"))
     root = traverse(nodes.column("digest").to_pylist(), min(height, depth(size)))
@@ -100,6 +102,7 @@ def _climb(nodes: DataFrame, size: int, height: int) -> list[DataFrame]:
 
 
 def _paths(nodes: pa.Table, above: pa.Table, height: int) -> tuple[pa.Table, list[list[tuple[str, str]]], str, str]:
+    lean()
     nodes = nodes.sort_by("position")
     found: list[list[tuple[str, str]]] = [[] for _ in range(nodes.num_rows)]
     traverse(nodes.column("digest").to_pylist(), min(height, depth(nodes.column("size")[0].as_py())), found)
