@@ -3,8 +3,8 @@
 Every window of ``window`` consecutive words of a benchmark item (an item of fewer words is one
 window) is a pattern of one automaton over normalised text.  Each document is normalised and
 scanned once; matches are mapped to words, and for hit documents to character spans of the
-original text.  A benchmark too large for one automaton is cut by a hash of its items into blocks,
-and documents pass through one block after the other, their hits being united.
+original text.  A benchmark too large for one automaton is cut by a hash of its items into blocks of
+an automaton each; what each hits is united by document.
 
 Edge cases: null texts have no words; an item without words has no window; equal windows of
 several items count for each of them; a null item_id marks words but is not listed; documents without
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrack.llm.storage import written
 from kinetrack.llm.textbytes import lean
 
 #: Fixed value: a word is a run of these characters, after lower-casing A-Z.
@@ -101,47 +101,103 @@ def scan(text: str | None, automaton: ahocorasick.Automaton | None, before: Runs
 _built: dict[str, ahocorasick.Automaton | None] = {}
 
 
-def _pass(docs: DataFrame, items: DataFrame, window: int, known: bool) -> DataFrame:
-    """``docs`` scanned for one block of items; ``known``: they have a ``contamination`` to add to."""
-    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.select("item_id", "text").collect()])
-    block = uuid.uuid4().hex
-    own = [f for f in docs.schema.fields if f.name != "contamination"]
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", span), ("runs", span)])
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", _SPAN), ("runs", _SPAN)])
+
+
+def _ends(runs: Runs) -> list[dict[str, int]]:
+    return [{"start": a, "end": b} for a, b in runs]
+
+
+def _built_once(block: str, items: list[tuple[int, str | None]], window: int) -> ahocorasick.Automaton | None:
+    if block not in _built:
+        _built.clear()
+        _built[block] = automaton_of(windows_of(items, window))
+    return _built[block]
+
+
+def _pass(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """``docs`` with the ``contamination`` by the windows of all items."""
+    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+    block, own = uuid.uuid4().hex, docs.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        if block not in _built:
-            _built.clear()
-            _built[block] = automaton_of(windows_of(shared.value, window))
-        automaton, ends = _built[block], lambda x: [{"start": a, "end": b} for a, b in x]
+        automaton = _built_once(block, shared.value, window)
         for batch in batches:
             rows = []
-            before = batch.column("contamination").to_pylist() if known else [None] * batch.num_rows
-            for t, old in zip(batch.column("text"), before, strict=True):
-                n, hit, found, spans, runs = scan(t.as_py(), automaton, [(r["start"], r["end"]) for r in old["runs"]] if old else None)
-                ids = sorted({*map(str, found), *(old["item_ids"] if old else [])})
-                rows.append({"n_words": n, "n_hit": hit, "item_ids": ids, "spans": ends(spans), "runs": ends(runs)})
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array(rows, kind)], [*(f.name for f in own), "contamination"])
+            for t in batch.column("text"):
+                n, hit, found, spans, runs = scan(t.as_py(), automaton)
+                rows.append({"n_words": n, "n_hit": hit, "item_ids": sorted(set(map(str, found))), "spans": _ends(spans), "runs": _ends(runs)})
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array(rows, _KIND)], [*(f.name for f in own), "contamination"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     return docs.mapInArrow(run, f"{shape}, contamination {FOUND}")
 
 
+_HITS = f"a long, b long, block int, runs {SPANS}, item_ids array<string>"
+
+
+def _hits(texts: DataFrame, items: DataFrame, window: int, number: int) -> DataFrame:
+    """Of ``texts`` (a, b: a hash of the text; text) those with a window of one block of items: hit words and items."""
+    shared = texts.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+    block = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        automaton = _built_once(block, shared.value, window)
+        for batch in batches:
+            at, found = [], []
+            for k, t in enumerate(batch.column("text")):
+                _, hit, items, _, runs = scan(t.as_py(), automaton)
+                if hit:
+                    at.append(k)
+                    found.append((_ends(runs), sorted(set(map(str, items)))))
+            some = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").take(some), batch.column("b").take(some), pa.array([number] * len(at), pa.int32()), pa.array([x for x, _ in found], _SPAN), pa.array([x for _, x in found], pa.list_(pa.string()))],
+                ["a", "b", "block", "runs", "item_ids"],
+            )
+
+    return texts.mapInArrow(run, _HITS)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``row`` and the contamination by the runs and items of all blocks."""
+    lean()
+    for batch in batches:
+        out = []
+        for t, runs, items in zip(pc.struct_field(batch.column("row"), "text"), batch.column("runs").to_pylist(), batch.column("item_ids").to_pylist(), strict=True):
+            n, hit, _, spans, whole = scan(t.as_py(), None, [(r["start"], r["end"]) for r in runs or []])
+            out.append({"n_words": n, "n_hit": hit, "item_ids": sorted(set(items or [])), "spans": _ends(spans), "runs": _ends(whole)})
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, _KIND)], ["row", "contamination"])
+
+
 def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct ``contamination``: n_words, n_hit, item_ids (as strings, sorted), spans (characters of the original), runs.
 
-    A block of items is broadcast as texts of about ``block_bytes``; of more than one, each pass is written.
+    Up to ``block_bytes`` of items are one automaton, and documents pass once.  More items are cut into blocks by their hash;
+    each block reads the texts and gives only the hit words and items of those that it hits, by a hash of 128 bits of the
+    text, and these few rows meet the documents at the end.  Texts are neither written nor shuffled for a block.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.select("item_id", "text").dropDuplicates()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     docs = docs.drop("contamination")
+    if blocks == 1:
+        return _pass(docs, items, window)
+    a, b = F.xxhash64("text"), F.xxhash64(F.lit("b"), "text")
+    texts, hits = docs.select(a.alias("a"), b.alias("b"), "text"), None
     for k in range(blocks):
-        some = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        docs = _pass(docs, some, window, k > 0)
-        if k + 1 < blocks:
-            docs = written(docs, "contamination")
-    return docs
+        one = _hits(texts, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), window, k)
+        hits = one if hits is None else hits.unionByName(one)
+    # copies of a text have the same hits: one of each block stays
+    hits = hits.groupBy("a", "b", "block").agg(F.first("runs").alias("runs"), F.first("item_ids").alias("item_ids"))
+    hits = hits.groupBy("a", "b").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), a.alias("_a"), b.alias("_b"))
+    rows = rows.join(hits, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").select("row", "runs", "item_ids")
+    found = rows.mapInArrow(_united, f"row {rows.schema['row'].dataType.simpleString()}, contamination {FOUND}")
+    return found.select("row.*", "contamination")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
