@@ -20,7 +20,7 @@ from kinetrack.operators import audio, diagnostics, raster, smooth, temporal
 from kinetrack.plans import frusta
 from kinetrack.plans.render_plan import median_interval
 from kinetrack.sources.lines import numbered_lines
-from kinetrack.sources.tables import shared_folder
+from kinetrack.sources.tables import shared_folder, spread
 
 DAY = 86_400 * temporal.NS
 T0 = 1_704_067_200 * temporal.NS
@@ -416,7 +416,7 @@ def covered_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest frustum inside a camera's image, seen over an assumed depth from a moved eye; a camera for each supplier."""
     e = F.col("s_suppkey") % 8
     lens = F.struct(F.lit(300.0).alias("fx"), F.lit(310.0).alias("fy"), F.lit(322.0).alias("cx"), F.lit(241.0).alias("cy"))
-    cameras = load(spark, sf_dir, "supplier").select("s_suppkey", lens.alias("lens"), g.pose(g.vec3(0.02 + e / 200, 0.0, -0.06), g.from_yaw_pitch_roll(e / 40, F.lit(-0.05), F.lit(0.01))).alias("extrinsic"), F.lit(640).alias("width"), F.lit(480).alias("height"), g.vec3(0.03, 0, 0).alias("eye"))
+    cameras = spread(load(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", lens.alias("lens"), g.pose(g.vec3(0.02 + e / 200, 0.0, -0.06), g.from_yaw_pitch_roll(e / 40, F.lit(-0.05), F.lit(0.01))).alias("extrinsic"), F.lit(640).alias("width"), F.lit(480).alias("height"), g.vec3(0.03, 0, 0).alias("eye"))
     found = frusta.camera_covered(cameras, ["s_suppkey"], depth=1.5)
     return found.select("s_suppkey", *[r6(F.col(f"covered.{k}"), k) for k in "lrud"])
 
