@@ -50,7 +50,7 @@ CACHE = 1 << 18
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 _CODE = {c: i + 1 for i, c in enumerate(_ALPHABET)}
 _SIZE = len(_ALPHABET) + 2
-_OTHER = _SIZE - 1
+_OTHER, _SQUARE = _SIZE - 1, _SIZE * _SIZE
 
 
 def _codes(word: str) -> list[int]:
@@ -59,12 +59,47 @@ def _codes(word: str) -> list[int]:
 
 def trigram_counts(words: Counter) -> np.ndarray:
     """Counts of character trigrams of words between boundaries, as a flat array."""
-    out = np.zeros(_SIZE**3, np.int64)
-    for w, n in words.items():
-        x = [0, 0, *_codes(w), 0]
-        for a, b, c in zip(x, x[1:], x[2:]):
-            out[(a * _SIZE + b) * _SIZE + c] += n
-    return out
+    return sum((n * text_trigrams(w) for w, n in words.items()), np.zeros(_SIZE**3, np.int64))
+
+
+#: The code of each code point: 0 for what is no letter, 255 where it is not known yet.
+_CODES = np.full(0x110000, 255, np.uint8)
+#: Characters whose codes a task holds as arrays at once.
+SLICE = 1 << 18
+
+
+def _text_codes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    codes = _CODES[points]
+    if (codes == 255).any():
+        for x in np.unique(points[codes == 255]).tolist():
+            _CODES[x] = _CODE.get(chr(x), _OTHER) if _WORD.fullmatch(chr(x)) else 0
+        codes = _CODES[points]
+    return codes
+
+
+def text_trigrams(text: str) -> np.ndarray:
+    """The same of all words of a lower-case text."""
+    x = np.concatenate([np.zeros(2, np.int32), _text_codes(text), np.zeros(1, np.int32)])
+    a, b, c = x[:-2], x[1:-1], x[2:]
+    three = (np.where(b > 0, a, 0) * _SIZE + b) * _SIZE + c
+    return np.bincount(three[(b > 0) | (c > 0)], minlength=_SIZE**3)
+
+
+def _cut(texts: Iterator[str | None]) -> Iterator[str]:
+    """Lower-case texts in stretches of some SLICE characters, cut at spaces."""
+    held, size = [], 0
+    for text in texts:
+        text, at = (text or "").lower(), 0
+        while at < len(text):
+            end = text.find(" ", at + SLICE)
+            end = len(text) if end < 0 else end
+            held.append(text[at:end])
+            size, at = size + end - at, end
+            if size >= SLICE:
+                yield " ".join(held)
+                held, size = [], 0
+    yield " ".join(held)
 
 
 class CharacterModel:
@@ -76,32 +111,50 @@ class CharacterModel:
         p1 = (c1 + 0.5) / (c1.sum() + 0.5 * _SIZE)
         p2 = (c2 + 4 * p1) / (c2.sum(axis=1, keepdims=True) + 4)
         self.log = np.log((c3 + 4 * p2) / (c3.sum(axis=2, keepdims=True) + 4)).tolist()
+        #: The same as one list, by code of the trigram.
+        self.flat = [x for rows in self.log for row in rows for x in row]
         #: What a worker has restored so far: for each token, the words that do not stand there anyway.
         self.hidden: dict[str, tuple[str, ...]] = {}
 
     def restore(self, seen: str) -> str:
         """The likeliest reading of a suspicious stretch, words separated by spaces."""
-        # state: the last two characters' codes; value: log probability, and what was read last with a link to what was read
-        # before, so that a step costs the same however long the stretch is
-        states, log = {(0, 0): (0.0, None)}, self.log
+        # state: the last two characters' codes as one number (0 after a boundary); value: log probability, and what was read last
+        # with a link to what was read before, so that a step costs the same however long the stretch is
+        states, log = {0: (0.0, None)}, self.flat
         for c, n in _runs(seen):
             options = _coded(c, n)
-            nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for (a, b), (p, read) in states.items():
+            nxt: dict[int, tuple[float, tuple]] = {}
+            if len(options) == 1 and options[0][2][0]:  # a letter that stands for itself
+                out, _, (code,) = options[0]
+                if len(states) == 1:
+                    s, (p, read) = states.popitem()
+                    k = s * _SIZE + code
+                    states[k % _SQUARE] = (p + log[k], (out, read))
+                    continue
+                for s, (p, read) in states.items():
+                    k = s * _SIZE + code
+                    q, k = p + log[k], k % _SQUARE
+                    got = nxt.get(k)
+                    if got is None or got[0] < q:
+                        nxt[k] = (q, (out, read))
+                states = nxt
+                continue
+            for s, (p, read) in states.items():
                 for out, cost, codes in options:
-                    x, y, q = a, b, p + cost
+                    k, q = s, p + cost
                     for code in codes:
                         if code:
-                            q += log[x][y][code]
-                            x, y = y, code
-                        elif y:
-                            q += log[x][y][0]
-                            x = y = 0
-                    got = nxt.get((x, y))
+                            k = k * _SIZE + code
+                            q += log[k]
+                            k %= _SQUARE
+                        elif k:
+                            q += log[k * _SIZE]
+                            k = 0
+                    got = nxt.get(k)
                     if got is None or got[0] < q:
-                        nxt[x, y] = (q, (out, read))
+                        nxt[k] = (q, (out, read))
             states = nxt
-        ends = [(p + log[a][b][0], read) for (a, b), (p, read) in states.items()]
+        ends = [(p + log[k * _SIZE], read) for k, (p, read) in states.items()]
         best = max(p for p, _ in ends)
         return max(_text(read) for p, read in ends if p == best)
 
@@ -146,7 +199,11 @@ def _coded(c: str, n: int) -> list[tuple[str, float, list[int]]]:
 def _spelled(text: str) -> Iterator[str]:
     """Runs of three or more single characters with white space between them."""
     run: list[str] = []
-    for token in [*text.split(), ""]:
+    tokens = text.split()
+    single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+    if not (single[1:] & single[:-1]).any():
+        return
+    for token in [*tokens, ""]:
         if len(token) == 1 and (token.isalpha() or token in LOOKALIKES):
             run.append(token)
             continue
@@ -161,8 +218,8 @@ def _hidden(seen: str, model: CharacterModel, cache: dict[str, tuple[str, ...]])
     """Words of a suspicious stretch's likeliest reading that do not stand there anyway."""
     got = cache.get(seen)
     if got is None:
-        plain = Counter(_WORD.findall(seen.lower()))
-        got = tuple((Counter(_WORD.findall(model.restore(seen))) - plain).elements())
+        plain, read = _WORD.findall(seen.lower()), _WORD.findall(model.restore(seen))
+        got = () if read == plain else tuple((Counter(read) - Counter(plain)).elements())
         if len(cache) < CACHE and len(seen) < 200:
             cache[seen] = got
     return got
@@ -181,9 +238,7 @@ def words_of(text: str | None, model: CharacterModel | None, cache: dict[str, tu
             continue
         got = cache.get(token)
         if got is None:
-            if not _SUSPECT.search(token):
-                continue
-            got = _hidden(token, model, cache)
+            got = _hidden(token, model, cache) if _SUSPECT.search(token) else ()
         for w in got:
             out[w] += n
     if single > 1:
@@ -200,14 +255,9 @@ def train_characters(docs: DataFrame) -> CharacterModel:
     """Character trigrams of all training texts; their table's size is fixed by the alphabet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(_SIZE**3, np.int64), Counter()
-        for batch in batches:
-            for t in batch.column("text"):
-                held.update(_WORD.findall((t.as_py() or "").lower()))
-            if len(held) > CACHE:
-                total += trigram_counts(held)
-                held.clear()
-        total += trigram_counts(held)
+        total = np.zeros(_SIZE**3, np.int64)
+        for part in _cut(t.as_py() for batch in batches for t in batch.column("text")):
+            total += text_trigrams(part)
         i = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(total[i])], ["code", "n"])
 
@@ -257,18 +307,48 @@ def select_features(sample: DataFrame, characters: CharacterModel, most: int, su
     return [r[0] for r in counts.where(odds > 1.5).orderBy((odds / spread).desc(), "feature").limit(most).select("feature").collect()]
 
 
-def _values(text: str | None, characters: CharacterModel, known: dict[str, int], cache: dict[str, tuple[str, ...]], by_word: dict[str, list[int]]) -> dict[int, float]:
+#: In place of a feature: a token of one character.
+_SINGLE = -1
+
+
+class Features:
+    """Numbers of features, and what a worker has found of tokens so far."""
+
+    def __init__(self, names: list[str]):
+        self.known = {f: i for i, f in enumerate(names)}
+        #: A word's features all begin as the word and its end do.
+        self.starts = {f[:3] for f in names}
+        self.by_token: dict[str, tuple[int, ...]] = {}
+
+    def of(self, word: str) -> list[int]:
+        if (word + "$")[:3] not in self.starts:
+            return []
+        return [self.known[f] for f in features_of(word) if f in self.known]
+
+    def of_token(self, token: str, characters: CharacterModel) -> tuple[int, ...]:
+        """Features of the token's words and of those that it hides, each as often as it occurs."""
+        found = [i for w in _WORD.findall(token) for i in self.of(w)]
+        if len(token) == 1:
+            found.append(_SINGLE)
+        elif _SUSPECT.search(token):
+            found += [i for w in _hidden(token, characters, characters.hidden) for i in self.of(w)]
+        if len(self.by_token) < 2 * CACHE and len(token) < 200:
+            self.by_token[token] = tuple(found)
+        return tuple(found)
+
+
+def _values(text: str | None, characters: CharacterModel, features: Features) -> dict[int, float]:
     """Values of a text's features: occurrences, three at most."""
-    out: dict[int, float] = {}
-    for w, n in words_of(text, characters, cache).items():
-        ids = by_word.get(w)
-        if ids is None:
-            ids = [known[f] for f in features_of(w) if f in known]
-            if len(by_word) < 4 * CACHE:
-                by_word[w] = ids
-        for i in ids:
-            out[i] = min(3.0, out.get(i, 0.0) + n)
-    return out
+    text, out = (text or "").lower(), {}
+    tokens = Counter(text.split())
+    for (token, n), ids in zip(tokens.items(), map(features.by_token.get, tokens)):
+        for i in features.of_token(token, characters) if ids is None else ids:
+            out[i] = out.get(i, 0) + n
+    if out.pop(_SINGLE, 0) > 1:
+        for seen in _spelled(text):
+            for i in (i for w in _hidden(seen, characters, characters.hidden) for i in features.of(w)):
+                out[i] = out.get(i, 0) + 1
+    return {i: min(3.0, float(n)) for i, n in out.items()}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
@@ -297,13 +377,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: in
     chosen = select_features(rows, characters, features, support)
     if not chosen:
         return Model(characters, [], np.array([-50.0]))
-    shared = docs.sparkSession.sparkContext.broadcast((characters, {f: i for i, f in enumerate(chosen)}))
+    shared = docs.sparkSession.sparkContext.broadcast((characters, Features(chosen)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
-        cache, by_word = model.hidden, {}
         for batch in batches:
-            got = [_values(t.as_py(), model, known, cache, by_word) for t in batch.column("text")]
+            got = [_values(t.as_py(), model, known) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.float64()))], ["toxic", "i", "x"])
 
     found = rows.mapInArrow(run, "toxic int, i array<int>, x array<double>").toArrow()
@@ -315,16 +394,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: in
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, Features(model.features)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        known, cache, by_word = {f: i for i, f in enumerate(m.features)}, m.characters.hidden, {}
+        m, features = shared.value
         w, b = m.weights[:-1].tolist(), float(m.weights[-1])
         for batch in batches:
             out = []
             for t in batch.column("text"):
-                z = b + sum(w[i] * v for i, v in _values(t.as_py(), m.characters, known, cache, by_word).items())
+                z = b + sum(w[i] * v for i, v in _values(t.as_py(), m.characters, features).items())
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
