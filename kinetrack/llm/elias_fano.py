@@ -6,6 +6,8 @@ on arrays of queries.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _ONE = np.uint64(1)
@@ -37,8 +39,9 @@ def pack(values: np.ndarray, bits: int) -> np.ndarray:
         low = values & ((_ONE << np.uint64(bits)) - _ONE)
         at = np.arange(len(values), dtype=np.uint64) * np.uint64(bits)
         word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        np.bitwise_or.at(out, word, low << shift)
-        np.bitwise_or.at(out, word + 1, (low >> _ONE) >> (np.uint64(63) - shift))
+        first = np.flatnonzero(np.diff(word, prepend=-1))  # words ascend, so each one's values stand together
+        out[word[first]] = np.bitwise_or.reduceat(low << shift, first)
+        out[word[first] + 1] |= np.bitwise_or.reduceat((low >> _ONE) >> (np.uint64(63) - shift), first)
     return out
 
 
@@ -105,7 +108,11 @@ class EliasFano:
         lo, hi = self.bucket(np.minimum(target >> np.uint64(self.bits), np.uint64(1 << 62)))
         if first is not None:
             lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)
-        end, low = hi.copy(), target & ((_ONE << np.uint64(self.bits)) - _ONE)
+        return self._least(lo, hi, target & ((_ONE << np.uint64(self.bits)) - _ONE)), hi
+
+    def _least(self, lo: np.ndarray, hi: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Index of the first value in [lo, hi) whose low part is not less."""
+        lo, hi = lo.copy(), hi.copy()
         go = np.flatnonzero(lo < hi)
         while len(go):
             mid = (lo[go] + hi[go]) >> 1
@@ -113,19 +120,37 @@ class EliasFano:
             lo[go[less]] = mid[less] + 1
             hi[go[~less]] = mid[~less]
             go = go[lo[go] < hi[go]]
-        return lo, end
+        return lo
 
     def successor(self, target: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """Index of the first value that is at least ``target``, within [first, last) where these are given."""
         return self._within(target, first, last)[0]
 
-    def find(self, target: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-        """Index of ``target``, -1 where it is not there."""
+    def find(self, target: np.ndarray, within: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """Index of ``target``, -1 where it is not there.
+
+        Most buckets have one value or none, and one look settles them.  For the others ``within`` says, by indices of
+        targets, in which [first, last) theirs can be.
+        """
+        out = np.full(len(target), -1, np.int64)
         if not self.n or not len(target):
-            return np.full(len(target), -1, np.int64)
-        i, end = self._within(target, first, last)
-        same = (i < end) & (unpack(self.low, np.minimum(i, self.n - 1), self.bits) == (target & ((_ONE << np.uint64(self.bits)) - _ONE)))
-        return np.where(same, i, -1)
+            return out
+        lo, hi = self.bucket(np.minimum(target >> np.uint64(self.bits), np.uint64(1 << 62)))
+        go = np.flatnonzero(lo < hi)
+        lo, hi, low = lo[go], hi[go], target[go] & ((_ONE << np.uint64(self.bits)) - _ONE)
+        value = unpack(self.low, lo, self.bits)
+        same = value == low
+        out[go[same]] = lo[same]
+        more = np.flatnonzero((value < low) & (lo + 1 < hi))
+        if len(more):
+            go, lo, hi, low = go[more], lo[more] + 1, hi[more], low[more]
+            if within is not None:
+                first, last = within(go)
+                lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)
+            at = self._least(lo, hi, low)
+            same = (at < hi) & (unpack(self.low, np.minimum(at, self.n - 1), self.bits) == low)
+            out[go[same]] = at[same]
+        return out
 
     def _select1(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th one (from 0)."""
@@ -138,3 +163,16 @@ class EliasFano:
         """Values at indices."""
         high = (self._select1(i.astype(np.int64)) - i).astype(np.uint64)
         return (high << np.uint64(self.bits)) | unpack(self.low, i, self.bits)
+
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at indices and at the next ones."""
+        at = self._select1(i.astype(np.int64))
+        after = at + 1
+        rest = self.high[after >> 6] >> (after & 63).astype(np.uint64)
+        far = rest == 0  # the next one is in another word
+        after += np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        if far.any():
+            after[far] = self._select1(i[far].astype(np.int64) + 1)
+        bits = np.uint64(self.bits)
+        first, second = (at - i).astype(np.uint64) << bits, (after - i - 1).astype(np.uint64) << bits
+        return first | unpack(self.low, i, self.bits), second | unpack(self.low, i + 1, self.bits)

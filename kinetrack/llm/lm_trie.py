@@ -3,7 +3,7 @@
 Training counts words, word pairs and (``order`` 3) triples over all training texts.  The trie has a level
 for each order, cut into pieces of bounded size that are files of the shared folder:
 
-* words: their 64-bit hashes in ascending order (Elias-Fano) and sums of their counts; a word's id is its rank;
+* words: their 64-bit hashes in ascending order and sums of their counts; a word's id is its rank;
 * children: for each piece, the contexts in it with their quantised back-off weights, monotone pointers to
   their first child, the children's ids relative to their context, and sums of counts, all Elias-Fano, with
   quantised log10 shares;
@@ -53,7 +53,9 @@ DISCOUNT = 0.75
 PIECE = 1 << 20
 KEYS = 1 << 22
 STEP = 16.0 / 65535
+_POWER = 10.0 ** (-STEP * np.arange(65536))
 _SIGN = np.uint64(1 << 63)
+_LONG, _MASKS = 64, np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 END = np.uint64(0x656E642D6F662D74)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,6 +67,21 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
 
+def _hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words by eight bytes at a time, what is past 64 by its name; words of up to eight bytes never share one."""
+    eights = np.lib.stride_tricks.as_strided(np.concatenate([raw, np.zeros(8, np.uint8)]).view(), (len(raw) + 1, 8), (1, 1))
+    out, own = scramble(size.astype(np.uint64)), np.arange(len(size))
+    for k in range(0, _LONG, 8):
+        left = size[own] - k
+        chunk = eights[start[own] + k].view("<u8").ravel() & _MASKS[np.minimum(left, 8)]
+        out[own] = scramble(out[own] ^ chunk)
+        own = own[left > 8]
+        if not len(own):
+            return out
+    out[own] = scramble(out[own] ^ Names(raw).of(start[own] + _LONG, size[own] - _LONG))
+    return out
+
+
 def tokens_of(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of a slice of texts, each text closed by END, and the number of tokens of each text."""
     raw = _LOWER[raw]
@@ -75,7 +92,7 @@ def tokens_of(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before[at[:-1][some]] = False
     after[at[1:][some] - 1] = False
     start, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    word = scramble(Names(raw).of(start, end - start) + (end - start).astype(np.uint64))
+    word = _hashes(raw, start, end - start)
     n = np.searchsorted(start, at[1:]) - np.searchsorted(start, at[:-1])
     out = np.full(len(word) + len(n), END, np.uint64)
     place = np.arange(len(word)) + np.repeat(np.arange(len(n)), n)
@@ -125,7 +142,7 @@ def mapped(described: str) -> dict[str, np.ndarray]:
     uri, _, parts = described.rpartition("|")
     fs, path = _open(uri)
     if isinstance(fs, pafs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)  # the subclass makes each look-up dearer
     else:
         with fs.open_input_file(path) as f:
             raw = np.frombuffer(f.read(), np.uint8)
@@ -141,9 +158,12 @@ def _ef_arrays(name: str, x: EliasFano) -> dict[str, np.ndarray]:
     return {f"{name}_low": x.low, f"{name}_high": x.high, f"{name}_zeros": x.zeros, f"{name}_n": np.array([x.n, x.bits], np.int64)}
 
 
-def _ef(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
-    n, bits = arrays[f"{name}_n"].tolist()
-    return EliasFano(n, bits, arrays[f"{name}_low"], arrays[f"{name}_high"], arrays[f"{name}_zeros"])
+def _ef(arrays: dict, name: str) -> EliasFano:
+    """A sequence of a mapped file, kept with its arrays."""
+    if name not in arrays:
+        n, bits = arrays[f"{name}_n"].tolist()
+        arrays[name] = EliasFano(n, bits, arrays[f"{name}_low"], arrays[f"{name}_high"], arrays[f"{name}_zeros"])
+    return arrays[name]
 
 
 class Pieces:
@@ -164,24 +184,32 @@ class Pieces:
         self.edge = np.array(sorted(kept), np.int64)
         self.edge_weight = np.array([max(1.0 - kept[c][0] / kept[c][1], 1e-15) for c in self.edge.tolist()])
 
-    def of(self, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(piece, indices of the queries that it answers)."""
-        piece = np.searchsorted(self.first, key, side="right") - 1
-        for p in np.unique(piece[piece >= 0]).tolist():
-            yield p, np.flatnonzero(piece == p)
+    @staticmethod
+    def _spans(cut: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+        cut = np.append(cut, n)
+        for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            yield p, int(cut[p]), int(cut[p + 1])
+
+    def of(self, key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(piece, first, last + 1 of the queries that it answers) for ascending queries."""
+        return self._spans(np.searchsorted(key, self.first), len(key))
 
     def counts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For entries by id: the sum of the counts before it, and its count."""
         before, count = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        piece = np.searchsorted(self.base, ids, side="right") - 1
-        for p in np.unique(piece).tolist():
-            rows = np.flatnonzero(piece == p)
-            arrays, i = mapped(self.files[p]), ids[rows] - self.base[p]
-            if "sums" in arrays:
-                lo, hi = arrays["sums"][i], arrays["sums"][i + 1]
+        order = None
+        if (ids[1:] < ids[:-1]).any():
+            order = np.argsort(ids)
+            ids = ids[order]
+        for p, a, b in self._spans(np.searchsorted(ids, self.base[:-1]), len(ids)):
+            arrays, i = mapped(self.files[p]), ids[a:b] - self.base[p]
+            if "sums_n" in arrays:
+                lo, hi = (x.astype(np.int64) for x in _ef(arrays, "sums").both(i))
             else:
-                lo, hi = (_ef(arrays, "sums").access(i + k).astype(np.int64) for k in (0, 1))
-            before[rows], count[rows] = lo + self.mass[p], hi - lo
+                lo, hi = arrays["sums"][i], arrays["sums"][i + 1]
+            before[a:b], count[a:b] = lo + self.mass[p], hi - lo
+        if order is not None:
+            before[order], count[order] = before.copy(), count.copy()
         return before, count
 
 
@@ -194,41 +222,63 @@ class Trie:
 
     def ids(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of words."""
-        out, count = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
-        for p, rows in self.words.of(word):
-            i = _ef(mapped(self.words.files[p]), "hash").find(word[rows])
-            out[rows] = np.where(i >= 0, i + self.words.base[p], -1)
-        known = np.flatnonzero(out >= 0)
-        count[known] = self.words.counts(out[known])[1]
+        order = np.argsort(word)
+        asked, ids, n = word[order], np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
+        for p, a, b in self.words.of(asked):
+            hashes = mapped(self.words.files[p])["hash"]
+            i = np.minimum(np.searchsorted(hashes, asked[a:b]), len(hashes) - 1)
+            ids[a:b] = np.where(hashes[i] == asked[a:b], i + self.words.base[p], -1)
+        known = np.flatnonzero(ids >= 0)
+        n[known] = self.words.counts(ids[known])[1]
+        out, count = np.empty_like(ids), np.empty_like(n)
+        out[order], count[order] = ids, n
         return out, count
 
-    def found(self, level: Pieces, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids (-1: not kept) and shares (0) of a level's entries, and weights of their contexts (1)."""
-        ids, share, weight = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-        known = np.flatnonzero(context >= 0)
-        key = (context[known] << self.bits | np.maximum(word[known], 0)).astype(np.uint64)
-        for p, rows in level.of(key):
-            arrays = mapped(level.files[p])
-            own = known[rows]
-            place, distinct = pd.factorize(context[own])
-            at = _ef(arrays, "context").find(distinct.astype(np.uint64))
-            own, i = own[at[place] >= 0], at[place][at[place] >= 0]
-            weight[own] = 10.0 ** (-STEP * arrays["backoff"][i])
-            own, i = own[word[own] >= 0], i[word[own] >= 0]
-            pointers = _ef(arrays, "pointer")
-            first, last = (pointers.access(np.maximum(at, 0) + k).astype(np.int64) for k in (0, 1))
-            back = np.zeros(int(arrays["context_n"][0]), np.int64)
-            back[at[at >= 0]] = np.flatnonzero(at >= 0)
-            wide = np.uint64(arrays["wide"][0])
-            j = _ef(arrays, "child").find(i.astype(np.uint64) * wide + word[own].astype(np.uint64), first[back[i]], last[back[i]])
+    def found(self, level: Pieces, context: np.ndarray, word: np.ndarray, scored: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (-1: not kept) and shares (0) of a level's entries, and weights of their contexts (1).
+
+        Queries ascend by context and word (-1: unknown); without ``scored`` shares and weights are not looked up.
+        """
+        ids, share, weight = np.full(len(context), -1, np.int64), np.zeros(len(context) * scored), np.ones(len(context) * scored)
+        known = int(np.searchsorted(context, 0))
+        key = (context[known:] << self.bits | np.maximum(word[known:], 0)).astype(np.uint64)
+        for p, a, b in level.of(key):
+            arrays, a, b = mapped(level.files[p]), a + known, b + known
+            head = np.flatnonzero(np.diff(context[a:b], prepend=-1))
+            size = np.diff(head, append=b - a)
+            at = _ef(arrays, "context").find(context[a:b][head].astype(np.uint64))
+            if scored:
+                weight[a:b] = np.repeat(np.where(at >= 0, _POWER[arrays["backoff"][np.maximum(at, 0)]], 1.0), size)
+            pointers, first, many = _ef(arrays, "pointer"), None, None
+            if level is self.children:
+                first, last = (x.astype(np.int64) for x in pointers.both(np.maximum(at, 0)))
+                many = last - first
+            values = self.spread(2 if level is self.children else 3, first, at, many, size, word[a:b])
+            at = np.repeat(at, size)
+            own = np.flatnonzero((at >= 0) & (word[a:b] >= 0))
+            at, own = at[own], own + a
+            children = lambda rows, at=at, pointers=pointers: tuple(x.astype(np.int64) for x in pointers.both(at[rows]))
+            j = _ef(arrays, "child").find(values[own - a].astype(np.uint64), children)
             own, j = own[j >= 0], j[j >= 0]
-            ids[own], share[own] = j + level.base[p], 10.0 ** (-STEP * arrays["log10"][j])
-        if len(level.edge):
-            e = np.minimum(np.searchsorted(level.edge, context[known]), len(level.edge) - 1)
-            same = level.edge[e] == context[known]
-            weight[known[same]] = level.edge_weight[e[same]]
+            ids[own] = j + level.base[p]
+            if scored:
+                share[own] = _POWER[arrays["log10"][j]]
+        if scored and len(level.edge):
+            lo, hi = (np.searchsorted(context, level.edge, side=x) for x in ("left", "right"))
+            n = hi - lo
+            weight[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.repeat(level.edge_weight, n)
         return ids, share, weight
 
+    def spread(self, order: int, first: np.ndarray | None, context: np.ndarray, many: np.ndarray | None, size: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Values of children in ascending order, for contexts (numbers in a piece, each for ``size`` words).
+
+        A word's children are often very many: a context has as large a share of the values as it has children (their
+        first and their number), so that those of any context lie equally dense.  Those of pairs lie by context and word.
+        """
+        if order > 2:
+            return np.repeat(context, size) * self.types + word
+        return np.repeat(first << self.bits, size) + word * np.repeat(many, size)
+
     def begin(self) -> int:
         """The id that stands for the start of a text, as a context."""
         return self.types
@@ -245,12 +295,22 @@ class Trie:
         before[inner], count[inner] = self.words.counts(context[inner])
         return before, count
 
-    def place(self, order: int, key: np.ndarray) -> np.ndarray:
-        """Where ascending keys would stand among all (0 to 1) if words did not depend on their contexts."""
+    def part(self, order: int, key: np.ndarray, parts: int) -> np.ndarray:
+        """The part of ascending keys: by where they would stand among all if words did not depend on their contexts.
+
+        Nearly all contexts lie in one part whole, so that their words need no look-up.
+        """
         context, total = key >> self.bits, self.tokens + self.texts if order < 3 else int(self.children.mass[-1])
         first = np.flatnonzero(np.diff(context, prepend=-1))
-        before, count = (np.repeat(x, np.diff(first, append=len(key))) for x in self.contexts(order, context[first]))
-        return (before + count * (self.words.counts(key & ((1 << self.bits) - 1))[0] / self.tokens)) / total
+        size = np.diff(first, append=len(key))
+        before, count = self.contexts(order, context[first])
+        at = lambda x: np.minimum((x / total * parts).astype(np.int64), parts - 1)
+        low, high = at(before), at(before + count)
+        out, rows = np.repeat(low, size), np.flatnonzero(np.repeat(low < high, size))
+        if len(rows):
+            words = self.words.counts(key[rows] & ((1 << self.bits) - 1))[0] / self.tokens
+            out[rows] = at(np.repeat(before, size)[rows] + np.repeat(count, size)[rows] * words)
+        return out
 
 
 PIECE_ROW = "first long, entries long, total long, file string, edges array<struct<context:long,kept:double,total:double>>"
@@ -280,7 +340,7 @@ def _parted(keys: list[np.ndarray], trie: Trie, order: int, parts: int) -> Itera
     key, n = np.unique(np.concatenate(keys), return_counts=True)
     if not len(key):
         return
-    part = np.minimum((trie.place(order, key) * parts).astype(np.int64), parts - 1)
+    part = trie.part(order, key, parts)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(key)]]).tolist()
     step = np.diff(key, prepend=0)
     step[cut[:-1]] = 0
@@ -364,7 +424,7 @@ def _level(texts: DataFrame, trie: Trie, order: int, min_count: int, piece: int,
             context = _before(ids, n, model.begin())
             if order > 2:
                 pair, back = np.unique(context << bits | ids, return_inverse=True)  # in order, as the trie has them
-                context = _before(model.found(model.children, pair >> bits, pair & ((1 << bits) - 1))[0][back], n, -1)
+                context = _before(model.found(model.children, pair >> bits, pair & ((1 << bits) - 1), scored=False)[0][back], n, -1)
             held.append((context << bits | ids)[context >= 0])
             if sum(map(len, held)) > KEYS:
                 yield from _parted(held, model, order, parts)
@@ -385,11 +445,10 @@ def _level(texts: DataFrame, trie: Trie, order: int, min_count: int, piece: int,
                 own, size = context[first], np.diff(first, append=len(key))
                 total, mass = model.contexts(order, own)[1].astype(float), np.add.reduceat(n - DISCOUNT, first)
                 arrays = {
-                    "wide": np.array([model.types], np.int64),
                     "log10": quantised(np.log10((n - DISCOUNT) / np.repeat(total, size))),
                     "backoff": quantised(np.log10(np.maximum(1.0 - mass / total, 1e-15))),
                 }
-                child = np.repeat(np.arange(len(own)), size) * model.types + (key & ((1 << bits) - 1))
+                child = model.spread(order, first, np.arange(len(own)), size, size, key & ((1 << bits) - 1))
                 sums = np.concatenate([[0], np.cumsum(n)])
                 levels = {"context": own, "pointer": np.append(first, len(key)), "child": child} | ({"sums": sums} if order < 3 else {})
                 for name, x in levels.items():
@@ -424,7 +483,7 @@ def train(texts: DataFrame, min_count: int = 1, piece: int = PIECE, order: int =
         for word, n in _chunks(batches, piece):
             key = word.astype(np.int64).view(np.uint64) ^ _SIGN
             sums = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-            yield _piece(folder, "words", int(key[0]), len(key), int(sums[-1]), {"sums": sums} | _ef_arrays("hash", EliasFano.of(key)))
+            yield _piece(folder, "words", int(key[0]), len(key), int(sums[-1]), {"sums": sums, "hash": key})
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = _pieces_written(words.repartitionByRange(partitions, "word").sortWithinPartitions("word"), write_words, "lm-word-pieces")
