@@ -12,6 +12,7 @@ import numpy as np
 
 _ONE = np.uint64(1)
 _BLOCK = 2  # words of 64 bits between two entries of the directory; look-ups below count on two
+_LOOKS = 4  # values of a bucket that are looked at one by one before it is searched
 #: Position of the k-th set bit of a byte.
 _SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
 
@@ -48,8 +49,8 @@ def pack(values: np.ndarray, bits: int) -> np.ndarray:
 def unpack(words: np.ndarray, i: np.ndarray, bits: int) -> np.ndarray:
     if not bits:
         return np.zeros(len(i), np.uint64)
-    at = i.astype(np.uint64) * np.uint64(bits)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+    at = i * bits
+    word, shift = at >> 6, (at & 63).view(np.uint64)
     both = (words[word] >> shift) | ((words[word + 1] << _ONE) << (np.uint64(63) - shift))
     return both & ((_ONE << np.uint64(bits)) - _ONE)
 
@@ -129,7 +130,7 @@ class EliasFano:
     def find(self, target: np.ndarray, within: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
         """Index of ``target``, -1 where it is not there.
 
-        Most buckets have one value or none, and one look settles them.  For the others ``within`` says, by indices of
+        Most buckets have few values or none, and a few looks settle them.  For the others ``within`` says, by indices of
         targets, in which [first, last) theirs can be.
         """
         out = np.full(len(target), -1, np.int64)
@@ -138,12 +139,15 @@ class EliasFano:
         lo, hi = self.bucket(np.minimum(target >> np.uint64(self.bits), np.uint64(1 << 62)))
         go = np.flatnonzero(lo < hi)
         lo, hi, low = lo[go], hi[go], target[go] & ((_ONE << np.uint64(self.bits)) - _ONE)
-        value = unpack(self.low, lo, self.bits)
-        same = value == low
-        out[go[same]] = lo[same]
-        more = np.flatnonzero((value < low) & (lo + 1 < hi))
-        if len(more):
+        for _ in range(_LOOKS):
+            value = unpack(self.low, lo, self.bits)
+            same = value == low
+            out[go[same]] = lo[same]
+            more = np.flatnonzero((value < low) & (lo + 1 < hi))
             go, lo, hi, low = go[more], lo[more] + 1, hi[more], low[more]
+            if not len(go):
+                break
+        else:
             if within is not None:
                 first, last = within(go)
                 lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)

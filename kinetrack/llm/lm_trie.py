@@ -107,8 +107,9 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-#: Bytes of text whose tokens a task holds at once, in counting and in scoring.
-COUNT_BYTES, SCORE_BYTES = 6 << 20, 4 << 20
+#: Bytes of text that a task turns into tokens at once, in counting words and else, and tokens that it looks up at once: these
+#: go through every piece, so that the more there are the fewer are a token's steps.
+COUNT_BYTES, PART_BYTES, TOKENS = 6 << 20, 1 << 20, 1 << 21
 
 
 def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -117,6 +118,21 @@ def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             yield batch.slice(lo, hi - lo)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Rows of some ``most`` tokens, of however many batches; all their tokens, and the number of tokens of each text."""
+    held, size = [], 0
+    for batch in _parts(batches, PART_BYTES):
+        held.append((batch, *_tokens(batch.column("text"))))
+        size += len(held[-1][1])
+        if size >= most:
+            rows, word, n = zip(*held, strict=True)
+            held, size = [], 0
+            yield list(rows), np.concatenate(word), np.concatenate(n)
+    if held:
+        rows, word, n = zip(*held, strict=True)
+        yield list(rows), np.concatenate(word), np.concatenate(n)
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":" in uri.partition("/")[0] else f"file://{uri}")
 
@@ -408,6 +424,16 @@ def _before(x: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and the place of each key among them (np.unique holds twice as much)."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    back = np.empty(len(key), np.int32)
+    back[order] = np.cumsum(first, dtype=np.int32) - 1
+    return key[first], back
+
+
 def _level(texts: DataFrame, trie: Trie, order: int, min_count: int, piece: int, folder: str) -> list:
     """Counts and writes the pairs (order 2) or triples of all texts."""
     spark = texts.sparkSession
@@ -417,13 +443,13 @@ def _level(texts: DataFrame, trie: Trie, order: int, min_count: int, piece: int,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         model, held = shared.value, []
-        for batch in _parts(batches, COUNT_BYTES):
-            word, n = _tokens(batch.column("text"))
+        for _, word, n in _gathered(batches, TOKENS):
             inverse, distinct = pd.factorize(word)
             ids = model.ids(distinct)[0][inverse]
+            del word, inverse
             context = _before(ids, n, model.begin())
             if order > 2:
-                pair, back = np.unique(context << bits | ids, return_inverse=True)  # in order, as the trie has them
+                pair, back = _distinct(context << bits | ids)  # in order, as the trie has them
                 context = _before(model.found(model.children, pair >> bits, pair & ((1 << bits) - 1), scored=False)[0][back], n, -1)
             held.append((context << bits | ids)[context >= 0])
             if sum(map(len, held)) > KEYS:
@@ -509,24 +535,28 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         model = shared.value
-        for batch in _parts(batches, SCORE_BYTES):
-            word, n = _tokens(batch.column("text"))
+        for rows, word, n in _gathered(batches, TOKENS):
+            first = np.cumsum(n) - n
+            add = lambda x: np.add.reduceat(x, first)  # noqa: E731, B023
             inverse, distinct = pd.factorize(word)
             known, count = model.ids(distinct)
             p = model.unigram(count)
-            ids, base, value = known[inverse], np.log10(p)[inverse], p[inverse]
+            ids, value, base = known[inverse], p[inverse], add(np.log10(p)[inverse])
+            n_known = add((ids >= 0).astype(np.int64))
+            del word, inverse
             context = _before(ids, n, model.begin())
             for level in (model.children, model.triples):
                 # in order, so that look-ups go through a level from its start to its end
-                key, back = np.unique((context + 1).astype(np.uint64) << np.uint64(model.bits + 1) | (ids + 1).astype(np.uint64), return_inverse=True)
-                c, w = (key >> np.uint64(model.bits + 1)).astype(np.int64) - 1, (key & np.uint64((2 << model.bits) - 1)).astype(np.int64) - 1
-                rank, share, weight = (x[back] for x in model.found(level, c, w))
-                value = share + weight * value
-                context = _before(rank, n, -1)
-            first = np.cumsum(n) - n
-            add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, x.dtype)
+                context += 1
+                key, back = _distinct(context.view(np.uint64) << np.uint64(model.bits + 1) | (ids + 1).view(np.uint64))
+                c, w = (key >> np.uint64(model.bits + 1)).view(np.int64) - 1, (key & np.uint64((2 << model.bits) - 1)).view(np.int64) - 1
+                del key
+                rank, share, weight = model.found(level, c, w)
+                value *= weight[back]
+                value += share[back]
+                context = _before(rank[back], n, -1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(add((ids >= 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(value)))],
+                [pa.concat_arrays([x.column("doc_id") for x in rows]), pa.array(n.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(add(np.log10(value)))],
                 ["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
